@@ -104,12 +104,22 @@ def clean_text(text, **options) -> Column:
     return F.array_join(clean_tokens(text, **options), " ")
 
 
+def bind(expr, fn) -> Column:
+    """Evaluate ``expr`` once per row and hand it to ``fn`` as a lambda variable.
+
+    Catalyst inlines projected expressions into higher-order-function lambdas, where
+    they would be recomputed for every array element; binding prevents that.
+    """
+    return F.element_at(F.transform(F.array(_col(expr)), fn), 1)
+
+
 def ngrams(tokens, n: int = 2) -> Column:
     """Contiguous n-grams joined by one space; empty when fewer than n tokens."""
-    toks = _col(tokens)
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(t):
+        g = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                        lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<string>"))
+    return bind(tokens, grams)
 
 
 def substring_count(text, query) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import (
-    DEFAULT_STOPWORDS, clean_text, has_digits, non_alphanumeric_chars, tokenize,
+    DEFAULT_STOPWORDS, bind, clean_text, has_digits, non_alphanumeric_chars, tokenize,
 )
 
 # Query tables up to this many rows are broadcast and their first tokens used as an
@@ -129,26 +129,26 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
                             tokenize(F.col(field)).alias("toks"))
         long = part if long is None else long.unionByName(part)
 
-    toks = F.col("toks")
-    size = F.size(toks)
-    gram_arrays = []
-    for L in lengths:
-        starts = F.sequence(F.lit(0), size - L)
-        if first_tokens is not None:
-            starts = F.filter(starts, lambda i: F.element_at(toks, i + 1).isin(first_tokens))
-        grams = F.transform(starts, lambda i: F.struct(
-            i.alias("pos"), F.lit(L).alias("n"),
-            F.array_join(F.slice(toks, i + 1, L), " ").alias("gram")))
-        empty = F.array().cast("array<struct<pos:int,n:int,gram:string>>")
-        gram_arrays.append(F.when(size >= L, grams).otherwise(empty))
-    if not gram_arrays:
+    def all_grams(toks):
+        size = F.size(toks)
+        arrays = []
+        for L in lengths:
+            starts = F.sequence(F.lit(0), size - L)
+            if first_tokens is not None:
+                starts = F.filter(starts,
+                                  lambda i: F.element_at(toks, i + 1).isin(first_tokens))
+            grams = F.transform(starts, lambda i: F.struct(
+                i.alias("pos"), F.lit(L).alias("n"), size.alias("size"),
+                F.array_join(F.slice(toks, i + 1, L), " ").alias("gram")))
+            empty = F.array().cast("array<struct<pos:int,n:int,size:int,gram:string>>")
+            arrays.append(F.when(size >= L, grams).otherwise(empty))
+        return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+    if not lengths:
         return texts.sparkSession.createDataFrame(
             [], f"{id_col} {dict(texts.dtypes)[id_col]}, field string, query string, cnt bigint")
-
-    grams = long.select(id_col, "field", size.alias("size"),
-                        F.explode(F.concat(*gram_arrays) if len(gram_arrays) > 1
-                                  else gram_arrays[0]).alias("g"))
-    grams = grams.select(id_col, "field", "size", "g.pos", "g.n", F.col("g.gram").alias("query"))
+    grams = long.select(id_col, "field", F.explode(bind(F.col("toks"), all_grams)).alias("g"))
+    grams = grams.select(id_col, "field", "g.size", "g.pos", "g.n", F.col("g.gram").alias("query"))
     if mode == "padded":
         grams = grams.where((F.col("pos") > 0) & (F.col("pos") + F.col("n") < F.col("size")))
 

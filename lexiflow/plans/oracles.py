@@ -34,3 +34,138 @@ kw AS (SELECT DISTINCT query AS keyword FROM raw_q WHERE query <> '')
 SELECT doc_id, keyword, cnt FROM (
   SELECT d.doc_id, k.keyword, {Q.substring_count('d.text', 'k.keyword')} AS cnt
   FROM documents d, kw k) WHERE cnt > 0""")
+
+
+# --- corpora / n-grams --------------------------------------------------------------------
+
+DEF = dict(min_len=2, max_len=15, keep=True, remove_numbers=True)
+
+
+def cleaned(name: str, opts: dict, src: str = "documents", id_expr: str = "doc_id") -> str:
+    return f"{name} AS (SELECT {id_expr} AS doc_id, {Q.clean('text', **opts)} AS text_clean FROM {src})"
+
+
+def grams(name: str, src: str, n: int, col: str = "ngram") -> str:
+    if n == 1:
+        body = "unnest(tk)"
+    else:
+        body = (f"unnest(list_transform(range(1, len(tk) - {n} + 2), "
+                f"lambda i: array_to_string(tk[i:i + {n - 1}], ' ')))")
+    return (f"{name} AS (SELECT doc_id, {body} AS {col} FROM "
+            f"(SELECT doc_id, {Q.tokens('lower(text_clean)')} AS tk FROM {src}))")
+
+
+R_IDS = "r_ids AS (SELECT doc_id FROM labels WHERE quality = 1)"
+FR_IDS = "fr_ids AS (SELECT doc_id FROM documents WHERE lang = 'fr')"
+NG_BASE = ",\n".join([
+    cleaned("docs_def", DEF), R_IDS, FR_IDS,
+    "rdocs AS (SELECT * FROM docs_def WHERE doc_id IN (SELECT doc_id FROM r_ids))",
+    "offdocs AS (SELECT * FROM docs_def WHERE doc_id IN (SELECT doc_id FROM fr_ids))",
+    grams("rgrams", "rdocs", 2),
+    "cand AS (SELECT ngram, count(*) AS freq FROM rgrams GROUP BY ngram HAVING count(*) >= 10)",
+])
+
+oracle("ngram_frequency", f"WITH {NG_BASE} SELECT ngram, freq FROM cand")
+oracle("top_ngrams", f"""WITH {NG_BASE}
+SELECT ngram, count(*) AS freq FROM rgrams GROUP BY ngram ORDER BY freq DESC, ngram LIMIT 50""")
+oracle("ngrams", f"""WITH {NG_BASE}
+SELECT doc_id, array_to_string(list_transform(range(1, len(tk) - 3 + 2),
+         lambda i: array_to_string(tk[i:i + 2], ' ')), '|') AS trigrams
+FROM (SELECT doc_id, {Q.tokens('text_clean')} AS tk FROM rdocs)""")
+oracle("offtopic_filter", f"""WITH {NG_BASE}
+SELECT ngram, freq FROM cand
+WHERE NOT EXISTS (SELECT 1 FROM offdocs o WHERE contains(o.text_clean, cand.ngram))""")
+oracle("offtopic_filter_any", f"""WITH {NG_BASE}
+SELECT ngram, freq FROM cand
+WHERE (SELECT count(*) FROM offdocs o WHERE contains(o.text_clean, cand.ngram))
+      < (SELECT count(*) FROM offdocs)""")
+oracle("ngram_difference", f"""WITH {NG_BASE}, {grams('offgrams', 'offdocs', 2)}
+SELECT ngram, freq FROM cand WHERE ngram NOT IN (SELECT ngram FROM offgrams)""")
+oracle("verified_ngrams", f"""WITH {NG_BASE},
+{cleaned('bench', DEF, 'benchmark', 'item_id')}, {grams('bgrams', 'bench', 2)}
+SELECT ngram, freq FROM cand WHERE ngram IN (SELECT ngram FROM bgrams)""")
+
+# --- document-term matrix -------------------------------------------------------------
+
+TR = Q.TRAIN_OPTS
+
+
+def dtm_ctes(prefix: str, src: str, n: int, min_df, max_df, n_docs_sql: str) -> str:
+    lo = f"{min_df}" if isinstance(min_df, int) else f"{min_df} * ({n_docs_sql})"
+    hi = f"{max_df}" if isinstance(max_df, int) else f"{max_df} * ({n_docs_sql})"
+    return ",\n".join([
+        grams(f"{prefix}_g", src, n, "term"),
+        f"{prefix}_tc AS (SELECT doc_id, term, count(*) AS cnt FROM {prefix}_g GROUP BY doc_id, term)",
+        f"{prefix}_df AS (SELECT term, count(*) AS df FROM {prefix}_tc GROUP BY term)",
+        f"{prefix} AS (SELECT doc_id, term, cnt FROM {prefix}_tc WHERE term IN "
+        f"(SELECT term FROM {prefix}_df WHERE df >= {lo} AND df <= {hi}))",
+    ])
+
+
+N_DOCS = "SELECT count(*) FROM documents"
+DTM_BASE = ",\n".join([
+    cleaned("docs_tr", TR), R_IDS,
+    "sdocs AS (SELECT * FROM docs_tr WHERE doc_id NOT IN (SELECT doc_id FROM r_ids))",
+    dtm_ctes("dtm", "docs_tr", 2, 2, 0.9, N_DOCS),
+    dtm_ctes("svoc", "sdocs", 2, 10, 1.0, "SELECT count(*) FROM sdocs"),
+])
+
+oracle("doc_term_matrix", f"WITH {DTM_BASE} SELECT doc_id, term, cnt FROM dtm")
+oracle("doc_term_matrix_vocab", f"""WITH {DTM_BASE}
+SELECT doc_id, term, cnt FROM svoc_tc WHERE term IN (SELECT term FROM svoc)""")
+oracle("dtm_subset", f"""WITH {DTM_BASE}
+SELECT doc_id, term, cnt FROM dtm WHERE doc_id IN (SELECT doc_id FROM r_ids)""")
+oracle("doc_counts", f"""WITH {DTM_BASE}, {dtm_ctes('fullm', 'docs_tr', 2, 1, 1.0, N_DOCS)},
+agg AS (SELECT term, count(*) AS df,
+               count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM r_ids)) AS df_target
+        FROM fullm GROUP BY term)
+SELECT v.term, coalesce(a.df, 0) AS df, coalesce(a.df_target, 0) AS df_target
+FROM (SELECT DISTINCT term FROM svoc) v LEFT JOIN agg a ON v.term = a.term""")
+oracle("term_frequency_corpus", f"""WITH {DTM_BASE}
+SELECT term, sum(cnt) / (SELECT sum(cnt) FROM dtm) AS p_cor FROM dtm GROUP BY term""")
+oracle("term_frequency_document", f"""WITH {DTM_BASE}
+SELECT doc_id, term, cnt / sum(cnt) OVER (PARTITION BY doc_id) AS p_doc FROM dtm""")
+oracle("idf", f"""WITH {DTM_BASE}
+SELECT term, ln(({N_DOCS}) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM dtm GROUP BY term""")
+
+TFIDF = DTM_BASE + ",\n" + dtm_ctes("uni", "docs_tr", 1, 3, 0.95, N_DOCS) + f""",
+uni_idf AS (SELECT term, ln((1.0 + ({N_DOCS})) / (count(*) + 1)) + 1 AS idf FROM uni GROUP BY term),
+uni_w AS (SELECT u.doc_id, u.term, u.cnt * i.idf AS w FROM uni u JOIN uni_idf i ON u.term = i.term),
+tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM uni_w)"""
+oracle("tfidf", f"WITH {TFIDF} SELECT doc_id, term, weight FROM tfidf")
+
+# --- ranking ----------------------------------------------------------------------------------
+
+KL_BASE = Q.hits_cte("token") + ",\n" + cleaned("docs_tr", TR) + ",\n" + \
+    dtm_ctes("m", "docs_tr", 2, 1, 0.9, N_DOCS) + """,
+hit_ids AS (SELECT DISTINCT doc_id FROM hits),
+cor_all AS (SELECT term, sum(cnt) AS n_cor, sum(cnt) / (SELECT sum(cnt) FROM m) AS p_cor
+            FROM m GROUP BY term),
+sub AS (SELECT term, sum(cnt) / (SELECT sum(cnt) FROM m WHERE doc_id IN (SELECT doc_id FROM hit_ids))
+          AS p_sub FROM m WHERE doc_id IN (SELECT doc_id FROM hit_ids) GROUP BY term)"""
+oracle("kl_terms", f"""WITH {KL_BASE},
+cor AS (SELECT * FROM cor_all ORDER BY n_cor DESC, term LIMIT 5000),
+j AS (SELECT c.term, 0.5 * coalesce(s.p_sub, 0.0) + 0.5 * c.p_cor AS p, c.p_cor
+      FROM cor c LEFT JOIN sub s ON c.term = s.term)
+SELECT term, p * log2(p / p_cor) AS score FROM j ORDER BY score DESC, term LIMIT 50""")
+oracle("weighted_zone_score", f"""WITH {KL_BASE}
+SELECT c.term, 0.7 * coalesce(s.p_sub, 0.0) + (1.0 - 0.7) * c.p_cor AS score
+FROM cor_all c LEFT JOIN sub s ON c.term = s.term""")
+
+RANK_BASE = TFIDF + ",\n" + Q.QUERIES + f""",
+qterms AS (SELECT DISTINCT unnest({Q.tokens('query')}) AS term FROM queries),
+lens AS (SELECT doc_id, len({Q.tokens('text_clean')}) AS n_tokens FROM docs_tr)"""
+oracle("rank_tfidf_overlap", f"""WITH {RANK_BASE}
+SELECT t.doc_id, sum(t.weight) / any_value(l.n_tokens) AS score
+FROM tfidf t JOIN lens l ON t.doc_id = l.doc_id
+WHERE t.term IN (SELECT term FROM qterms) GROUP BY t.doc_id""")
+oracle("rank_cosine", f"""WITH {RANK_BASE},
+qt AS (SELECT query, term, count(*) AS cnt
+       FROM (SELECT query, unnest({Q.tokens('query')}) AS term FROM queries) GROUP BY query, term),
+qw AS (SELECT qt.query, qt.term, qt.cnt * i.idf AS weight FROM qt JOIN uni_idf i ON qt.term = i.term),
+dn AS (SELECT doc_id, sqrt(sum(weight * weight)) AS dn FROM tfidf GROUP BY doc_id),
+qn AS (SELECT query, sqrt(sum(weight * weight)) AS qn FROM qw GROUP BY query),
+dot AS (SELECT q.query, t.doc_id, sum(t.weight * q.weight) AS dot
+        FROM tfidf t JOIN qw q ON t.term = q.term GROUP BY q.query, t.doc_id)
+SELECT d.query, d.doc_id, d.dot / (dn.dn * qn.qn) AS score
+FROM dot d JOIN dn ON d.doc_id = dn.doc_id JOIN qn ON d.query = qn.query""")

@@ -96,3 +96,186 @@ def q_raw_keyword_matrix(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     kw = S.raw_keyterms(spark, sf_dir).where(F.col("query") != "").distinct()
     return K.raw_keyword_counts(docs, kw)
+
+
+# --- corpora ------------------------------------------------------------------------------
+
+DEFAULT_OPTS = dict(min_len=2, max_len=15, keep_nonalphanumerics=True, remove_numbers=True)
+
+
+def reference_ids(spark, sf_dir):
+    return S.table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+
+
+def cleaned_docs(spark, sf_dir, opts=None):
+    opts = opts or DEFAULT_OPTS
+    return S.corpus(spark, sf_dir).select(
+        "doc_id", T.clean_text(F.col("text"), **opts).alias("text_clean"))
+
+
+def reference_docs(spark, sf_dir, opts=None):
+    return cleaned_docs(spark, sf_dir, opts).join(reference_ids(spark, sf_dir), "doc_id", "left_semi")
+
+
+def search_docs(spark, sf_dir, opts=None):
+    return cleaned_docs(spark, sf_dir, opts).join(reference_ids(spark, sf_dir), "doc_id", "left_anti")
+
+
+def offtopic_docs(spark, sf_dir, opts=None):
+    fr = S.table(spark, sf_dir, "documents").where(F.col("lang") == "fr").select("doc_id")
+    return cleaned_docs(spark, sf_dir, opts).join(fr, "doc_id", "left_semi")
+
+
+# --- n-grams --------------------------------------------------------------------------------
+
+from lexiflow.operators import dtm as D  # noqa: E402
+from lexiflow.operators import ngrams as NG  # noqa: E402
+from lexiflow.operators import ranking as RK  # noqa: E402
+
+
+def _frequent_reference_bigrams(spark, sf_dir):
+    return NG.ngram_frequency(reference_docs(spark, sf_dir), n=2, freq_limit=10)
+
+
+@register("ngram_frequency")
+def q_ngram_frequency(spark, sf_dir):
+    return _frequent_reference_bigrams(spark, sf_dir)
+
+
+@register("top_ngrams")
+def q_top_ngrams(spark, sf_dir):
+    return NG.top_ngrams(NG.ngram_frequency(reference_docs(spark, sf_dir), n=2), 50)
+
+
+@register("ngrams")
+def q_ngrams(spark, sf_dir):
+    docs = reference_docs(spark, sf_dir)
+    return docs.select("doc_id", F.array_join(T.ngrams(T.tokenize(F.col("text_clean")), 3), "|")
+                       .alias("trigrams"))
+
+
+@register("offtopic_filter")
+def q_offtopic_filter(spark, sf_dir):
+    return NG.offtopic_filter(_frequent_reference_bigrams(spark, sf_dir),
+                              offtopic_docs(spark, sf_dir), mode="absent_from_all")
+
+
+@register("offtopic_filter_any")
+def q_offtopic_filter_any(spark, sf_dir):
+    return NG.offtopic_filter(_frequent_reference_bigrams(spark, sf_dir),
+                              offtopic_docs(spark, sf_dir), mode="absent_from_any")
+
+
+@register("ngram_difference")
+def q_ngram_difference(spark, sf_dir):
+    return NG.ngram_difference(_frequent_reference_bigrams(spark, sf_dir),
+                               offtopic_docs(spark, sf_dir), n=2)
+
+
+@register("verified_ngrams")
+def q_verified_ngrams(spark, sf_dir):
+    bench = S.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("doc_id"), T.clean_text(F.col("text"), **DEFAULT_OPTS).alias("text_clean"))
+    curated = NG.explode_ngrams(bench, 2).select("ngram").distinct()
+    return NG.verified_ngrams(_frequent_reference_bigrams(spark, sf_dir), curated)
+
+
+# --- document-term matrix ---------------------------------------------------------------
+
+def _dtm(spark, sf_dir):
+    return D.doc_term_matrix(cleaned_docs(spark, sf_dir, TRAIN_OPTS), min_df=2, max_df=0.9)
+
+
+def _search_vocab(spark, sf_dir):
+    s = search_docs(spark, sf_dir, TRAIN_OPTS)
+    return D.doc_term_matrix(s, min_df=10, max_df=1.0).select("term").distinct()
+
+
+@register("doc_term_matrix")
+def q_doc_term_matrix(spark, sf_dir):
+    return _dtm(spark, sf_dir)
+
+
+@register("doc_term_matrix_vocab")
+def q_doc_term_matrix_vocab(spark, sf_dir):
+    s = search_docs(spark, sf_dir, TRAIN_OPTS)
+    return D.doc_term_matrix(s, vocabulary=_search_vocab(spark, sf_dir))
+
+
+@register("dtm_subset")
+def q_dtm_subset(spark, sf_dir):
+    return D.dtm_subset(_dtm(spark, sf_dir), reference_ids(spark, sf_dir))
+
+
+@register("doc_counts")
+def q_doc_counts(spark, sf_dir):
+    m = D.doc_term_matrix(cleaned_docs(spark, sf_dir, TRAIN_OPTS), min_df=1, max_df=1.0)
+    return D.doc_counts(m, terms=_search_vocab(spark, sf_dir), target_ids=reference_ids(spark, sf_dir))
+
+
+@register("term_frequency_corpus")
+def q_term_frequency_corpus(spark, sf_dir):
+    return D.term_frequency_corpus(_dtm(spark, sf_dir))
+
+
+@register("term_frequency_document")
+def q_term_frequency_document(spark, sf_dir):
+    return D.term_frequency_document(_dtm(spark, sf_dir))
+
+
+@register("idf")
+def q_idf(spark, sf_dir):
+    docs = cleaned_docs(spark, sf_dir, TRAIN_OPTS)
+    return D.inverse_document_frequency(_dtm(spark, sf_dir), docs.count())
+
+
+@register("tfidf")
+def q_tfidf(spark, sf_dir):
+    return D.tfidf(cleaned_docs(spark, sf_dir, TRAIN_OPTS), n=1, min_df=3, max_df=0.95)
+
+
+# --- ranking ------------------------------------------------------------------------------
+
+def _hit_doc_ids(spark, sf_dir):
+    hits, _, _ = _search(spark, sf_dir)
+    return hits.select("doc_id").distinct()
+
+
+@register("kl_terms")
+def q_kl_terms(spark, sf_dir):
+    m = D.doc_term_matrix(cleaned_docs(spark, sf_dir, TRAIN_OPTS), min_df=1, max_df=0.9)
+    return RK.kl_terms(m, _hit_doc_ids(spark, sf_dir), word_limit=50, alpha=0.5, n_features=5000)
+
+
+@register("weighted_zone_score")
+def q_weighted_zone_score(spark, sf_dir):
+    m = D.doc_term_matrix(cleaned_docs(spark, sf_dir, TRAIN_OPTS), min_df=1, max_df=0.9)
+    cor = D.term_frequency_corpus(m)
+    sub = RK.subset_term_frequency(m, _hit_doc_ids(spark, sf_dir))
+    j = cor.join(sub, "term", "left").na.fill(0.0, ["p_sub"])
+    return j.select("term", RK.weighted_zone_score("p_sub", "p_cor", 0.7).alias("score"))
+
+
+def _query_terms_and_tfidf(spark, sf_dir):
+    docs = cleaned_docs(spark, sf_dir, TRAIN_OPTS)
+    weights = D.tfidf(docs, n=1, min_df=3, max_df=0.95)
+    queries = K.prepare_queries(S.raw_keyterms(spark, sf_dir))
+    return docs, weights, queries
+
+
+@register("rank_tfidf_overlap")
+def q_rank_tfidf_overlap(spark, sf_dir):
+    docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
+    qterms = queries.select(F.explode(T.tokenize(F.col("query"))).alias("term"))
+    lengths = docs.select("doc_id", F.size(T.tokenize(F.col("text_clean"))).alias("n_tokens"))
+    return RK.rank_tfidf_overlap(weights, lengths, qterms)
+
+
+@register("rank_cosine")
+def q_rank_cosine(spark, sf_dir):
+    docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
+    m = D.doc_term_matrix(docs, min_df=3, max_df=0.95, n=1)
+    n_docs = docs.count()
+    idf = (m.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+           .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))
+    return RK.rank_cosine(weights, RK.query_term_weights(queries, idf))
