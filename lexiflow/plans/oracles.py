@@ -169,3 +169,300 @@ dot AS (SELECT q.query, t.doc_id, sum(t.weight * q.weight) AS dot
         FROM tfidf t JOIN qw q ON t.term = q.term GROUP BY q.query, t.doc_id)
 SELECT d.query, d.doc_id, d.dot / (dn.dn * qn.qn) AS score
 FROM dot d JOIN dn ON d.doc_id = dn.doc_id JOIN qn ON d.query = qn.query""")
+
+
+# --- actors ------------------------------------------------------------------------------------
+
+from lexiflow.functions.mail import ADDRESS_RE, NAME_RE, WEEKDAY_RE, YEAR_RE  # noqa: E402
+from lexiflow.sources.tables import HOST_RE  # noqa: E402
+
+_SENT_AT = (f"try_strptime(trim(regexp_replace(date_raw, {Q.lit(WEEKDAY_RE)}, '')), "
+            f"'%d %b %Y %H:%M:%S %z')")
+PARSED = Q.MESSAGES + f""",
+parsed AS (
+  SELECT *,
+    CASE WHEN regexp_extract("from", {Q.lit(ADDRESS_RE)}, 1) <> ''
+          AND regexp_extract("from", {Q.lit(ADDRESS_RE)}, 2) <> ''
+         THEN regexp_extract("from", {Q.lit(ADDRESS_RE)}, 1) || '@'
+              || lower(regexp_extract("from", {Q.lit(ADDRESS_RE)}, 2)) END AS sender_email,
+    nullif(lower(regexp_extract("from", {Q.lit(ADDRESS_RE)}, 2)), '') AS sender_domain,
+    nullif(lower(regexp_extract(comments_to, {Q.lit(ADDRESS_RE)}, 2)), '') AS receiver_domain,
+    {_SENT_AT} AS sent_at,
+    CASE WHEN {_SENT_AT} IS NOT NULL AND regexp_extract(date_raw, {Q.lit(YEAR_RE)}, 1) <> ''
+         THEN CAST(regexp_extract(date_raw, {Q.lit(YEAR_RE)}, 1) AS INTEGER) END AS sent_year
+  FROM messages
+)"""
+
+ORG = """org_raw AS (
+  SELECT CAST(n.n_nationkey AS INTEGER) AS row_no, ' ' || n.n_name || ' ' AS name,
+         n.n_name || ' org' AS full_name, n.n_name AS nationality, r.r_name AS category,
+         lower(r.r_name) AS stakeholdergroup,
+         lower(n.n_name) || '.example, mail.' || lower(n.n_name) || '.example' AS email_domains,
+         CASE WHEN min(n.n_name) OVER (PARTITION BY n.n_regionkey) <> n.n_name
+              THEN min(n.n_name) OVER (PARTITION BY n.n_regionkey) END AS subsidiary_of
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+org_t AS (
+  SELECT row_no, trim(name) AS name, trim(full_name) AS full_name, trim(nationality) AS nationality,
+         trim(category) AS category, trim(stakeholdergroup) AS stakeholdergroup,
+         trim(email_domains) AS email_domains, trim(subsidiary_of) AS subsidiary_of
+  FROM org_raw
+),
+parents AS (SELECT name AS pname, any_value(nationality) AS pnat FROM org_t GROUP BY name HAVING count(*) = 1),
+org_p AS (
+  SELECT o.row_no, o.name, o.full_name,
+         CASE WHEN p.pname IS NOT NULL THEN p.pnat ELSE o.nationality END AS nationality,
+         o.category, o.stakeholdergroup, o.email_domains, o.subsidiary_of
+  FROM org_t o LEFT JOIN parents p ON o.subsidiary_of = p.pname
+),
+org_dim AS (
+  SELECT row_no, name, full_name, nationality, category, stakeholdergroup, subsidiary_of,
+         CAST(generate_subscripts(string_split(email_domains, ','), 1) - 1 AS INTEGER) AS domain_pos,
+         lower(trim(unnest(string_split(email_domains, ',')))) AS domain
+  FROM org_p
+),
+cat_x AS (
+  SELECT row_no, domain_pos, domain,
+         generate_subscripts(string_split(category, ','), 1) AS cat_pos,
+         trim(unnest(string_split(category, ','))) AS category
+  FROM org_dim WHERE category IS NOT NULL AND domain IS NOT NULL
+),
+cat_dim AS (
+  SELECT domain, category FROM (
+    SELECT domain, category, row_number() OVER (PARTITION BY domain ORDER BY row_no, domain_pos, cat_pos) AS rn
+    FROM cat_x WHERE category IS NOT NULL) WHERE rn = 1
+),
+nat_dim AS (
+  SELECT domain, nationality FROM (
+    SELECT domain, nationality, row_number() OVER (PARTITION BY domain ORDER BY row_no, domain_pos) AS rn
+    FROM org_dim WHERE full_name IS NOT NULL AND nationality IS NOT NULL AND domain IS NOT NULL) WHERE rn = 1
+),
+shg_dim AS (
+  SELECT domain, stakeholdergroup FROM (
+    SELECT domain, stakeholdergroup, row_number() OVER (PARTITION BY domain ORDER BY row_no, domain_pos) AS rn
+    FROM org_dim WHERE stakeholdergroup IS NOT NULL AND domain IS NOT NULL) WHERE rn = 1
+)"""
+
+ENRICHED = PARSED + ",\n" + ORG + """,
+enriched AS (
+  SELECT p.*, coalesce(trim(c.category), 'Unknown') AS from_category,
+         coalesce(trim(s.stakeholdergroup), 'Unknown') AS from_stakeholdergroup,
+         coalesce(trim(n.nationality), 'Unknown') AS from_nationality
+  FROM parsed p LEFT JOIN cat_dim c ON p.sender_domain = c.domain
+  LEFT JOIN shg_dim s ON p.sender_domain = s.domain
+  LEFT JOIN nat_dim n ON p.sender_domain = n.domain
+),
+yrs AS (SELECT min(sent_year) AS lo, max(sent_year) AS hi FROM parsed WHERE sent_at IS NOT NULL),
+year_list AS (SELECT CAST(generate_series AS INTEGER) AS year
+              FROM generate_series((SELECT lo FROM yrs), (SELECT hi FROM yrs)))"""
+
+
+def yearly_sql(group_col: str) -> str:
+    return f"""WITH {ENRICHED},
+grps AS (SELECT DISTINCT {group_col} AS grp FROM enriched),
+cnt AS (SELECT {group_col} AS grp, sent_year AS year, count(*) AS n FROM enriched
+        WHERE sent_year BETWEEN (SELECT lo FROM yrs) AND (SELECT hi FROM yrs) GROUP BY ALL),
+yearly AS (SELECT g.grp, y.year, coalesce(c.n, 0) AS n FROM grps g CROSS JOIN year_list y
+           LEFT JOIN cnt c ON c.grp IS NOT DISTINCT FROM g.grp AND c.year = y.year)"""
+
+
+oracle("parse_address", f"""WITH {Q.MESSAGES}
+SELECT msg_id, nullif(trim(regexp_extract("from", {Q.lit(NAME_RE)}, 1)), '') AS sender_name,
+       nullif(regexp_extract("from", {Q.lit(ADDRESS_RE)}, 1), '') AS sender_local,
+       nullif(lower(regexp_extract("from", {Q.lit(ADDRESS_RE)}, 2)), '') AS sender_domain
+FROM messages""")
+oracle("parse_mail_date", f"""WITH {PARSED}
+SELECT msg_id, CAST(epoch(sent_at) AS BIGINT) AS sent_epoch, sent_year FROM parsed""")
+oracle("messages_per_address", f"""WITH {PARSED}
+SELECT sender_email AS email, count(*) AS n FROM parsed WHERE sender_email IS NOT NULL
+GROUP BY sender_email ORDER BY n DESC, email""")
+oracle("member_totals", f"""WITH {PARSED}
+SELECT count(*) AS n_messages, count(sender_email) AS n_attributed,
+       count(DISTINCT sender_email) AS n_members, count(*) FILTER (WHERE sender_email IS NULL) AS n_unparsable
+FROM parsed""")
+oracle("most_active_members", f"""WITH {PARSED},
+pm AS (SELECT sender_email AS email, count(*) AS n FROM parsed WHERE sender_email IS NOT NULL GROUP BY ALL)
+SELECT email, n FROM pm WHERE n > CAST(floor((SELECT quantile_cont(n, 0.9) FROM pm)) AS BIGINT)""")
+oracle("messages_per_domain", f"""WITH {PARSED}
+SELECT sender_domain AS domain, count(*) AS n FROM parsed WHERE sender_domain IS NOT NULL
+GROUP BY ALL ORDER BY n, domain""")
+oracle("distinct_domains", f"""WITH {PARSED}
+SELECT count(DISTINCT domain) AS n_domains FROM (
+  SELECT sender_domain AS domain FROM parsed UNION ALL SELECT receiver_domain FROM parsed)""")
+oracle("domain_year_counts", f"""WITH {PARSED}
+SELECT sender_domain AS domain, sent_year AS year, count(*) AS n FROM parsed
+WHERE sender_domain IS NOT NULL AND sent_year IS NOT NULL GROUP BY ALL""")
+oracle("activity_period", f"""WITH {PARSED}
+SELECT CAST(epoch(min(sent_at)) AS BIGINT) AS first_epoch, CAST(epoch(max(sent_at)) AS BIGINT) AS last_epoch,
+       min(sent_year) AS first_year, max(sent_year) AS last_year
+FROM parsed WHERE sent_at IS NOT NULL""")
+oracle("crop_by_year", f"""WITH {PARSED}
+SELECT msg_id, sent_year FROM parsed WHERE sent_year >= 1996 AND sent_year < 1999""")
+oracle("crop_by_domain", f"""WITH {PARSED}
+SELECT msg_id, sender_domain FROM parsed WHERE sender_domain IN ('nation_1.example', 'nation_2.example')""")
+oracle("trim_all", f"WITH {ORG} SELECT * FROM org_t")
+oracle("expand_multi_entries", f"""WITH {ORG}
+SELECT row_no, CAST(generate_subscripts(string_split(email_domains, ','), 1) - 1 AS INTEGER) AS domain_pos,
+       trim(unnest(string_split(email_domains, ','))) AS email_domains FROM org_t""")
+oracle("parent_nationality", f"WITH {ORG} SELECT row_no, name, nationality FROM org_p")
+oracle("dropna_subset", f"""WITH {ORG}
+SELECT row_no, name, subsidiary_of FROM org_t WHERE subsidiary_of IS NOT NULL""")
+oracle("dropna_any", f"""WITH {ORG}
+SELECT full_name, nationality, subsidiary_of FROM org_t
+WHERE full_name IS NOT NULL AND nationality IS NOT NULL AND subsidiary_of IS NOT NULL""")
+oracle("org_dimension", f"""WITH {ORG}
+SELECT row_no, domain_pos, domain, name, nationality, category, stakeholdergroup FROM org_dim""")
+oracle("map_labels", f"""WITH {ORG}
+SELECT d.row_no, d.domain_pos, r.r_name AS nationality
+FROM org_dim d LEFT JOIN nation n ON d.nationality = n.n_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
+oracle("enrich_category", f"WITH {ENRICHED} SELECT msg_id, from_category FROM enriched")
+oracle("enrich_stakeholder", f"WITH {ENRICHED} SELECT msg_id, from_stakeholdergroup FROM enriched")
+oracle("enrich_nationality", f"WITH {ENRICHED} SELECT msg_id, from_nationality FROM enriched")
+oracle("yearly_counts_category", yearly_sql("from_category") + " SELECT grp, year, n FROM yearly")
+oracle("yearly_counts_stakeholder", yearly_sql("from_stakeholdergroup") + " SELECT grp, year, n FROM yearly")
+oracle("yearly_counts_nation", yearly_sql("from_nationality") + " SELECT grp, year, n FROM yearly")
+TARGET_YEARLY = f"""WITH {ENRICHED},
+ct AS (SELECT sent_year AS year, count(*) AS n FROM parsed WHERE is_target
+       AND sent_year BETWEEN (SELECT lo FROM yrs) AND (SELECT hi FROM yrs) GROUP BY ALL),
+ca AS (SELECT sent_year AS year, count(*) AS n FROM parsed
+       WHERE sent_year BETWEEN (SELECT lo FROM yrs) AND (SELECT hi FROM yrs) GROUP BY ALL),
+yt AS (SELECT y.year, coalesce(ct.n, 0) AS n FROM year_list y LEFT JOIN ct ON y.year = ct.year),
+ya AS (SELECT y.year, coalesce(ca.n, 0) AS n FROM year_list y LEFT JOIN ca ON y.year = ca.year)"""
+oracle("yearly_counts_target", TARGET_YEARLY + " SELECT year, n FROM yt")
+oracle("target_share", TARGET_YEARLY + """
+SELECT yt.year, yt.n AS n_t, ya.n AS n_s, CASE WHEN ya.n <> 0 THEN yt.n / ya.n END - 1 AS share
+FROM yt JOIN ya ON yt.year = ya.year""")
+oracle("group_totals", yearly_sql("from_nationality") + """
+SELECT grp, sum(n) AS total FROM yearly GROUP BY grp ORDER BY total, grp""")
+oracle("rank_by_last_year", yearly_sql("from_category") + """
+SELECT grp, n AS n_last, row_number() OVER (ORDER BY n, grp) AS rank
+FROM yearly WHERE year = (SELECT max(year) FROM yearly)""")
+oracle("stacked_bands", yearly_sql("from_category") + """,
+lastn AS (SELECT grp, n AS n_last FROM yearly WHERE year = (SELECT max(year) FROM yearly))
+SELECT y.grp, y.year, y.n,
+       sum(y.n) OVER w - y.n AS lower, sum(y.n) OVER w AS upper
+FROM yearly y JOIN lastn l ON y.grp IS NOT DISTINCT FROM l.grp
+WINDOW w AS (PARTITION BY y.year ORDER BY l.n_last, y.grp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+oracle("split_by_target_set", f"""WITH {Q.hits_cte('token')}
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hits) THEN 'target' ELSE 'search' END AS side
+FROM documents""")
+oracle("select_by_id", """
+SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+oracle("corpus_union", """WITH r AS (SELECT doc_id, text FROM documents
+                                      WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+s AS (SELECT doc_id, text FROM documents WHERE lang = 'en')
+SELECT doc_id, 'R' AS origin, length(text) AS n_chars FROM r WHERE doc_id NOT IN (SELECT doc_id FROM s)
+UNION ALL SELECT doc_id, 'S', length(text) FROM s""")
+
+# --- threads, pages ---------------------------------------------------------------------------
+
+THREADS = """threads AS (
+  SELECT conv_id AS msg_id,
+         coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS body,
+         coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'system'), '') AS attachment,
+         count(*) FILTER (WHERE role = 'system') AS n_att
+  FROM conversations GROUP BY conv_id
+)"""
+oracle("attachment_text", f"WITH {THREADS} SELECT msg_id, attachment FROM threads")
+oracle("messages_with_attachment", f"WITH {THREADS} SELECT msg_id FROM threads WHERE n_att > 0")
+oracle("keyterm_hits_fields", f"""WITH {Q.PROFILE}, {THREADS},
+tclean AS (SELECT t.msg_id, {Q.search_clean('t.body')} AS body, {Q.search_clean('t.attachment')} AS attachment
+           FROM threads t, profile p),
+f AS (SELECT msg_id, 'body' AS field, body AS txt FROM tclean
+      UNION ALL SELECT msg_id, 'attachment', attachment FROM tclean)
+SELECT msg_id, field, query, cnt FROM (
+  SELECT f.msg_id, f.field, q.query, {Q.token_count('f.txt', 'q.query')} AS cnt FROM f, queries q)
+WHERE cnt > 0""")
+oracle("pages_source", """
+SELECT url, length(lower(coalesce(html, ''))) AS n_chars, md5(lower(coalesce(html, ''))) AS text_md5 FROM pages""")
+oracle("document_name", f"""
+SELECT page_id, string_split(regexp_extract(url, {Q.lit(HOST_RE)}, 1), '.')[2] AS doc_name,
+       string_split(url, '/')[-1] AS last_segment FROM pages""")
+oracle("assemble_pages", """
+SELECT conv_id AS doc_id,
+       md5(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role <> 'system'), '')) AS text_md5,
+       count(*) FILTER (WHERE role <> 'system') AS n_read, count(*) AS n_total
+FROM conversations GROUP BY conv_id""")
+
+# --- graphs -------------------------------------------------------------------------------------
+
+GRAPHS = ENRICHED + """,
+dg AS (SELECT sender_domain AS src, receiver_domain AS dst, count(*) AS weight FROM parsed
+       WHERE sender_domain IS NOT NULL AND receiver_domain IS NOT NULL GROUP BY ALL),
+tg AS (SELECT sender_domain AS src, receiver_domain AS dst, count(*) AS weight FROM parsed
+       WHERE is_target AND sender_domain IS NOT NULL AND receiver_domain IS NOT NULL GROUP BY ALL),
+fg AS (SELECT src, dst, weight FROM tg WHERE cbrt(weight) >=
+         (SELECT min(t) FROM (SELECT cbrt(weight) AS t FROM tg ORDER BY t DESC LIMIT 20))),
+per AS (SELECT *, CASE WHEN sent_year >= 1995 AND sent_year < 1998 THEN '1995-1998'
+                       WHEN sent_year >= 1998 AND sent_year < 2002 THEN '1998-2002' END AS period
+        FROM parsed),
+pg AS (SELECT period, sender_domain AS src, receiver_domain AS dst, count(*) AS weight FROM per
+       WHERE period IS NOT NULL AND sender_domain IS NOT NULL AND receiver_domain IS NOT NULL GROUP BY ALL),
+cpg AS (SELECT t.period, cs.category AS src, cd.category AS dst, sum(t.weight) AS weight
+        FROM (SELECT period, sender_domain AS src, receiver_domain AS dst, count(*) AS weight FROM per
+              WHERE is_target AND period IS NOT NULL AND sender_domain IS NOT NULL
+                AND receiver_domain IS NOT NULL GROUP BY ALL) t
+        JOIN cat_dim cs ON t.src = cs.domain JOIN cat_dim cd ON t.dst = cd.domain GROUP BY ALL),
+fn AS (SELECT src AS node FROM fg UNION SELECT dst FROM fg),
+fe AS (SELECT DISTINCT src, dst FROM fg WHERE src <> dst)"""
+
+
+def degree_sql(edges: str) -> str:
+    return f"""SELECT node, count(*) / ((SELECT count(*) FROM (SELECT src AS node FROM {edges}
+                 UNION SELECT dst FROM {edges})) - 1) AS centrality
+FROM (SELECT src AS node FROM {edges} UNION ALL SELECT dst FROM {edges}) GROUP BY node"""
+
+
+PATHS = """,
+reach(s, v, d) AS (SELECT node, node, 0 FROM fn
+                   UNION SELECT r.s, e.dst, r.d + 1 FROM reach r JOIN fe e ON r.v = e.src
+                   WHERE r.d < (SELECT count(*) FROM fn)),
+dist AS (SELECT s, v, min(d) AS d FROM reach GROUP BY s, v),
+sp(s, v, d) AS (SELECT node, node, 0 FROM fn
+                UNION ALL SELECT p.s, e.dst, p.d + 1 FROM sp p JOIN fe e ON p.v = e.src
+                JOIN dist t ON t.s = p.s AND t.v = e.dst AND t.d = p.d + 1),
+sigma AS (SELECT s, v, any_value(d) AS d, count(*) AS sg FROM sp GROUP BY s, v)"""
+
+oracle("domain_digraph", f"WITH {GRAPHS} SELECT src, dst, weight FROM dg")
+oracle("contracted_digraph", f"""WITH {GRAPHS}
+SELECT cs.category AS src, cd.category AS dst, sum(dg.weight) AS weight
+FROM dg JOIN cat_dim cs ON dg.src = cs.domain JOIN cat_dim cd ON dg.dst = cd.domain GROUP BY ALL""")
+oracle("digraph_by_period", f"WITH {GRAPHS} SELECT period, src, dst, weight FROM pg")
+oracle("degree_centrality", f"WITH {GRAPHS} {degree_sql('fg')}")
+oracle("contracted_degree_centrality", f"""WITH {GRAPHS},
+c2 AS (SELECT src, dst, weight FROM cpg WHERE period = '1998-2002') {degree_sql('c2')}""")
+oracle("closeness_centrality", f"""WITH RECURSIVE {GRAPHS} {PATHS}
+SELECT v AS node, CASE WHEN sum(d) > 0 THEN ((count(*) - 1) / sum(d)) * ((count(*) - 1) /
+       ((SELECT count(*) FROM fn) - 1)) ELSE 0.0 END AS centrality
+FROM dist GROUP BY v""")
+oracle("betweenness_centrality", f"""WITH RECURSIVE {GRAPHS} {PATHS},
+pairs AS (SELECT a.v AS node, a.sg * b.sg / c.sg AS part
+          FROM sigma a JOIN sigma b ON a.v = b.s JOIN sigma c ON c.s = a.s AND c.v = b.v
+          WHERE a.s <> a.v AND b.v <> b.s AND a.s <> b.v AND a.d + b.d = c.d)
+SELECT fn.node, coalesce(sum(pairs.part), 0.0) * (CASE WHEN (SELECT count(*) FROM fn) > 2
+       THEN 1.0 / (((SELECT count(*) FROM fn) - 1) * ((SELECT count(*) FROM fn) - 2)) ELSE 1.0 END) AS centrality
+FROM fn LEFT JOIN pairs ON fn.node = pairs.node GROUP BY fn.node""")
+oracle("out_edges", f"""WITH {GRAPHS}
+SELECT fn.node, count(fg.src) AS n_out FROM fn LEFT JOIN fg ON fn.node = fg.src GROUP BY fn.node""")
+oracle("reciprocal_edges", f"""WITH {GRAPHS}
+SELECT a.src, a.dst, a.weight, b.src IS NOT NULL AS reciprocal
+FROM fg a LEFT JOIN fg b ON a.src = b.dst AND a.dst = b.src""")
+oracle("foreground_edges", f"""WITH {GRAPHS},
+t AS (SELECT *, cbrt(weight) AS thickness FROM pg),
+thr AS (SELECT period, min(thickness) AS thr FROM (
+          SELECT period, thickness, row_number() OVER (PARTITION BY period ORDER BY thickness DESC) AS rn FROM t)
+        WHERE rn <= 20 GROUP BY period)
+SELECT t.period, t.src, t.dst, t.weight, t.thickness, t.thickness >= thr.thr AS foreground
+FROM t JOIN thr ON t.period = thr.period""")
+oracle("induced_subgraph", f"""WITH {GRAPHS}
+SELECT src, dst, weight FROM tg WHERE src IN (SELECT node FROM fn) AND dst IN (SELECT node FROM fn)""")
+oracle("edge_thickness", f"WITH {GRAPHS} SELECT period, src, dst, weight, cbrt(weight) AS thickness FROM cpg")
+oracle("node_weight", f"""WITH {GRAPHS}
+SELECT node, sum(weight) AS node_weight FROM (SELECT src AS node, weight FROM dg
+  UNION ALL SELECT dst, weight FROM dg) GROUP BY node""")
+oracle("edge_weight_limits", f"""WITH {GRAPHS}
+SELECT min(weight) AS w_min, max(weight) AS w_max, cbrt(min(weight)) AS t_min, cbrt(max(weight)) AS t_max FROM cpg""")
+oracle("edges_of_node", f"""WITH {GRAPHS}
+SELECT src, dst, weight FROM tg WHERE src = (SELECT min(src) FROM fg) OR dst = (SELECT min(src) FROM fg)""")
+oracle("edges_excluding", f"""WITH {GRAPHS}
+SELECT src, dst, weight FROM tg WHERE (src, dst) NOT IN (SELECT (src, dst) FROM fg)""")

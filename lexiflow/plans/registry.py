@@ -279,3 +279,396 @@ def q_rank_cosine(spark, sf_dir):
     idf = (m.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))
     return RK.rank_cosine(weights, RK.query_term_weights(queries, idf))
+
+
+# --- actors -------------------------------------------------------------------------------
+
+from lexiflow.functions import mail as M  # noqa: E402
+from lexiflow.operators import actors as A  # noqa: E402
+from lexiflow.operators import graph as G  # noqa: E402
+from lexiflow.sources import tables as ST  # noqa: E402
+
+PERIODS = [(1995, 1998), (1998, 2002)]
+
+
+def parsed_messages(spark, sf_dir):
+    return A.parse_messages(S.messages(spark, sf_dir))
+
+
+def org_dim(spark, sf_dir):
+    return A.org_dimension(S.organisations(spark, sf_dir))
+
+
+def category_dim(spark, sf_dir):
+    d = org_dim(spark, sf_dir).select("row_no", "domain_pos", "full_name", "category", "domain")
+    d = A.expand_multi_entries(d.na.drop(subset=["category", "domain"]), "category", pos_col="cat_pos")
+    return A.first_match(d, "category", order=("row_no", "domain_pos", "cat_pos"))
+
+
+def nation_dim(spark, sf_dir):
+    d = org_dim(spark, sf_dir).select("row_no", "domain_pos", "full_name", "nationality", "domain")
+    return A.first_match(d.na.drop(), "nationality")
+
+
+def stakeholder_dim(spark, sf_dir):
+    return A.first_match(org_dim(spark, sf_dir), "stakeholdergroup")
+
+
+def enriched_messages(spark, sf_dir):
+    m = parsed_messages(spark, sf_dir)
+    m = A.enrich(m, category_dim(spark, sf_dir), "category", "from_category")
+    m = A.enrich(m, stakeholder_dim(spark, sf_dir), "stakeholdergroup", "from_stakeholdergroup")
+    return A.enrich(m, nation_dim(spark, sf_dir), "nationality", "from_nationality")
+
+
+@register("parse_address")
+def q_parse_address(spark, sf_dir):
+    m = S.messages(spark, sf_dir)
+    return m.select("msg_id", M.address_name(F.col("from")).alias("sender_name"),
+                    M.address_local(F.col("from")).alias("sender_local"),
+                    M.address_domain(F.col("from")).alias("sender_domain"))
+
+
+@register("parse_mail_date")
+def q_parse_mail_date(spark, sf_dir):
+    m = parsed_messages(spark, sf_dir)
+    return m.select("msg_id", F.unix_timestamp("sent_at").alias("sent_epoch"), "sent_year")
+
+
+@register("messages_per_address")
+def q_messages_per_address(spark, sf_dir):
+    return A.messages_per_address(parsed_messages(spark, sf_dir))
+
+
+@register("member_totals")
+def q_member_totals(spark, sf_dir):
+    return A.member_totals(parsed_messages(spark, sf_dir))
+
+
+@register("most_active_members")
+def q_most_active_members(spark, sf_dir):
+    return A.most_active_members(A.messages_per_address(parsed_messages(spark, sf_dir)))
+
+
+@register("messages_per_domain")
+def q_messages_per_domain(spark, sf_dir):
+    return A.messages_per_domain(parsed_messages(spark, sf_dir))
+
+
+@register("distinct_domains")
+def q_distinct_domains(spark, sf_dir):
+    return A.distinct_domains(parsed_messages(spark, sf_dir))
+
+
+@register("domain_year_counts")
+def q_domain_year_counts(spark, sf_dir):
+    return A.domain_year_counts(parsed_messages(spark, sf_dir))
+
+
+@register("activity_period")
+def q_activity_period(spark, sf_dir):
+    p = A.activity_period(parsed_messages(spark, sf_dir))
+    return p.select(F.unix_timestamp("first_at").alias("first_epoch"),
+                    F.unix_timestamp("last_at").alias("last_epoch"), "first_year", "last_year")
+
+
+@register("crop_by_year")
+def q_crop_by_year(spark, sf_dir):
+    return A.crop_by_year(parsed_messages(spark, sf_dir), 1996, 1999).select("msg_id", "sent_year")
+
+
+@register("crop_by_domain")
+def q_crop_by_domain(spark, sf_dir):
+    m = A.crop_by_domain(parsed_messages(spark, sf_dir), ["nation_1.example", "nation_2.example"])
+    return m.select("msg_id", "sender_domain")
+
+
+@register("trim_all")
+def q_trim_all(spark, sf_dir):
+    return A.trim_all(S.organisations(spark, sf_dir))
+
+
+@register("expand_multi_entries")
+def q_expand_multi_entries(spark, sf_dir):
+    o = A.trim_all(S.organisations(spark, sf_dir)).select("row_no", "email_domains")
+    return A.expand_multi_entries(o, "email_domains", pos_col="domain_pos")
+
+
+@register("parent_nationality")
+def q_parent_nationality(spark, sf_dir):
+    o = A.parent_nationality(A.trim_all(S.organisations(spark, sf_dir)))
+    return o.select("row_no", "name", "nationality")
+
+
+@register("dropna_subset")
+def q_dropna_subset(spark, sf_dir):
+    return A.trim_all(S.organisations(spark, sf_dir)).na.drop(subset=["subsidiary_of"]) \
+        .select("row_no", "name", "subsidiary_of")
+
+
+@register("dropna_any")
+def q_dropna_any(spark, sf_dir):
+    o = A.trim_all(S.organisations(spark, sf_dir)).select("full_name", "nationality", "subsidiary_of")
+    return o.na.drop(how="any")
+
+
+@register("org_dimension")
+def q_org_dimension(spark, sf_dir):
+    return org_dim(spark, sf_dir).select("row_no", "domain_pos", "domain", "name", "nationality",
+                                         "category", "stakeholdergroup")
+
+
+@register("map_labels")
+def q_map_labels(spark, sf_dir):
+    mapping = S.table(spark, sf_dir, "nation").join(
+        S.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")) \
+        .select(F.col("n_name").alias("key"), F.col("r_name").alias("label"))
+    d = org_dim(spark, sf_dir).select("row_no", "domain_pos", "nationality")
+    return A.map_labels(d, "nationality", mapping, on_missing="error")
+
+
+@register("enrich_category")
+def q_enrich_category(spark, sf_dir):
+    return enriched_messages(spark, sf_dir).select("msg_id", "from_category")
+
+
+@register("enrich_stakeholder")
+def q_enrich_stakeholder(spark, sf_dir):
+    return enriched_messages(spark, sf_dir).select("msg_id", "from_stakeholdergroup")
+
+
+@register("enrich_nationality")
+def q_enrich_nationality(spark, sf_dir):
+    return enriched_messages(spark, sf_dir).select("msg_id", "from_nationality")
+
+
+def _yearly(spark, sf_dir, group_col):
+    m = enriched_messages(spark, sf_dir)
+    years = A.year_range(A.with_valid_date(m))
+    return A.yearly_counts(m, group_col, years)
+
+
+@register("yearly_counts_category")
+def q_yearly_counts_category(spark, sf_dir):
+    return _yearly(spark, sf_dir, "from_category")
+
+
+@register("yearly_counts_stakeholder")
+def q_yearly_counts_stakeholder(spark, sf_dir):
+    return _yearly(spark, sf_dir, "from_stakeholdergroup")
+
+
+@register("yearly_counts_nation")
+def q_yearly_counts_nation(spark, sf_dir):
+    return _yearly(spark, sf_dir, "from_nationality")
+
+
+def _target_and_all_yearly(spark, sf_dir):
+    m = parsed_messages(spark, sf_dir)
+    years = A.year_range(A.with_valid_date(m))
+    return (A.yearly_counts(m.where(F.col("is_target")), None, years),
+            A.yearly_counts(m, None, years))
+
+
+@register("yearly_counts_target")
+def q_yearly_counts_target(spark, sf_dir):
+    return _target_and_all_yearly(spark, sf_dir)[0]
+
+
+@register("target_share")
+def q_target_share(spark, sf_dir):
+    t, s = _target_and_all_yearly(spark, sf_dir)
+    return A.target_share(t, s)
+
+
+@register("group_totals")
+def q_group_totals(spark, sf_dir):
+    return A.group_totals(_yearly(spark, sf_dir, "from_nationality"))
+
+
+@register("rank_by_last_year")
+def q_rank_by_last_year(spark, sf_dir):
+    return A.rank_by_last_year(_yearly(spark, sf_dir, "from_category"))
+
+
+@register("stacked_bands")
+def q_stacked_bands(spark, sf_dir):
+    return A.stacked_bands(_yearly(spark, sf_dir, "from_category"))
+
+
+@register("split_by_target_set")
+def q_split_by_target_set(spark, sf_dir):
+    docs = S.corpus(spark, sf_dir).select("doc_id")
+    hit_ids = _hit_doc_ids(spark, sf_dir)
+    inside = docs.join(hit_ids, "doc_id", "left_semi").withColumn("side", F.lit("target"))
+    outside = docs.join(hit_ids, "doc_id", "left_anti").withColumn("side", F.lit("search"))
+    return inside.unionByName(outside)
+
+
+@register("select_by_id")
+def q_select_by_id(spark, sf_dir):
+    sel = S.table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.join(sel, "doc_id", "left_semi")
+
+
+@register("corpus_union")
+def q_corpus_union(spark, sf_dir):
+    r = S.corpus(spark, sf_dir).join(reference_ids(spark, sf_dir), "doc_id", "left_semi")
+    s = S.table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    u = r.join(s.select("doc_id"), "doc_id", "left_anti").withColumn("origin", F.lit("R")) \
+        .unionByName(s.withColumn("origin", F.lit("S")))
+    return u.select("doc_id", "origin", F.length("text").alias("n_chars"))
+
+
+# --- threads, pages -------------------------------------------------------------------------
+
+@register("attachment_text")
+def q_attachment_text(spark, sf_dir):
+    t = S.threads(spark, sf_dir)
+    return t.select("msg_id", F.concat_ws(" ", "attachments").alias("attachment"))
+
+
+@register("messages_with_attachment")
+def q_messages_with_attachment(spark, sf_dir):
+    return S.threads(spark, sf_dir).where(F.size("attachments") > 0).select("msg_id")
+
+
+@register("keyterm_hits_fields")
+def q_keyterm_hits_fields(spark, sf_dir):
+    t = S.threads(spark, sf_dir).select("msg_id", "body",
+                                        F.concat_ws(" ", "attachments").alias("attachment"))
+    hits, _, _ = jobs.keyterm_search(t, S.raw_keyterms(spark, sf_dir), id_col="msg_id",
+                                     fields={"body": "body", "attachment": "attachment"})
+    return hits
+
+
+@register("pages_source")
+def q_pages_source(spark, sf_dir):
+    return ST.pages_source(S.table(spark, sf_dir, "pages")).select(
+        "url", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("document_name")
+def q_document_name(spark, sf_dir):
+    p = S.table(spark, sf_dir, "pages")
+    return p.select("page_id", ST.name_from_url(F.col("url")).alias("doc_name"),
+                    ST.name_from_path(F.col("url")).alias("last_segment"))
+
+
+@register("assemble_pages")
+def q_assemble_pages(spark, sf_dir):
+    c = S.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text",
+        (F.col("role") != "system").alias("ok"))
+    a = ST.assemble_pages(c)
+    return a.select("doc_id", F.md5("text").alias("text_md5"), "n_read", "n_total")
+
+
+# --- graphs ------------------------------------------------------------------------------------
+
+def domain_graph(spark, sf_dir):
+    return G.digraph(parsed_messages(spark, sf_dir))
+
+
+def target_graph(spark, sf_dir):
+    return G.digraph(parsed_messages(spark, sf_dir).where(F.col("is_target")))
+
+
+def foreground_graph(spark, sf_dir):
+    return G.foreground_edges(target_graph(spark, sf_dir)).where("foreground") \
+        .select("src", "dst", "weight")
+
+
+def contracted_period_graph(spark, sf_dir):
+    m = G.with_period(parsed_messages(spark, sf_dir).where(F.col("is_target")), PERIODS)
+    e = G.digraph(m, by=["period"])
+    attr = category_dim(spark, sf_dir).select(F.col("domain").alias("node"), F.col("category").alias("attr"))
+    return G.contract(e, attr, by=["period"])
+
+
+@register("domain_digraph")
+def q_domain_digraph(spark, sf_dir):
+    return domain_graph(spark, sf_dir)
+
+
+@register("contracted_digraph")
+def q_contracted_digraph(spark, sf_dir):
+    attr = category_dim(spark, sf_dir).select(F.col("domain").alias("node"), F.col("category").alias("attr"))
+    return G.contract(domain_graph(spark, sf_dir), attr)
+
+
+@register("digraph_by_period")
+def q_digraph_by_period(spark, sf_dir):
+    m = G.with_period(parsed_messages(spark, sf_dir), PERIODS)
+    return G.digraph(m, by=["period"])
+
+
+@register("degree_centrality")
+def q_degree_centrality(spark, sf_dir):
+    return G.degree_centrality(foreground_graph(spark, sf_dir))
+
+
+@register("closeness_centrality")
+def q_closeness_centrality(spark, sf_dir):
+    return G.closeness_centrality(foreground_graph(spark, sf_dir))
+
+
+@register("betweenness_centrality")
+def q_betweenness_centrality(spark, sf_dir):
+    return G.betweenness_centrality(foreground_graph(spark, sf_dir))
+
+
+@register("contracted_degree_centrality")
+def q_contracted_degree_centrality(spark, sf_dir):
+    e = contracted_period_graph(spark, sf_dir).where(F.col("period") == "1998-2002").drop("period")
+    return G.degree_centrality(e)
+
+
+@register("out_edges")
+def q_out_edges(spark, sf_dir):
+    return G.out_edges(foreground_graph(spark, sf_dir))
+
+
+@register("reciprocal_edges")
+def q_reciprocal_edges(spark, sf_dir):
+    return G.reciprocal_edges(foreground_graph(spark, sf_dir))
+
+
+@register("foreground_edges")
+def q_foreground_edges(spark, sf_dir):
+    m = G.with_period(parsed_messages(spark, sf_dir), PERIODS)
+    return G.foreground_edges(G.digraph(m, by=["period"]), k=20, by=["period"])
+
+
+@register("induced_subgraph")
+def q_induced_subgraph(spark, sf_dir):
+    fg = foreground_graph(spark, sf_dir)
+    return G.induced_subgraph(target_graph(spark, sf_dir), G.nodes(fg))
+
+
+@register("edge_thickness")
+def q_edge_thickness(spark, sf_dir):
+    return G.edge_thickness(contracted_period_graph(spark, sf_dir))
+
+
+@register("node_weight")
+def q_node_weight(spark, sf_dir):
+    return G.node_weight(domain_graph(spark, sf_dir))
+
+
+@register("edge_weight_limits")
+def q_edge_weight_limits(spark, sf_dir):
+    return G.edge_weight_limits(contracted_period_graph(spark, sf_dir))
+
+
+@register("edges_of_node")
+def q_edges_of_node(spark, sf_dir):
+    fg = foreground_graph(spark, sf_dir)
+    first = fg.agg(F.min("src")).first()[0]
+    return G.edges_of_node(target_graph(spark, sf_dir), first)
+
+
+@register("edges_excluding")
+def q_edges_excluding(spark, sf_dir):
+    return G.edges_excluding(target_graph(spark, sf_dir), foreground_graph(spark, sf_dir))

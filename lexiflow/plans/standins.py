@@ -74,7 +74,7 @@ def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organisation table in the reference's CSV shape, one row per nation.
 
     name/nationality = nation, category = region, stakeholder group = region name in
-    title case, two e-mail domains as a comma list, parent = the region's first nation
+    lower case, two e-mail domains as a comma list, parent = the region's first nation
     (none for that nation itself); ``row_no`` keeps the file order.
     """
     n = table(spark, sf_dir, "nation")
@@ -88,7 +88,20 @@ def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("n_name"), F.lit(" org")).alias("full_name"),
         F.col("n_name").alias("nationality"),
         F.col("r_name").alias("category"),
-        F.initcap(F.lower("r_name")).alias("stakeholdergroup"),
+        F.lower("r_name").alias("stakeholdergroup"),
         F.concat(dom, F.lit(".example, mail."), dom, F.lit(".example")).alias("email_domains"),
         F.when(first != F.col("n_name"), first).alias("subsidiary_of"),
     )
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per conversation: ``body`` = user/assistant turns in turn order,
+    ``attachments`` = texts of system turns (array, turn order)."""
+    c = table(spark, sf_dir, "conversations")
+    part = F.struct("turn", "text")
+    g = c.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("role") != "system", part))).alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "system", part))).alias("a"))
+    return g.select(F.col("conv_id").alias("msg_id"),
+                    F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("body"),
+                    F.transform("a", lambda x: x["text"]).alias("attachments"))
