@@ -466,3 +466,64 @@ oracle("edges_of_node", f"""WITH {GRAPHS}
 SELECT src, dst, weight FROM tg WHERE src = (SELECT min(src) FROM fg) OR dst = (SELECT min(src) FROM fg)""")
 oracle("edges_excluding", f"""WITH {GRAPHS}
 SELECT src, dst, weight FROM tg WHERE (src, dst) NOT IN (SELECT (src, dst) FROM fg)""")
+
+
+# --- keyword discovery ----------------------------------------------------------------------
+
+DISC = ",\n".join([
+    cleaned("docs_tr", TR), R_IDS,
+    "rdocs AS (SELECT * FROM docs_tr WHERE doc_id IN (SELECT doc_id FROM r_ids))",
+    "sdocs AS (SELECT * FROM docs_tr WHERE doc_id NOT IN (SELECT doc_id FROM r_ids))",
+    """r_train AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (
+         ORDER BY md5('12345:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM rdocs)
+       WHERE rn <= (SELECT CAST(round(count(*) * 1.0) AS BIGINT) FROM rdocs))""",
+    """s_train AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (
+         ORDER BY md5('12345:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM sdocs)
+       WHERE rn <= (SELECT CAST(floor(count(*) * 0.33) AS BIGINT) FROM sdocs))""",
+    "train AS (SELECT doc_id, 0 AS label FROM r_train UNION ALL SELECT doc_id, 1 FROM s_train)",
+    dtm_ctes("cm", "docs_tr", 2, 1, 1.0, N_DOCS),
+    """tc AS (SELECT term, sum(CASE WHEN label = 0 THEN cnt ELSE 0 END) AS n0,
+                  sum(CASE WHEN label = 1 THEN cnt ELSE 0 END) AS n1
+           FROM cm JOIN train USING (doc_id) GROUP BY term)""",
+    """nbp AS (SELECT (SELECT count(DISTINCT term) FROM cm) AS v,
+                   (SELECT sum(n0) FROM tc) AS big0, (SELECT sum(n1) FROM tc) AS big1,
+                   (SELECT count(*) FROM train WHERE label = 0) AS c0,
+                   (SELECT count(*) FROM train WHERE label = 1) AS c1,
+                   (SELECT count(*) FROM train) AS n)""",
+    """nbs AS (SELECT d.doc_id, coalesce(sum(cm.cnt * ln(coalesce(tc.n0, 0) + 1.0)), 0) AS a0,
+                   coalesce(sum(cm.cnt * ln(coalesce(tc.n1, 0) + 1.0)), 0) AS a1,
+                   coalesce(sum(cm.cnt), 0) AS len
+            FROM sdocs d LEFT JOIN cm ON d.doc_id = cm.doc_id LEFT JOIN tc ON cm.term = tc.term
+            GROUP BY d.doc_id)""",
+    """votes AS (SELECT s.doc_id, CASE WHEN ln(p.c1 / p.n) + s.a1 - s.len * ln(p.big1 + p.v)
+                                      > ln(p.c0 / p.n) + s.a0 - s.len * ln(p.big0 + p.v)
+                                 THEN 0 ELSE 1 END AS vote FROM nbs s, nbp p)""",
+    "tset AS (SELECT doc_id FROM votes WHERE vote >= 1)",
+    dtm_ctes("sm", "sdocs", 2, 10, 1.0, "SELECT count(*) FROM sdocs"),
+    """kdc AS (SELECT term, count(*) AS df_s,
+                   count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM tset)) AS n_t FROM sm GROUP BY term)""",
+    """kp AS (SELECT greatest((SELECT count(*) FROM tset), 1) AS nt,
+                  (SELECT count(*) FROM sdocs) - (SELECT count(*) FROM tset) AS nst)""",
+    """stats AS (
+      SELECT term, n_t, df_s - n_t AS n_st,
+             CAST(n_t AS DOUBLE) * 100.0 / kp.nt AS p_t,
+             CASE WHEN kp.nst <> 0 THEN CAST(df_s - n_t AS DOUBLE) * 100.0 / kp.nst END AS p_st,
+             lgamma(n_t + 1) + lgamma(df_s - n_t + 1) - lgamma(df_s + 2)
+             + lgamma(kp.nt - n_t + 1) + lgamma(kp.nst - (df_s - n_t) + 1)
+             - lgamma(kp.nt - n_t + kp.nst - (df_s - n_t) + 2) AS ll
+      FROM kdc, kp WHERE (SELECT count(*) FROM tset) > 0)""",
+    """klr AS (SELECT *, CASE WHEN p_st > p_t THEN 'S\\T' ELSE 'T' END AS category FROM stats)""",
+])
+
+oracle("training_split", f"""WITH {DISC}
+SELECT doc_id, label, 'train' AS split FROM train
+UNION ALL SELECT doc_id, NULL, 'test' FROM sdocs""")
+oracle("vote_naive_bayes", f"WITH {DISC} SELECT doc_id, vote FROM votes")
+oracle("vote_counts", f"WITH {DISC} SELECT doc_id, vote AS votes FROM votes")
+oracle("vote_target_set", f"WITH {DISC} SELECT doc_id, vote >= 1 AS in_target FROM votes")
+oracle("klr_keywords_nb", f"""WITH {DISC}
+SELECT term, n_t, n_st, p_t, p_st, ll, category FROM klr ORDER BY ll DESC, term""")
+oracle("klr_top_keywords", f"""WITH {DISC}
+SELECT term, n_t, n_st, p_t, p_st, ll, category FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY ll DESC, term) AS rn FROM klr)
+WHERE rn <= 1000""")

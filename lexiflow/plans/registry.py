@@ -672,3 +672,82 @@ def q_edges_of_node(spark, sf_dir):
 @register("edges_excluding")
 def q_edges_excluding(spark, sf_dir):
     return G.edges_excluding(target_graph(spark, sf_dir), foreground_graph(spark, sf_dir))
+
+
+# --- keyword discovery ---------------------------------------------------------------------
+
+from lexiflow.operators import classifiers as CL  # noqa: E402
+from lexiflow.operators import discovery as DS  # noqa: E402
+
+
+def _discovery_inputs(spark, sf_dir):
+    r = reference_docs(spark, sf_dir, TRAIN_OPTS)
+    s = search_docs(spark, sf_dir, TRAIN_OPTS)
+    corpus = r.join(s.select("doc_id"), "doc_id", "left_anti").unionByName(s)
+    dtm = D.doc_term_matrix(corpus, min_df=1, max_df=1.0)
+    train, test_ids = DS.training_split(r, s)
+    return r, s, corpus, dtm, train, test_ids
+
+
+@register("training_split")
+def q_training_split(spark, sf_dir):
+    _, _, _, _, train, test_ids = _discovery_inputs(spark, sf_dir)
+    return (train.withColumn("split", F.lit("train"))
+            .unionByName(test_ids.withColumn("label", F.lit(None).cast("int"))
+                         .withColumn("split", F.lit("test"))))
+
+
+def _nb_votes(spark, sf_dir):
+    r, s, corpus, dtm, train, test_ids = _discovery_inputs(spark, sf_dir)
+    return DS.naive_bayes_vote(train, test_ids, dtm), s
+
+
+@register("vote_naive_bayes")
+def q_vote_naive_bayes(spark, sf_dir):
+    return _nb_votes(spark, sf_dir)[0]
+
+
+@register("vote_counts")
+def q_vote_counts(spark, sf_dir):
+    return DS.vote_counts([_nb_votes(spark, sf_dir)[0]])
+
+
+@register("vote_target_set")
+def q_vote_target_set(spark, sf_dir):
+    return DS.target_set(DS.vote_counts([_nb_votes(spark, sf_dir)[0]]))
+
+
+def _klr_nb(spark, sf_dir):
+    r = reference_docs(spark, sf_dir, TRAIN_OPTS)
+    s = search_docs(spark, sf_dir, TRAIN_OPTS)
+    return DS.klr_keywords(r, s, classifiers="nbayes")[0]
+
+
+@register("klr_keywords_nb")
+def q_klr_keywords_nb(spark, sf_dir):
+    return _klr_nb(spark, sf_dir).orderBy(F.desc("ll"), "term")
+
+
+@register("klr_top_keywords")
+def q_klr_top_keywords(spark, sf_dir):
+    return DS.top_keywords(_klr_nb(spark, sf_dir), k=1000)
+
+
+def _ml_votes(spark, sf_dir, name):
+    r, s, corpus, dtm, train, test_ids = _discovery_inputs(spark, sf_dir)
+    return CL.vote(name, train, test_ids, dtm, docs=corpus)
+
+
+@register("vote_logit")
+def q_vote_logit(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "logit")
+
+
+@register("vote_svm")
+def q_vote_svm(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "SVM")
+
+
+@register("vote_tree")
+def q_vote_tree(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "tree")
