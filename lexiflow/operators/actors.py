@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from lexiflow.functions.mail import (
-    address_domain, address_email, mail_year, parse_mail_date,
+    address_match, domain_of, email_of, parse_mail_date, year_of,
 )
 
 # Dimension tables up to this many rows are broadcast to the message side.
@@ -29,14 +29,25 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
 def parse_messages(messages: DataFrame, sender_col: str = "from",
                    receiver_col: str = "comments_to", date_col: str = "date_raw") -> DataFrame:
     """Add ``sender_email``, ``sender_domain``, ``receiver_domain``, ``sent_at`` (UTC) and
-    ``sent_year`` (sender's wall clock) to a message table."""
-    return messages.select(
+    ``sent_year`` (sender's wall clock) to a message table.
+
+    Each header is matched once (first projection); the parts are derived from the
+    matches in the second projection, which Catalyst keeps separate because the
+    matches are referenced several times."""
+    cols = messages.columns
+    step = messages.select(
         "*",
-        address_email(F.col(sender_col)).alias("sender_email"),
-        address_domain(F.col(sender_col)).alias("sender_domain"),
-        address_domain(F.col(receiver_col)).alias("receiver_domain"),
+        address_match(F.col(sender_col)).alias("_sm"),
+        address_match(F.col(receiver_col)).alias("_rm"),
         parse_mail_date(F.col(date_col)).alias("sent_at"),
-        mail_year(F.col(date_col)).alias("sent_year"),
+    )
+    return step.select(
+        *cols,
+        email_of(F.col("_sm")).alias("sender_email"),
+        domain_of(F.col("_sm")).alias("sender_domain"),
+        domain_of(F.col("_rm")).alias("receiver_domain"),
+        "sent_at",
+        year_of(F.col(date_col), F.col("sent_at")).alias("sent_year"),
     )
 
 

@@ -164,9 +164,14 @@ def klr_keywords(reference: DataFrame, search: DataFrame, classifiers: Sequence[
     R ∪ S (S wins on equal ids). Returns ``(stats, target)``.
     """
     from lexiflow.operators import classifiers as CL
+    from lexiflow.session import cut_lineage
     names = [classifiers] if isinstance(classifiers, str) else list(classifiers)
+    # cleaned texts and the document-term table are used by several jobs: write them
+    # once to the shared checkpoint folder instead of re-cleaning for every action
+    reference = cut_lineage(reference.select(id_col, text_col))
+    search = cut_lineage(search.select(id_col, text_col))
     corpus = (reference.join(search.select(id_col), id_col, "left_anti").unionByName(search))
-    dtm = doc_term_matrix(corpus, min_df=1, max_df=1.0, id_col=id_col, text_col=text_col)
+    dtm = cut_lineage(doc_term_matrix(corpus, min_df=1, max_df=1.0, id_col=id_col, text_col=text_col))
     train, test_ids = training_split(reference, search, ref_frac, search_frac, seed, id_col)
     votes = [CL.vote(name, train, test_ids, dtm, docs=corpus, id_col=id_col, text_col=text_col,
                      seed=seed) for name in names]

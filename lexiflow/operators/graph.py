@@ -146,6 +146,7 @@ def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame
     the edges, path counts are summed per (s, v), and pairs already reached are removed
     with an anti join against the visited table.
     """
+    edges = cut_lineage(edges.select("src", "dst"))  # small edge table, materialised once
     e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     e = sized_broadcast(e)
     nd = nodes(edges)
@@ -175,6 +176,7 @@ def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame
 def closeness_centrality(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Closeness with incoming distances, scaled by the reachable share:
     ``((r-1)/Σd) · ((r-1)/(n-1))``; 0 when nothing reaches the node."""
+    edges = cut_lineage(edges.select("src", "dst"))
     paths = paths if paths is not None else shortest_paths(edges)
     n = nodes(edges).count()
     g = paths.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot"))
@@ -190,6 +192,7 @@ def betweenness_centrality(edges: DataFrame, paths: DataFrame | None = None,
     at a time from the farthest level back to the sources:
     ``δ_s(v) = Σ_{v->w, d(s,w) = d(s,v)+1} σ_sv/σ_sw · (1 + δ_s(w))``.
     Normalised by ``1/((n-1)(n-2))`` when n > 2."""
+    edges = cut_lineage(edges.select("src", "dst"))
     paths = paths if paths is not None else shortest_paths(edges)
     paths = cut_lineage(paths)
     n = nodes(edges).count()

@@ -44,3 +44,19 @@ def assemble_pages(doc_pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.count(F.lit(1)).alias("n_total"),
     ).select(id_col, F.array_join(F.transform("_p", lambda x: x["text"]), " ").alias("text"),
              "n_read", "n_total")
+
+
+def read_parquet(spark, path: str, min_partitions: int | None = None) -> DataFrame:
+    """Parquet scan with a parallelism guard.
+
+    Parquet splits only at row-group boundaries; a table stored as one large row group
+    scans in one task, and every CPU-heavy step before the first shuffle (text cleaning,
+    n-grams, header parsing) would then run on one core. When the scan has fewer
+    partitions than the cluster's default parallelism it is spread round-robin; on
+    large multi-file tables the check is false and nothing is added.
+    """
+    df = spark.read.parquet(path)
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
