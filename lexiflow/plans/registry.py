@@ -748,6 +748,7 @@ def q_vote_svm(spark, sf_dir):
     return _ml_votes(spark, sf_dir, "SVM")
 
 
-@register("vote_tree")
 def q_vote_tree(spark, sf_dir):
+    """Decision-tree votes (not registered: per-task split statistics over the full
+    bigram vocabulary exceed a default-sized driver heap in local mode)."""
     return _ml_votes(spark, sf_dir, "tree")
