@@ -527,3 +527,15 @@ oracle("klr_top_keywords", f"""WITH {DISC}
 SELECT term, n_t, n_st, p_t, p_st, ll, category FROM (
   SELECT *, row_number() OVER (PARTITION BY category ORDER BY ll DESC, term) AS rn FROM klr)
 WHERE rn <= 1000""")
+
+
+# --- sources and sinks -----------------------------------------------------------------------
+
+oracle("documents_roundtrip", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM documents""")
+oracle("target_set_roundtrip", f"WITH {Q.hits_cte('token')} SELECT doc_id, field, query, cnt FROM hits")
+oracle("sink_csv", f"""WITH {PARSED}
+SELECT sender_domain AS domain, count(*) AS n FROM parsed WHERE sender_domain IS NOT NULL GROUP BY ALL""")
+oracle("domain_year_counts_json", f"""WITH {PARSED}
+SELECT sender_domain AS domain, count(*) AS n, sent_year AS year FROM parsed
+WHERE sender_domain IS NOT NULL AND sent_year IS NOT NULL GROUP BY ALL""")

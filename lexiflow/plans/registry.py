@@ -752,3 +752,50 @@ def q_vote_tree(spark, sf_dir):
     """Decision-tree votes (not registered: per-task split statistics over the full
     bigram vocabulary exceed a default-sized driver heap in local mode)."""
     return _ml_votes(spark, sf_dir, "tree")
+
+
+# --- sources and sinks (round trips through the shared checkpoint folder) ------------------
+
+import uuid  # noqa: E402
+
+from lexiflow.session import checkpoint_dir  # noqa: E402
+from lexiflow.sources import files as FS  # noqa: E402
+
+
+def scratch_path(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/lexiflow-out/{name}-{uuid.uuid4().hex}"
+
+
+@register("documents_roundtrip")
+def q_documents_roundtrip(spark, sf_dir):
+    """Write every document as its own text file, scan the files back."""
+    path = scratch_path(spark, "documents")
+    FS.sink_documents(S.corpus(spark, sf_dir), path)
+    back = FS.scan_sunk_documents(spark, path)
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("target_set_roundtrip")
+def q_target_set_roundtrip(spark, sf_dir):
+    """Long target-set table (keyterm hits) written as Parquet and read back."""
+    hits, _, _ = _search(spark, sf_dir)
+    path = scratch_path(spark, "target-set")
+    FS.write_table(hits, path)
+    return spark.read.parquet(path)
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    """Actor counts written as CSV with a header and read back with a schema."""
+    path = scratch_path(spark, "domains-csv")
+    FS.write_table(A.messages_per_domain(parsed_messages(spark, sf_dir)), path, fmt="csv")
+    return spark.read.csv(path, header=True, schema="domain string, n bigint")
+
+
+@register("domain_year_counts_json")
+def q_domain_year_counts_json(spark, sf_dir):
+    """Per-year result files (JSON, one folder per year) read back."""
+    path = scratch_path(spark, "domain-year-json")
+    FS.write_table(A.domain_year_counts(parsed_messages(spark, sf_dir)), path, fmt="json",
+                   partition_by=["year"])
+    return spark.read.schema("domain string, n bigint, year int").json(path)
