@@ -16,7 +16,9 @@ def term_counts(docs: DataFrame, n: int = 2, id_col: str = "doc_id",
     (the reference's matrix uses bigrams)."""
     toks = tokenize(F.lower(F.col(text_col)))
     terms = toks if n == 1 else ngrams(toks, n)
-    return (docs.select(id_col, F.explode(terms).alias("term"))
+    # the explicit not-null filter keeps both uses of the counts identical for exchange
+    # reuse (a join would otherwise infer it on one side only)
+    return (docs.select(id_col, F.explode(terms).alias("term")).where(F.col("term").isNotNull())
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -38,9 +40,14 @@ def doc_term_matrix(docs: DataFrame, min_df=1, max_df=0.9, vocabulary: DataFrame
         return tc.join(vocabulary.select("term").distinct(), "term", "left_semi")
     n_docs = docs.count()  # scalar
     lo, hi = _threshold(min_df, n_docs), _threshold(max_df, n_docs)
-    df = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # count_if(cnt > 0) (= count, every cnt >= 1) keeps the counts' aggregate intact so
+    # that both branches below read the same shuffle
+    df = tc.groupBy("term").agg(F.count_if(F.col("cnt") > 0).alias("df"))
     keep = df.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term")
-    return tc.join(keep, "term", "left_semi")
+    # An inner join with the (distinct) kept terms equals the semi join, but is not
+    # pushed below the (doc, term) aggregation, so both branches share one shuffle of
+    # the counted triples (ReusedExchange) and the texts are tokenised only once.
+    return tc.join(keep, "term")
 
 
 def dtm_subset(dtm: DataFrame, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -606,23 +606,23 @@ def q_digraph_by_period(spark, sf_dir):
 
 @register("degree_centrality")
 def q_degree_centrality(spark, sf_dir):
-    return G.degree_centrality(foreground_graph(spark, sf_dir))
+    return G.degree_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
 
 
 @register("closeness_centrality")
 def q_closeness_centrality(spark, sf_dir):
-    return G.closeness_centrality(foreground_graph(spark, sf_dir))
+    return G.closeness_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
 
 
 @register("betweenness_centrality")
 def q_betweenness_centrality(spark, sf_dir):
-    return G.betweenness_centrality(foreground_graph(spark, sf_dir))
+    return G.betweenness_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
 
 
 @register("contracted_degree_centrality")
 def q_contracted_degree_centrality(spark, sf_dir):
     e = contracted_period_graph(spark, sf_dir).where(F.col("period") == "1998-2002").drop("period")
-    return G.degree_centrality(e)
+    return G.degree_centrality(e).orderBy(F.desc("centrality"), "node")
 
 
 @register("out_edges")
