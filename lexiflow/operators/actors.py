@@ -198,26 +198,33 @@ def year_range(messages: DataFrame, year_col: str = "sent_year") -> tuple[int, i
     return int(r[0]), int(r[1])
 
 
-def yearly_counts(messages: DataFrame, group_col: str | None, years: tuple[int, int],
+def yearly_counts(messages: DataFrame, group_col: str | None, years: tuple[int, int] | None = None,
                   year_col: str = "sent_year") -> DataFrame:
     """Messages per (group, year) for every group and every year of ``years``
-    (inclusive range), zero filled. Groups are all group values of the messages.
+    (inclusive range), zero filled. Groups are all group values of the messages; without
+    ``years`` the range is first..last year with a valid date.
 
-    The scaffold is generated per group with ``explode(sequence(lo, hi))`` (no join of
-    two unrelated tables); counts are a partial aggregation joined on (group, year).
+    One pass over the messages: counts per (group, year) - a partial aggregation whose
+    result has groups × years rows - are checkpointed; the year range, the groups and
+    the scaffold (``explode(sequence(lo, hi))`` per group, no join of unrelated tables)
+    all come from that small table.
     """
+    from lexiflow.session import cut_lineage
+    grp = F.col(group_col) if group_col else F.lit(None).cast("string")
+    counts = cut_lineage(messages.groupBy(grp.alias("grp"), F.col(year_col).alias("year"))
+                         .agg(F.count(F.lit(1)).alias("n")))
+    if years is None:
+        r = counts.where(F.col("year").isNotNull()).agg(F.min("year"), F.max("year")).first()
+        years = (int(r[0]), int(r[1]))
     lo, hi = years
-    m = messages.where(F.col(year_col).between(lo, hi))
-    if group_col is None:
-        counts = m.groupBy(F.col(year_col).alias("year")).agg(F.count(F.lit(1)).alias("n"))
-        scaffold = messages.sparkSession.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
-        return scaffold.join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n"))
-    counts = m.groupBy(F.col(group_col).alias("grp"), F.col(year_col).alias("year")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    groups = messages.select(F.col(group_col).alias("grp")).distinct()
+    inside = counts.where(F.col("year").between(lo, hi))
+    groups = counts.select("grp").distinct()
     scaffold = groups.select("grp", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("year"))
-    return (scaffold.join(counts, ["grp", "year"], "left")
-            .select("grp", "year", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    i = inside.select(F.col("grp").alias("_g"), F.col("year").alias("_y"), "n")
+    on = scaffold["grp"].eqNullSafe(i["_g"]) & (scaffold["year"] == i["_y"])  # NULL is a group too
+    out = (scaffold.join(i, on, "left")
+           .select("grp", "year", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return out if group_col else out.select("year", "n")
 
 
 def target_share(target_yearly: DataFrame, all_yearly: DataFrame) -> DataFrame:

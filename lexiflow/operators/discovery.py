@@ -111,7 +111,8 @@ def target_set(counts: DataFrame, vote_min: int = 1, id_col: str = "doc_id") ->
 
 
 def keyword_statistics(search_docs: DataFrame, target_ids: DataFrame, min_df: int = 10,
-                       id_col: str = "doc_id", text_col: str = "text_clean") -> DataFrame:
+                       id_col: str = "doc_id", text_col: str = "text_clean",
+                       search_terms: DataFrame | None = None) -> DataFrame:
     """Bigram keyword table for the target split of the search set.
 
     Terms: bigrams with ``df >= min_df`` in S. ``n_t`` = documents of T containing the
@@ -119,6 +120,7 @@ def keyword_statistics(search_docs: DataFrame, target_ids: DataFrame, min_df: in
     ``ll = ln B(n_t+1, n_st+1) + ln B(|T|-n_t+1, |S\\T|-n_st+1)``,
     ``p_t = 100·n_t/|T|``, ``p_st = 100·n_st/|S\\T|`` (NULL when S\\T is empty),
     ``category = 'S\\T'`` iff ``p_st > p_t`` else ``'T'``. An empty T gives no rows.
+    ``search_terms`` (all ``(id, term, cnt)`` bigram triples of S) avoids re-tokenising.
     """
     spark = search_docs.sparkSession
     tgt = target_ids.select(id_col).distinct()
@@ -130,7 +132,11 @@ def keyword_statistics(search_docs: DataFrame, target_ids: DataFrame, min_df: in
         return spark.createDataFrame([], schema)
     n_t_docs = max(n_target, 1)
     n_st_docs = n_search - n_target
-    dtm = doc_term_matrix(search_docs, min_df=min_df, max_df=1.0, id_col=id_col, text_col=text_col)
+    if search_terms is None:
+        dtm = doc_term_matrix(search_docs, min_df=min_df, max_df=1.0, id_col=id_col, text_col=text_col)
+    else:
+        df_s = search_terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+        dtm = search_terms.join(df_s.where(F.col("_df") >= min_df).select("term"), "term")
     flagged = dtm.join(tgt.withColumn("_t", F.lit(1)), id_col, "left")
     dc = flagged.groupBy("term").agg(F.count(F.lit(1)).alias("df_s"), F.count("_t").alias("n_t"))
     n1, n0 = F.col("n_t"), F.col("df_s") - F.col("n_t")
@@ -175,7 +181,9 @@ def klr_keywords(reference: DataFrame, search: DataFrame, classifiers: Sequence[
     train, test_ids = training_split(reference, search, ref_frac, search_frac, seed, id_col)
     votes = [CL.vote(name, train, test_ids, dtm, docs=corpus, id_col=id_col, text_col=text_col,
                      seed=seed) for name in names]
-    tgt = target_set(vote_counts(votes, id_col), vote_min, id_col)
+    tgt = cut_lineage(target_set(vote_counts(votes, id_col), vote_min, id_col))  # scored once
     t_ids = tgt.where("in_target").select(id_col)
-    stats = keyword_statistics(search, t_ids, min_df=min_df, id_col=id_col, text_col=text_col)
+    s_terms = dtm.join(search.select(id_col), id_col, "left_semi")
+    stats = keyword_statistics(search, t_ids, min_df=min_df, id_col=id_col, text_col=text_col,
+                               search_terms=s_terms)
     return stats, tgt

@@ -443,9 +443,7 @@ def q_enrich_nationality(spark, sf_dir):
 
 
 def _yearly(spark, sf_dir, group_col):
-    m = enriched_messages(spark, sf_dir)
-    years = A.year_range(A.with_valid_date(m))
-    return A.yearly_counts(m, group_col, years)
+    return A.yearly_counts(enriched_messages(spark, sf_dir), group_col)
 
 
 @register("yearly_counts_category")
