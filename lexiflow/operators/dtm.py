@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexiflow.functions.text import ngrams, tokenize
 
@@ -82,10 +81,12 @@ def term_frequency_corpus(dtm: DataFrame) -> DataFrame:
 
 
 def term_frequency_document(dtm: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``cnt / Σ cnt of the document``; a document without terms has no rows."""
-    w = Window.partitionBy(id_col)
-    return dtm.select(id_col, "term",
-                      (F.col("cnt") / F.sum("cnt").over(w)).alias("p_doc"))
+    """``cnt / Σ cnt of the document``; a document without terms has no rows.
+
+    Per-document totals are a partial aggregation joined back (not a window), so a
+    giant document is split by AQE's skew join instead of landing in one task."""
+    tot = dtm.groupBy(id_col).agg(F.sum("cnt").alias("_tot"))
+    return dtm.join(tot, id_col).select(id_col, "term", (F.col("cnt") / F.col("_tot")).alias("p_doc"))
 
 
 def inverse_document_frequency(dtm: DataFrame, n_docs: int, id_col: str = "doc_id") -> DataFrame:
@@ -104,5 +105,5 @@ def tfidf(docs: DataFrame, n: int = 1, min_df=3, max_df=0.95, id_col: str = "doc
     df = dtm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
     w = dtm.join(idf, "term").withColumn("w", F.col("cnt") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
