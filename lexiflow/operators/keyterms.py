@@ -215,12 +215,14 @@ def hits_wide(hits: DataFrame, queries: Sequence[str], id_col: str = "doc_id") -
 
 def raw_keyword_counts(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text", keyword_col: str = "query",
-                       max_keywords: int = 4096) -> DataFrame:
+                       max_keywords: int = 20_000) -> DataFrame:
     """Raw keyword matrix in long form: plain substring counts of each keyword in the
     uncleaned text, rows with a non-zero count only.
 
-    Raw substrings are not token aligned, so each text evaluates the keyword list as a
-    literal array (the list is checked to hold at most ``max_keywords`` entries).
+    Raw substrings are not token aligned, so every text is scanned once per keyword:
+    the keyword list becomes one constant array and a single lambda counts each entry
+    (compact code whatever the list length). The list is checked to hold at most
+    ``max_keywords`` entries.
     """
     n = keywords.count()
     if n > max_keywords:
@@ -230,8 +232,8 @@ def raw_keyword_counts(texts: DataFrame, keywords: DataFrame, id_col: str = "doc
         return texts.sparkSession.createDataFrame(
             [], f"{id_col} {dict(texts.dtypes)[id_col]}, keyword string, cnt bigint")
     from lexiflow.functions.text import substring_count
-    arr = F.array(*[F.struct(F.lit(k).alias("keyword"),
-                             substring_count(F.col(text_col), F.lit(k)).alias("cnt"))
-                    for k in kws])
-    return (texts.select(F.col(id_col), F.explode(arr).alias("h"))
+    text = F.col(text_col)
+    arr = F.transform(F.array(*[F.lit(k) for k in kws]),
+                      lambda k: F.struct(k.alias("keyword"), substring_count(text, k).alias("cnt")))
+    return (texts.select(F.col(id_col), text_col).select(F.col(id_col), F.explode(arr).alias("h"))
             .select(id_col, "h.keyword", "h.cnt").where(F.col("cnt") > 0))

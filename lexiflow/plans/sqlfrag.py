@@ -62,7 +62,8 @@ def padded_count(t: str, q: str) -> str:
 # --- shared CTEs ------------------------------------------------------------------
 
 RAW_QUERIES = f"""raw_q AS (
-  SELECT array_to_string({tokens('text')}[1:3], ' ') AS query FROM benchmark
+  SELECT DISTINCT unnest(list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])) AS query
+  FROM (SELECT {tokens('text')} AS tk FROM benchmark)
 )"""
 
 QUERIES = RAW_QUERIES + f""",

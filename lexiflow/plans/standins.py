@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiflow.functions.text import tokenize
+from lexiflow.functions.text import ngrams, tokenize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -29,10 +29,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_keyterms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw keyterm strings ``(query)``: the first three whitespace tokens of each
-    benchmark passage (the passages are planted in the documents)."""
+    """Raw keyterm strings ``(query)``: every distinct pair of adjacent whitespace tokens
+    of every benchmark passage, whole passages (the passages are planted in the
+    documents)."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.array_join(F.slice(tokenize(F.col("text")), 1, 3), " ").alias("query"))
+    return b.select(F.explode(ngrams(tokenize(F.col("text")), 2)).alias("query")).distinct()
 
 
 def _mailbox(name_col: str, nation_col: str):
