@@ -86,6 +86,11 @@ def _greedy_count(sorted_positions: Column, gap: Column) -> Column:
     )
 
 
+def _sql_str(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _overlap_free(query: Column) -> Column:
     """True when no proper prefix of the token sequence equals a suffix (two hits of the
     query can then never overlap)."""
@@ -113,10 +118,13 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     """
     if mode not in ("token", "padded"):
         raise ValueError("mode must be 'token' or 'padded'")
-    n_queries = queries.count()  # bounded action on the query table
-    lengths = sorted(r[0] for r in queries.select("n_tokens").distinct().collect())
-    if lengths and lengths[-1] > MAX_QUERY_TOKENS:
+    # one aggregate over the query table: its size and the (few) distinct lengths
+    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("mx"),
+                     F.collect_set(F.least("n_tokens", F.lit(MAX_QUERY_TOKENS + 1))).alias("ls")).first()
+    n_queries = st["n"]
+    if st["mx"] is not None and st["mx"] > MAX_QUERY_TOKENS:
         raise ValueError(f"queries longer than {MAX_QUERY_TOKENS} tokens")
+    lengths = sorted(st["ls"] or [])
     small = n_queries <= max_broadcast_queries
     first_tokens = None
     if small:
@@ -129,25 +137,27 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
                             tokenize(F.col(field)).alias("toks"))
         long = part if long is None else long.unionByName(part)
 
-    def all_grams(toks):
-        size = F.size(toks)
-        arrays = []
-        for L in lengths:
-            starts = F.sequence(F.lit(0), size - L)
-            if first_tokens is not None:
-                starts = F.filter(starts,
-                                  lambda i: F.element_at(toks, i + 1).isin(first_tokens))
-            grams = F.transform(starts, lambda i: F.struct(
-                i.alias("pos"), F.lit(L).alias("n"), size.alias("size"),
-                F.array_join(F.slice(toks, i + 1, L), " ").alias("gram")))
-            empty = F.array().cast("array<struct<pos:int,n:int,size:int,gram:string>>")
-            arrays.append(F.when(size >= L, grams).otherwise(empty))
-        return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-
     if not lengths:
         return texts.sparkSession.createDataFrame(
             [], f"{id_col} {dict(texts.dtypes)[id_col]}, field string, query string, cnt bigint")
-    grams = long.select(id_col, "field", F.explode(bind(F.col("toks"), all_grams)).alias("g"))
+    # The n-gram generator is written as one SQL expression: the first-token list is
+    # parsed once as an IN list (optimised to a hash-set InSet) instead of one JVM call
+    # per literal, and the token array is bound once per row (transform over array(toks)).
+    in_list = None
+    if first_tokens:
+        in_list = ", ".join(_sql_str(t) for t in first_tokens)
+    arrays = []
+    for L in lengths:
+        starts = f"sequence(0, size(t) - {L})"
+        if in_list is not None:
+            starts = f"filter({starts}, i -> element_at(t, i + 1) IN ({in_list}))"
+        arrays.append(
+            f"CASE WHEN size(t) >= {L} THEN transform({starts}, i -> named_struct("
+            f"'pos', i, 'n', {L}, 'size', size(t), 'gram', array_join(slice(t, i + 1, {L}), ' '))) "
+            f"ELSE CAST(array() AS array<struct<pos:int,n:int,size:int,gram:string>>) END")
+    body = arrays[0] if len(arrays) == 1 else "concat(" + ", ".join(arrays) + ")"
+    gen = F.expr(f"element_at(transform(array(toks), t -> {body}), 1)")
+    grams = long.select(id_col, "field", F.explode(gen).alias("g"))
     grams = grams.select(id_col, "field", "g.size", "g.pos", "g.n", F.col("g.gram").alias("query"))
     if mode == "padded":
         grams = grams.where((F.col("pos") > 0) & (F.col("pos") + F.col("n") < F.col("size")))

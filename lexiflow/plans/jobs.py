@@ -27,8 +27,11 @@ def keyterm_search(texts: DataFrame, raw_queries: DataFrame, id_col: str = "doc_
 
     Returns ``(hits, queries, cleaned)``; ``hits`` is ``(id, field, query, cnt>0)``.
     """
+    from lexiflow.session import cut_lineage
     fields = dict(fields or {"body": "text"})
-    queries = prepare_queries(raw_queries, col=query_col, stopwords=stopwords)
+    # the (small) prepared query list is read by several planning actions and the join:
+    # materialise it once in the shared checkpoint folder
+    queries = cut_lineage(prepare_queries(raw_queries, col=query_col, stopwords=stopwords))
     prof = query_profile(queries).first()  # one aggregate row
     opts = search_options(prof, legacy_digits=legacy_digits)
     cleaned = texts.select(

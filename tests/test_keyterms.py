@@ -9,10 +9,11 @@ from lexiflow.operators import keyterms as K
 
 def test_join_plan_equals_expression_plan(spark):
     rnd = random.Random(7)
-    vocab = ["li", "x", "y", "ab", "li."]
+    vocab = ["li", "x", "y", "ab", "li.", "it's", "a\\b"]
     docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
     texts = spark.createDataFrame(docs, "doc_id long, body string")
-    raw = spark.createDataFrame([("li",), ("li li",), ("x li",), ("li x li",), ("ab",), ("zz",)], "query string")
+    raw = spark.createDataFrame([("li",), ("li li",), ("x li",), ("li x li",), ("ab",), ("zz",),
+                                 ("it's li",), ("a\\b",)], "query string")
     queries = K.prepare_queries(raw, stopwords=())
     for mode in ("token", "padded"):
         a = {tuple(r) for r in K.keyterm_hits(texts, queries, mode=mode).collect()}
