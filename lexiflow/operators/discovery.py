@@ -73,14 +73,18 @@ def naive_bayes_vote(train: DataFrame, test_ids: DataFrame, dtm: DataFrame,
     ``log P(c) + Σ cnt·ln(N_ct + α) - len·ln(N_c + α·V)``. Ties predict class 0.
     Returns ``(id, vote)`` with ``vote = 1 - prediction`` (1 = looks like R).
     """
-    if vocab_size is None:
-        vocab_size = dtm.select("term").distinct().count()
-    lab = dtm.join(train, id_col)
+    # per-term class counts over the whole vocabulary (zeros for terms seen only in test
+    # documents); one aggregate pass then gives V and the class totals N_c
+    lab = dtm.join(train, id_col, "left")
     tc = lab.groupBy("term").agg(
         F.sum(F.when(F.col("label") == 0, F.col("cnt")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("label") == 1, F.col("cnt")).otherwise(0)).alias("n1"))
-    tot = tc.agg(F.sum("n0"), F.sum("n1")).first()
-    big_n0, big_n1 = float(tot[0] or 0), float(tot[1] or 0)
+    from lexiflow.session import cut_lineage
+    tc = cut_lineage(tc)
+    tot = tc.agg(F.count(F.lit(1)), F.sum("n0"), F.sum("n1")).first()
+    if vocab_size is None:
+        vocab_size = int(tot[0])
+    big_n0, big_n1 = float(tot[1] or 0), float(tot[2] or 0)
     pri = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = float(sum(pri.values()))
     lp0 = F.log(F.lit(pri.get(0, 0) / n)) if pri.get(0) else F.lit(float("-inf"))

@@ -37,6 +37,10 @@ def doc_term_matrix(docs: DataFrame, min_df=1, max_df=0.9, vocabulary: DataFrame
     tc = term_counts(docs, n, id_col, text_col)
     if vocabulary is not None:
         return tc.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    no_min = not isinstance(min_df, bool) and isinstance(min_df, int) and min_df <= 1
+    no_max = (isinstance(max_df, float) and max_df >= 1.0) or max_df is None
+    if no_min and no_max:  # limits that cannot remove a term: no df pass needed
+        return tc
     n_docs = docs.count()  # scalar
     lo, hi = _threshold(min_df, n_docs), _threshold(max_df, n_docs)
     # count_if(cnt > 0) (= count, every cnt >= 1) keeps the counts' aggregate intact so
