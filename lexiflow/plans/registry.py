@@ -797,3 +797,8 @@ def q_domain_year_counts_json(spark, sf_dir):
     FS.write_table(A.domain_year_counts(parsed_messages(spark, sf_dir)), path, fmt="json",
                    partition_by=["year"])
     return spark.read.schema("domain string, n bigint, year int").json(path)
+
+
+@register("vote_discriminant")
+def q_vote_discriminant(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "LDA")

@@ -35,3 +35,36 @@ def test_empty_target_gives_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text_clean string")
     empty = spark.createDataFrame([], "doc_id long")
     assert DS.keyword_statistics(docs, empty, min_df=1).count() == 0
+
+
+def test_discriminant_vote_separable(spark):
+    import random
+    from lexiflow.operators.classifiers import discriminant_vote
+    rnd = random.Random(5)
+    va, vb = ["lawful", "interception", "handover", "interface", "warrant"], ["sunny", "weather", "report", "today", "rain"]
+    rows = [(i, " ".join(rnd.choice(va if i < 60 else vb) for _ in range(rnd.randint(6, 14)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text_clean string")
+    dtm = doc_term_matrix(docs, min_df=1, max_df=1.0)
+    train = spark.createDataFrame([(i, 0 if i < 60 else 1) for i, _ in rows if i % 2 == 0], "doc_id long, label int")
+    test = spark.createDataFrame([(i,) for i, _ in rows if i % 2 == 1], "doc_id long")
+    dims = 64
+    votes = {r["doc_id"]: r["vote"] for r in discriminant_vote(train, test, dtm, dims=dims).collect()}
+    correct = sum(v == (1 if i < 60 else 0) for i, v in votes.items())
+    assert len(votes) == 60 and correct >= 48
+    # same formula computed directly with numpy on the same hashed features
+    import numpy as np
+    from pyspark.sql import functions as F
+    hx = dtm.select("doc_id", F.pmod(F.xxhash64("term"), F.lit(dims)).alias("i"), "cnt").collect()
+    X = np.zeros((120, dims))
+    for r in hx:
+        X[r["doc_id"], r["i"]] += r["cnt"]
+    tr = [i for i in range(120) if i % 2 == 0]
+    y = np.array([0 if i < 60 else 1 for i in tr])
+    Xt = X[tr]
+    mu = np.array([Xt[y == c].mean(axis=0) for c in (0, 1)])
+    sc = sum(np.outer(x - mu[c], x - mu[c]) for x, c in zip(Xt, y))
+    inv = np.linalg.pinv(sc / (len(tr) - 2))
+    w = inv @ (mu[1] - mu[0])
+    b = -0.5 * mu[1] @ inv @ mu[1] + 0.5 * mu[0] @ inv @ mu[0]
+    want = {i: 1 - int(X[i] @ w + b > 0) for i in range(120) if i % 2 == 1}
+    assert votes == want
