@@ -247,3 +247,12 @@ def raw_keyword_counts(texts: DataFrame, keywords: DataFrame, id_col: str = "doc
                       lambda k: F.struct(k.alias("keyword"), substring_count(text, k).alias("cnt")))
     return (texts.select(F.col(id_col), text_col).select(F.col(id_col), F.explode(arr).alias("h"))
             .select(id_col, "h.keyword", "h.cnt").where(F.col("cnt") > 0))
+
+
+def observe_counts(df: DataFrame, name: str):
+    """Row count of ``df`` collected as a side metric of the next action that runs over
+    it (Spark ``Observation``; no extra job). Returns ``(df, observation)``;
+    ``observation.get["rows"]`` is available after that action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

@@ -802,3 +802,14 @@ def q_domain_year_counts_json(spark, sf_dir):
 @register("vote_discriminant")
 def q_vote_discriminant(spark, sf_dir):
     return _ml_votes(spark, sf_dir, "LDA")
+
+
+@register("stem_vocabulary")
+def q_stem_vocabulary(spark, sf_dir):
+    """Snowball English stems of every token of the cleaned corpus, through the distinct
+    vocabulary (one stemmer call per distinct term)."""
+    from lexiflow.functions.snowball import stem
+    from lexiflow.operators import vocabulary as V
+    docs = cleaned_docs(spark, sf_dir).select("doc_id", T.tokenize(F.col("text_clean")).alias("tokens"))
+    out = V.normalise_vocabulary(docs, stem)
+    return out.select("doc_id", F.array_join("tokens", " ").alias("stemmed"))

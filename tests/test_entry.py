@@ -13,4 +13,4 @@ def test_oracle_keys_are_registered():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     rows_only = set(qs) - set(sqls)
-    assert rows_only <= {"vote_logit", "vote_discriminant"}
+    assert rows_only <= {"vote_logit", "vote_discriminant", "stem_vocabulary"}

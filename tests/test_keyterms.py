@@ -48,3 +48,10 @@ def test_raw_keyword_counts(spark):
     kw = spark.createDataFrame([("privacy",), ("and",), ("zz",)], "query string")
     got = {r["keyword"]: r["cnt"] for r in K.raw_keyword_counts(texts, kw).collect()}
     assert got == {"privacy": 2, "and": 1}
+
+
+def test_observe_counts(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, body string")
+    observed, obs = K.observe_counts(texts, "texts_loaded")
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get["rows"] == 2
