@@ -6,6 +6,16 @@ the driver; the few driver-side values (query-list profile, sample thresholds) a
 bounded scalars or small tables whose size is checked before use.
 """
 
+import sys as _sys
+
 from lexiflow.session import get_spark, checkpoint_dir  # noqa: F401
 
+# Functions of this package that run inside Python workers (mapInPandas steps) are
+# shipped with the task by value, so executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # older cloudpickle: executors then need the package on their path
+    pass
+
 __all__ = ["get_spark", "checkpoint_dir"]
