@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from lexiflow.operators import discovery as DS
 from lexiflow.operators.dtm import doc_term_matrix
 
@@ -68,3 +70,24 @@ def test_discriminant_vote_separable(spark):
     b = -0.5 * mu[1] @ inv @ mu[1] + 0.5 * mu[0] @ inv @ mu[0]
     want = {i: 1 - int(X[i] @ w + b > 0) for i in range(120) if i % 2 == 1}
     assert votes == want
+
+
+def test_keyword_table_edge_cases(spark):
+    import pytest
+    from lexiflow.operators import classifiers as CL
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c d"), (4, "a b")], "doc_id long, text_clean string")
+    # S\T empty: p_st is NULL (no division error), category T
+    allt = DS.keyword_statistics(docs, docs.select("doc_id"), min_df=1)
+    row = {r["term"]: r for r in allt.collect()}["a b"]
+    assert row["p_st"] is None and row["category"] == "T" and row["n_t"] == 3
+    # equal shares in T and S\T -> category T
+    half = DS.keyword_statistics(docs, spark.createDataFrame([(1,), (3,)], "doc_id long"), min_df=1)
+    rows = {r["term"]: r for r in half.collect()}
+    assert rows["a b"]["p_t"] == 50.0 and rows["a b"]["p_st"] == 100.0 and rows["a b"]["category"] == "S\\T"
+    assert rows["c d"]["p_t"] == 50.0 and rows["c d"]["p_st"] == 0.0 and rows["c d"]["category"] == "T"
+    eq = DS.keyword_statistics(docs.where("doc_id in (1, 2)"), spark.createDataFrame([(1,)], "doc_id long"), min_df=1)
+    assert [r["category"] for r in eq.collect()] == ["T"]  # p_t = p_st = 100
+    # learner names are exact (no substring matching)
+    with pytest.raises(ValueError):
+        CL.vote("nb", docs.select("doc_id", F.lit(0).alias("label")), docs.select("doc_id"),
+                docs.select("doc_id", F.lit("a b").alias("term"), F.lit(1).alias("cnt")), docs=docs)
