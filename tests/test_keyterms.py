@@ -55,3 +55,11 @@ def test_observe_counts(spark):
     observed, obs = K.observe_counts(texts, "texts_loaded")
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == 2
+
+
+def test_hits_wide_view(spark):
+    hits = spark.createDataFrame([(1, "body", "li", 2), (1, "attachment", "x", 1), (2, "body", "x", 3)],
+                                 "doc_id long, field string, query string, cnt long")
+    wide = {r["doc_id"]: r.asDict() for r in K.hits_wide(hits, ["li", "x"]).collect()}
+    assert wide[1]["body-li"] == 2 and wide[1]["attachment-x"] == 1 and wide[1]["body-x"] == 0
+    assert wide[2]["body-x"] == 3 and wide[2]["body-li"] == 0
