@@ -26,6 +26,15 @@ def _threshold(value, n_docs: int) -> float:
         else float(value) * n_docs
 
 
+def _kept_terms(tc: DataFrame, n_docs: int, min_df, max_df) -> DataFrame:
+    """``(term, df)`` for terms with ``min_df <= df <= max_df``."""
+    lo, hi = _threshold(min_df, n_docs), _threshold(max_df, n_docs)
+    # count_if(cnt > 0) (= count, every cnt >= 1) keeps the counts' aggregate intact so
+    # that every branch reading the counted triples shares one shuffle (ReusedExchange)
+    df = tc.groupBy("term").agg(F.count_if(F.col("cnt") > 0).alias("df"))
+    return df.where((F.col("df") >= lo) & (F.col("df") <= hi))
+
+
 def doc_term_matrix(docs: DataFrame, min_df=1, max_df=0.9, vocabulary: DataFrame | None = None,
                     n: int = 2, id_col: str = "doc_id", text_col: str = "text_clean") -> DataFrame:
     """Sparse document-term matrix with document-frequency limits.
@@ -41,12 +50,7 @@ def doc_term_matrix(docs: DataFrame, min_df=1, max_df=0.9, vocabulary: DataFrame
     no_max = (isinstance(max_df, float) and max_df >= 1.0) or max_df is None
     if no_min and no_max:  # limits that cannot remove a term: no df pass needed
         return tc
-    n_docs = docs.count()  # scalar
-    lo, hi = _threshold(min_df, n_docs), _threshold(max_df, n_docs)
-    # count_if(cnt > 0) (= count, every cnt >= 1) keeps the counts' aggregate intact so
-    # that both branches below read the same shuffle
-    df = tc.groupBy("term").agg(F.count_if(F.col("cnt") > 0).alias("df"))
-    keep = df.where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term")
+    keep = _kept_terms(tc, docs.count(), min_df, max_df).select("term")
     # An inner join with the (distinct) kept terms equals the semi join, but is not
     # pushed below the (doc, term) aggregation, so both branches share one shuffle of
     # the counted triples (ReusedExchange) and the texts are tokenised only once.
@@ -102,12 +106,15 @@ def inverse_document_frequency(dtm: DataFrame, n_docs: int, id_col: str = "doc_i
 def tfidf(docs: DataFrame, n: int = 1, min_df=3, max_df=0.95, id_col: str = "doc_id",
           text_col: str = "text_clean") -> DataFrame:
     """TF-IDF weights: raw count × smooth idf ``ln((1+N)/(1+df)) + 1``, L2-normalised per
-    document. Returns ``(id, term, weight)``."""
-    dtm = doc_term_matrix(docs, min_df=min_df, max_df=max_df, n=n, id_col=id_col,
-                          text_col=text_col)
+    document. Returns ``(id, term, weight)``.
+
+    The document frequencies of the kept terms come from the same pass that applies the
+    df limits; one join attaches idf and filters the terms; per-document norms are a
+    partial aggregation joined back."""
+    tc = term_counts(docs, n, id_col, text_col)
     n_docs = docs.count()
-    df = dtm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = dtm.join(idf, "term").withColumn("w", F.col("cnt") * F.col("idf"))
+    kept = _kept_terms(tc, n_docs, min_df, max_df)
+    idf = kept.select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
+    w = tc.join(idf, "term").withColumn("w", F.col("cnt") * F.col("idf"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
