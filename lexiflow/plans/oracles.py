@@ -539,3 +539,6 @@ SELECT sender_domain AS domain, count(*) AS n FROM parsed WHERE sender_domain IS
 oracle("domain_year_counts_json", f"""WITH {PARSED}
 SELECT sender_domain AS domain, count(*) AS n, sent_year AS year FROM parsed
 WHERE sender_domain IS NOT NULL AND sent_year IS NOT NULL GROUP BY ALL""")
+oracle("line_list_roundtrip", """
+SELECT DISTINCT regexp_replace(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), '[\\s\\x0b\\x1c-\\x1f]+$', '') AS line
+FROM benchmark""")

@@ -813,3 +813,11 @@ def q_stem_vocabulary(spark, sf_dir):
     docs = cleaned_docs(spark, sf_dir).select("doc_id", T.tokenize(F.col("text_clean")).alias("tokens"))
     out = V.normalise_vocabulary(docs, stem)
     return out.select("doc_id", F.array_join("tokens", " ").alias("stemmed"))
+
+
+@register("line_list_roundtrip")
+def q_line_list_roundtrip(spark, sf_dir):
+    """Benchmark passages written as text lines, read back as a distinct line list."""
+    path = scratch_path(spark, "lines")
+    S.table(spark, sf_dir, "benchmark").select("text").write.mode("overwrite").text(path)
+    return FS.scan_line_list(spark, path)
