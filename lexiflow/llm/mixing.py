@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SLOTS = 1000
 BLOCK_ROWS = 64
 NULL_SOURCE = "\x00null"
+MIXED = ("__mix_block", "__mix_release", "__mix_deadline", "__mix_slot", "__mix_position")
 KEY, ORDER, SALT, RANK = "__mix_source", "__mix_order", "__mix_salt", "__mix_rank"
 
 
@@ -61,9 +62,9 @@ def period_schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def pfair_mix(docs: DataFrame, shares: dict[str, int] | None = None, id_col: str = "doc_id",
+def _schedule(docs: DataFrame, shares: dict[str, int] | None = None, id_col: str = "doc_id",
               source_col: str = "source", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add mix_block, mix_release, mix_deadline, mix_slot and mix_position to ``docs``.
+    """``docs`` with the columns of ``MIXED``.
 
     The rank of a row in its source comes from (source, three hex digits) groups and
     running totals over them, so that no task holds a whole source.
@@ -80,18 +81,29 @@ def pfair_mix(docs: DataFrame, shares: dict[str, int] | None = None, id_col: str
     inner = Window.partitionBy(KEY, SALT).orderBy(ORDER, id_col, F.xxhash64(text_col))
     ranked = (keyed.withColumn(RANK, F.row_number().over(inner) - 1).join(bases, [KEY, SALT])
               .withColumn(RANK, F.col(RANK) + F.col("__mix_base"))
-              .withColumn("mix_block", F.floor(F.col(RANK) / block_rows)))
+              .withColumn("__mix_block", F.floor(F.col(RANK) / block_rows)))
     layout = spark.createDataFrame(
         [(s, j, slot, shares[s]) for s, j, slot in period_schedule(shares)],
         f"{KEY} string, __mix_j long, __mix_at long, __mix_share long")
     placed = (ranked.join(F.broadcast(layout.select(KEY, "__mix_share").distinct()), KEY)
-              .withColumn("__mix_j", F.col("mix_block") % F.col("__mix_share")).drop("__mix_share"))
+              .withColumn("__mix_j", F.col("__mix_block") % F.col("__mix_share")).drop("__mix_share"))
     return (placed.join(F.broadcast(layout), [KEY, "__mix_j"])
-            .withColumn("mix_release", F.expr(f"(mix_block * {period}) div __mix_share"))
-            .withColumn("mix_deadline", F.expr(f"((mix_block + 1) * {period} + __mix_share - 1) div __mix_share"))
-            .withColumn("mix_slot", F.expr(f"(mix_block div __mix_share) * {period} + __mix_at"))
-            .withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(RANK) % block_rows)
-            .select(*docs.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"))
+            .withColumn("__mix_release", F.expr(f"(__mix_block * {period}) div __mix_share"))
+            .withColumn("__mix_deadline", F.expr(f"((__mix_block + 1) * {period} + __mix_share - 1) div __mix_share"))
+            .withColumn("__mix_slot", F.expr(f"(__mix_block div __mix_share) * {period} + __mix_at"))
+            .withColumn("__mix_position", F.col("__mix_slot") * block_rows + F.col(RANK) % block_rows)
+            .select(*docs.columns, *MIXED))
+
+
+def pfair_mix(docs: DataFrame, **options) -> DataFrame:
+    """Add mix_block, mix_release, mix_deadline, mix_slot and mix_position to ``docs``.
+
+    Columns of ``docs`` that have one of these names give way.
+    """
+    names = [c.removeprefix("__") for c in MIXED]
+    return (_schedule(docs, **options)
+            .select(*[c for c in docs.columns if c not in names],
+                    *[F.col(c).alias(n) for c, n in zip(MIXED, names)]))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -99,5 +111,5 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
 
     Files and rows of a write follow the schedule; the columns are those of ``docs``.
     """
-    return (pfair_mix(docs, **options).repartitionByRange("mix_position")
-            .sortWithinPartitions("mix_position").select(*docs.columns))
+    return (_schedule(docs, **options).repartitionByRange("__mix_position")
+            .sortWithinPartitions("__mix_position").select(*docs.columns))

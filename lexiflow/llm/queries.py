@@ -3,25 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiflow.llm import exact_dedup, mixing, quality_rules
+from lexiflow.llm import (exact_dedup, lang_id, mixing, packing, quality_classifier, quality_rules, substring_dedup,
+                          token_counts, warc)
 from lexiflow.llm.common import UPPER, documents
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the site, its languages are the paths."""
+    return quality_classifier.quality_classifier(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_report(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(documents(spark, sf_dir)).select(
         "doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op8_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_token_counts, op7_warc,
+    op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS text_sha256
