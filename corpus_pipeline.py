@@ -9,21 +9,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import exact_dedup, mixing
+from lexiflow.llm import exact_dedup, lang_id, mixing, ngram_join, packing
 from lexiflow.llm.common import documents, written
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without a letter go."""
+    return lang_id.keep_identified(docs)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (A-Z folded): the largest doc_id."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group linked by Jaccard similarity of 0.8 over five-word shingles."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, rows and files in the order of the Pfair schedule."""
     return mixing.mixed_order(docs)
 
 
-STAGES = [("exact dedup", deduplicate), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that stayed, each with its place in a sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language ID", identify), ("exact dedup", deduplicate), ("n-gram Jaccard join", drop_near),
+          ("mixing", mix), ("best-fit packing", pack)]
 
 #: Language models, near-duplicate groups and tokens have no SQL; tested by brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import (exact_dedup, lang_id, mixing, packing, quality_classifier, quality_rules, substring_dedup,
+from lexiflow.llm import (exact_dedup, lang_id, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup,
                           token_counts, warc)
 from lexiflow.llm.common import UPPER, documents
 
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_report(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -50,7 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_token_counts, op7_warc,
+    op1_best_fit_packing, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_token_counts,
+    op6_ngram_join, op7_warc,
     op8_mix_sources, op9_substring_dedup, op10_quality_rules)}
 
 OP4_SQL = f"""
