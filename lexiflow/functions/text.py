@@ -7,8 +7,9 @@ Java regex (Spark) and RE2 (the DuckDB oracle) read them the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ WHITESPACE_RE = "[\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f]+"
 NON_ASCII_RE = "[^\\x00-\\x7f]"
 DIGIT_RE = "[0-9]"
 # A short default stopword list used by the registered demo queries. The reference's
-# own list is a file parameter: load it with ``lexiflow.sources.load_stopwords``.
+# own list is a file parameter: load it with ``lexiflow.sources.files.scan_stopwords``.
 DEFAULT_STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is",
     "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with",
@@ -92,11 +93,34 @@ def filter_tokens(tokens, min_len: int = 2, max_len: int = 15,
 
 def clean_tokens(text, min_len: int = 2, max_len: int = 15, keep_nonalphanumerics=True,
                  remove_numbers: bool = True,
-                 stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> Column:
-    """Full cleaning chain to a token array (lemma/stem are vocabulary jobs, see
-    ``lexiflow.operators.vocabulary``)."""
+                 stopwords: Sequence[str] = DEFAULT_STOPWORDS,
+                 lemmas: Mapping[str, str] | None = None, do_stemming: bool = False) -> Column:
+    """Full cleaning chain to a token array: normalise, tokenise, filter, then replace
+    tokens by their lemma (a table ``surface -> lemma``) and by their English stem."""
     norm = normalize_text(text, remove_numbers, keep_nonalphanumerics)
-    return filter_tokens(tokenize(norm), min_len, max_len, stopwords)
+    tokens = filter_tokens(tokenize(norm), min_len, max_len, stopwords)
+    return token_normaliser(lemmas, do_stemming)(tokens) if lemmas or do_stemming else tokens
+
+
+def token_normaliser(lemmas: Mapping[str, str] | None = None, do_stemming: bool = True):
+    """Arrow UDF over token arrays; each distinct token of a batch is normalised once."""
+    from lexiflow.functions.snowball import stem
+    table = dict(lemmas or {})
+
+    def one(token):
+        token = table.get(token, token)
+        return stem(token) if do_stemming else token
+
+    @F.pandas_udf("array<string>")
+    def normalise(tokens: pd.Series) -> pd.Series:
+        seen: dict[str, str] = {}
+        for row in tokens:
+            for t in row if row is not None else ():
+                if t not in seen:
+                    seen[t] = one(t)
+        return tokens.map(lambda row: None if row is None else [seen[t] for t in row])
+
+    return normalise
 
 
 def clean_text(text, **options) -> Column:

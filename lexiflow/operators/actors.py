@@ -13,16 +13,7 @@ from pyspark.sql.window import Window
 from lexiflow.functions.mail import (
     address_match, domain_of, email_of, parse_mail_date, year_of,
 )
-
-# Dimension tables up to this many rows are broadcast to the message side.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise leave the join to a
-    shuffle (AQE may still convert it at run time from measured sizes)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
+from lexiflow.session import cut_lineage, own_exchange
 
 # --- messages -----------------------------------------------------------------------------
 
@@ -166,8 +157,11 @@ def first_match(dim: DataFrame, attr: str, key: str = "domain",
 def enrich(messages: DataFrame, lookup: DataFrame, attr: str, out_col: str,
            key_col: str = "sender_domain", key: str = "domain", default: str = "Unknown",
            strip: bool = True) -> DataFrame:
-    """Left join a first-match lookup ``(key, attr)``; unmatched rows get ``default``."""
-    lk = sized_broadcast(lookup.select(F.col(key).alias("_k"), F.col(attr).alias("_v")))
+    """Left join a first-match lookup ``(key, attr)``; unmatched rows get ``default``.
+
+    The join has no hint: AQE broadcasts the lookup by its measured bytes or, beyond
+    that, splits hot domains of the messages."""
+    lk = own_exchange(lookup.select(F.col(key).alias("_k"), F.col(attr).alias("_v")))
     j = messages.join(lk, messages[key_col] == lk["_k"], "left")
     v = F.trim(F.col("_v")) if strip else F.col("_v")
     return j.select(*[F.col(c) for c in messages.columns], F.coalesce(v, F.lit(default)).alias(out_col))
@@ -177,7 +171,7 @@ def map_labels(df: DataFrame, col: str, mapping: DataFrame, on_missing: str = "e
                key: str = "key", value: str = "label") -> DataFrame:
     """Replace ``col`` by its label from a mapping table. ``on_missing``: ``error`` raises
     at run time, ``keep`` keeps the value, ``null`` sets NULL."""
-    m = sized_broadcast(mapping.select(F.col(key).alias("_mk"), F.col(value).alias("_mv")))
+    m = mapping.select(F.col(key).alias("_mk"), F.col(value).alias("_mv"))
     j = df.join(m, df[col] == m["_mk"], "left")
     if on_missing == "error":
         v = F.when(F.col(col).isNull() | F.col("_mk").isNotNull(), F.col("_mv")).otherwise(
@@ -193,9 +187,10 @@ def map_labels(df: DataFrame, col: str, mapping: DataFrame, on_missing: str = "e
 
 # --- yearly series --------------------------------------------------------------------------
 
-def year_range(messages: DataFrame, year_col: str = "sent_year") -> tuple[int, int]:
+def year_range(messages: DataFrame, year_col: str = "sent_year") -> tuple[int, int] | None:
+    """First and last year, None without any."""
     r = messages.agg(F.min(year_col), F.max(year_col)).first()
-    return int(r[0]), int(r[1])
+    return None if r[0] is None else (int(r[0]), int(r[1]))
 
 
 def yearly_counts(messages: DataFrame, group_col: str | None, years: tuple[int, int] | None = None,
@@ -209,13 +204,14 @@ def yearly_counts(messages: DataFrame, group_col: str | None, years: tuple[int,
     the scaffold (``explode(sequence(lo, hi))`` per group, no join of unrelated tables)
     all come from that small table.
     """
-    from lexiflow.session import cut_lineage
     grp = F.col(group_col) if group_col else F.lit(None).cast("string")
     counts = cut_lineage(messages.groupBy(grp.alias("grp"), F.col(year_col).alias("year"))
                          .agg(F.count(F.lit(1)).alias("n")))
     if years is None:
-        r = counts.where(F.col("year").isNotNull()).agg(F.min("year"), F.max("year")).first()
-        years = (int(r[0]), int(r[1]))
+        years = year_range(counts, "year")
+    if years is None:  # no message with a year: no group has a series
+        out = counts.where(F.lit(False)).select("grp", "year", "n")
+        return out if group_col else out.select("year", "n")
     lo, hi = years
     inside = counts.where(F.col("year").between(lo, hi))
     groups = counts.select("grp").distinct()
@@ -242,20 +238,27 @@ def group_totals(yearly: DataFrame) -> DataFrame:
 
 def rank_by_last_year(yearly: DataFrame) -> DataFrame:
     """Groups ranked by their count in the last year (ascending, ties by group name).
-    Runs on the small per-group table (one row per group)."""
-    last = yearly.agg(F.max("year")).first()[0]
-    g = yearly.where(F.col("year") == last).select("grp", F.col("n").alias("n_last"))
-    return g.select("grp", "n_last",
-                    F.row_number().over(Window.orderBy("n_last", "grp")).alias("rank"))
+
+    A group's rank is its place among equal counts plus the number of groups with a
+    smaller count; only the distinct counts are put in one order."""
+    last = yearly.agg(F.max("year").alias("_last"))
+    g = yearly.join(F.broadcast(last), F.col("year") == F.col("_last")).select("grp", F.col("n").alias("n_last"))  # one row
+    same = Window.partitionBy("n_last").orderBy("grp")
+    below = Window.orderBy("n_last").rowsBetween(Window.unboundedPreceding, -1)
+    counts = g.groupBy("n_last").agg(F.count(F.lit(1)).alias("_c")) \
+        .select(F.col("n_last").alias("_v"), F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_below"))
+    return (g.withColumn("_place", F.row_number().over(same)).join(counts, F.col("n_last") == F.col("_v"))
+            .select("grp", "n_last", (F.col("_place") + F.col("_below")).cast("int").alias("rank")))
 
 
 def stacked_bands(yearly: DataFrame) -> DataFrame:
     """Per year, cumulative lower/upper band of each group stacked in last-year rank
-    order (window partitioned by year)."""
-    last = yearly.agg(F.max("year")).first()[0]
-    key = yearly.where(F.col("year") == last).select("grp", F.col("n").alias("n_last"))
+    order (window partitioned by year). NULL is a group like any other."""
+    last = yearly.agg(F.max("year").alias("_last"))
+    key = (yearly.join(F.broadcast(last), F.col("year") == F.col("_last"))  # one row
+           .select(F.col("grp").alias("_g"), F.col("n").alias("n_last")))
     w = Window.partitionBy("year").orderBy("n_last", "grp") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = yearly.join(key, "grp")
+    j = yearly.join(key, yearly["grp"].eqNullSafe(key["_g"]))
     upper = F.sum("n").over(w)
     return j.select("grp", "year", "n", (upper - F.col("n")).alias("lower"), upper.alias("upper"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import ngrams, tokenize
+from lexiflow.session import own_exchange
 
 
 def term_counts(docs: DataFrame, n: int = 2, id_col: str = "doc_id",
@@ -54,7 +55,7 @@ def doc_term_matrix(docs: DataFrame, min_df=1, max_df=0.9, vocabulary: DataFrame
     # An inner join with the (distinct) kept terms equals the semi join, but is not
     # pushed below the (doc, term) aggregation, so both branches share one shuffle of
     # the counted triples (ReusedExchange) and the texts are tokenised only once.
-    return tc.join(keep, "term")
+    return tc.join(own_exchange(keep), "term")
 
 
 def dtm_subset(dtm: DataFrame, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -91,9 +92,9 @@ def term_frequency_corpus(dtm: DataFrame) -> DataFrame:
 def term_frequency_document(dtm: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``cnt / Σ cnt of the document``; a document without terms has no rows.
 
-    Per-document totals are a partial aggregation joined back (not a window), so a
-    giant document is split by AQE's skew join instead of landing in one task."""
-    tot = dtm.groupBy(id_col).agg(F.sum("cnt").alias("_tot"))
+    Per-document totals are a partial aggregation joined back (not a window), with an
+    exchange of their own, so AQE may split a giant document's rows."""
+    tot = own_exchange(dtm.groupBy(id_col).agg(F.sum("cnt").alias("_tot")))
     return dtm.join(tot, id_col).select(id_col, "term", (F.col("cnt") / F.col("_tot")).alias("p_doc"))
 
 
@@ -115,6 +116,6 @@ def tfidf(docs: DataFrame, n: int = 1, min_df=3, max_df=0.95, id_col: str = "doc
     n_docs = docs.count()
     kept = _kept_terms(tc, n_docs, min_df, max_df)
     idf = kept.select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tc.join(idf, "term").withColumn("w", F.col("cnt") * F.col("idf"))
+    w = tc.join(own_exchange(idf), "term").withColumn("w", F.col("cnt") * F.col("idf"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    return w.join(own_exchange(norm), id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))

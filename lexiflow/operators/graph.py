@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiflow.operators.actors import sized_broadcast
 from lexiflow.session import cut_lineage
 
 CHECKPOINT_EVERY = 4
@@ -39,7 +38,7 @@ def contract(edges: DataFrame, node_attr: DataFrame, keep_unmapped: bool = False
     """Contract nodes by an attribute ``(node, attr)``; weights of merged edges are
     summed. Nodes without attribute are dropped (``keep_unmapped=True`` keeps them
     under their own name)."""
-    na = sized_broadcast(node_attr.select(F.col(node).alias("_n"), F.col(attr).alias("_a")).distinct())
+    na = node_attr.select(F.col(node).alias("_n"), F.col(attr).alias("_a")).distinct()
     how = "left" if keep_unmapped else "inner"
     s = na.select(F.col("_n").alias("_sn"), F.col("_a").alias("_sa"))
     d = na.select(F.col("_n").alias("_dn"), F.col("_a").alias("_da"))
@@ -148,7 +147,6 @@ def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame
     """
     edges = cut_lineage(edges.select("src", "dst"))  # small edge table, materialised once
     e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    e = sized_broadcast(e)
     nd = nodes(edges)
     frontier = nd.select(F.col("node").alias("s"), F.col("node").alias("v"),
                          F.lit(0).alias("d"), F.lit(1).cast("bigint").alias("sigma"))
@@ -196,7 +194,7 @@ def betweenness_centrality(edges: DataFrame, paths: DataFrame | None = None,
     paths = paths if paths is not None else shortest_paths(edges)
     paths = cut_lineage(paths)
     n = nodes(edges).count()
-    e = sized_broadcast(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     max_d = paths.agg(F.max("d")).first()[0] or 0
     delta = None  # (s, w, sigma_w, delta_w) for the level above
     contribs = []

@@ -1,33 +1,29 @@
 """Keyterm search: query preparation, query profile and per-text query counts.
 
-Counting plan (scales with text size, not with the number of queries): tokens of each
-text are turned into n-grams only for the query lengths that exist, positions are
-pre-filtered by the set of first query tokens, the n-grams are equi-joined with the
-query table, and hits are aggregated per (text, field, query). Only overlapping or
-adjacent hits need their positions; those are folded greedily in order.
+Counting plan (one plan for every number and length of queries): the token positions of
+each text are joined with the distinct first tokens of the queries, the n-grams of the
+lengths that begin with that token are joined with the query table, and hits are
+aggregated per (text, field, query). Both joins are unhinted, so AQE broadcasts a small
+query side by its measured bytes and shuffles a large one. Only overlapping or adjacent
+hits need their positions; those are folded greedily in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import (
-    DEFAULT_STOPWORDS, bind, clean_text, has_digits, non_alphanumeric_chars, tokenize,
+    DEFAULT_STOPWORDS, clean_text, has_digits, non_alphanumeric_chars, substring_count, tokenize,
 )
-
-# Query tables up to this many rows are broadcast and their first tokens used as an
-# InSet pre-filter; larger tables are shuffle-joined.
-MAX_BROADCAST_QUERIES = 50_000
-# The n-gram expansion creates one array per distinct query length.
-MAX_QUERY_TOKENS = 64
-
+from lexiflow.session import own_exchange
 
 def prepare_queries(raw: DataFrame, col: str = "query", min_len: int = 1, max_len: int = 30,
                     keep_nonalphanumerics=True, remove_numbers: bool = False,
-                    stopwords: Sequence[str] = DEFAULT_STOPWORDS) -> DataFrame:
+                    stopwords: Sequence[str] = DEFAULT_STOPWORDS,
+                    lemmas: Mapping[str, str] | None = None, do_stemming: bool = False) -> DataFrame:
     """Clean raw query strings like texts, drop empty ones, deduplicate.
 
     Returns ``(query string, n_tokens int)``; ``query`` is unpadded, tokens are joined by
@@ -35,7 +31,8 @@ def prepare_queries(raw: DataFrame, col: str = "query", min_len: int = 1, max_le
     """
     q = clean_text(F.col(col), min_len=min_len, max_len=max_len,
                    keep_nonalphanumerics=keep_nonalphanumerics,
-                   remove_numbers=remove_numbers, stopwords=stopwords)
+                   remove_numbers=remove_numbers, stopwords=stopwords,
+                   lemmas=lemmas, do_stemming=do_stemming)
     return (raw.select(q.alias("query")).where(F.col("query") != "").distinct()
             .withColumn("n_tokens", F.size(F.split("query", " "))))
 
@@ -86,11 +83,6 @@ def _greedy_count(sorted_positions: Column, gap: Column) -> Column:
     )
 
 
-def _sql_str(s: str) -> str:
-    """Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _overlap_free(query: Column) -> Column:
     """True when no proper prefix of the token sequence equals a suffix (two hits of the
     query can then never overlap)."""
@@ -102,8 +94,7 @@ def _overlap_free(query: Column) -> Column:
 
 
 def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
-                 fields: Sequence[str] = ("body",), mode: str = "token",
-                 max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                 fields: Sequence[str] = ("body",), mode: str = "token") -> DataFrame:
     """Count every query in every cleaned text field.
 
     ``texts`` holds ``id_col`` and one cleaned, single-space joined string per field.
@@ -118,53 +109,33 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     """
     if mode not in ("token", "padded"):
         raise ValueError("mode must be 'token' or 'padded'")
-    # one aggregate over the query table: its size and the (few) distinct lengths
-    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("mx"),
-                     F.collect_set(F.least("n_tokens", F.lit(MAX_QUERY_TOKENS + 1))).alias("ls")).first()
-    n_queries = st["n"]
-    if st["mx"] is not None and st["mx"] > MAX_QUERY_TOKENS:
-        raise ValueError(f"queries longer than {MAX_QUERY_TOKENS} tokens")
-    lengths = sorted(st["ls"] or [])
-    small = n_queries <= max_broadcast_queries
-    first_tokens = None
-    if small:
-        first_tokens = [r[0] for r in queries.select(
-            F.split("query", " ")[0].alias("t")).distinct().collect()]
-
+    longest = queries.agg(F.max("n_tokens")).first()[0] or 1  # a scalar: width of the token window
     long = None
     for field in fields:
         part = texts.select(F.col(id_col), F.lit(field).alias("field"),
                             tokenize(F.col(field)).alias("toks"))
         long = part if long is None else long.unionByName(part)
-
-    if not lengths:
-        return texts.sparkSession.createDataFrame(
-            [], f"{id_col} {dict(texts.dtypes)[id_col]}, field string, query string, cnt bigint")
-    # The n-gram generator is written as one SQL expression: the first-token list is
-    # parsed once as an IN list (optimised to a hash-set InSet) instead of one JVM call
-    # per literal, and the token array is bound once per row (transform over array(toks)).
-    in_list = None
-    if first_tokens:
-        in_list = ", ".join(_sql_str(t) for t in first_tokens)
-    arrays = []
-    for L in lengths:
-        starts = f"sequence(0, size(t) - {L})"
-        if in_list is not None:
-            starts = f"filter({starts}, i -> element_at(t, i + 1) IN ({in_list}))"
-        arrays.append(
-            f"CASE WHEN size(t) >= {L} THEN transform({starts}, i -> named_struct("
-            f"'pos', i, 'n', {L}, 'size', size(t), 'gram', array_join(slice(t, i + 1, {L}), ' '))) "
-            f"ELSE CAST(array() AS array<struct<pos:int,n:int,size:int,gram:string>>) END")
-    body = arrays[0] if len(arrays) == 1 else "concat(" + ", ".join(arrays) + ")"
-    gen = F.expr(f"element_at(transform(array(toks), t -> {body}), 1)")
-    grams = long.select(id_col, "field", F.explode(gen).alias("g"))
-    grams = grams.select(id_col, "field", "g.size", "g.pos", "g.n", F.col("g.gram").alias("query"))
+    # one row per position with its token and the tokens that a query may span
+    window = F.expr(f"element_at(transform(array(toks), t -> transform(t, (x, i) -> named_struct("
+                    f"'pos', i, 'size', size(t), 'first', x, 'win', slice(t, i + 1, {longest})))), 1)")
+    at = long.select(id_col, "field", F.explode(window).alias("p")).select(id_col, "field", "p.*")
     if mode == "padded":
-        grams = grams.where((F.col("pos") > 0) & (F.col("pos") + F.col("n") < F.col("size")))
+        at = at.where(F.col("pos") > 0)
+    heads = queries.groupBy(F.split("query", " ")[0].alias("first")) \
+        .agg(F.array_sort(F.collect_set("n_tokens")).alias("lens"))
+    # the head has an exchange of its own: a frequent first token may be split by AQE
+    grams = (at.join(own_exchange(heads), "first")
+             .select(id_col, "field", "pos", "size", "win", F.explode("lens").alias("n"))
+             .where(F.size("win") >= F.col("n"))
+             .select(id_col, "field", "pos", "size", "n",
+                     F.array_join(F.slice("win", F.lit(1), F.col("n")), " ").alias("query")))
+    if mode == "padded":
+        grams = grams.where(F.col("pos") + F.col("n") < F.col("size"))
 
     q = queries.select("query", _overlap_free(F.col("query")).alias("overlap_free"))
-    q = F.broadcast(q) if small else q
-    matched = grams.join(q, "query")
+    # hits are dealt out by (text, field, query) before they are counted, so that the
+    # join's partitioning by query is not reused and a frequent query can be split
+    matched = grams.join(q, "query").repartition(id_col, "field", "query")
     need_fold = F.lit(True) if mode == "padded" else ~F.col("overlap_free")
     gap = F.col("n") + (1 if mode == "padded" else 0)
     agg = matched.groupBy(id_col, "field", "query").agg(
@@ -177,27 +148,6 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     return agg.select(id_col, "field", "query", cnt.cast("bigint").alias("cnt"))
 
 
-def hits_by_expression(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
-                       fields: Sequence[str] = ("body",), mode: str = "token") -> DataFrame:
-    """Reference plan for small query lists and for checks: each text evaluates a
-    literal array of all queries with a replace-length count (no join). The query list
-    is collected, so its size is checked first."""
-    from lexiflow.functions.text import padded_count, token_count
-    n = queries.count()
-    if n > 4096:
-        raise ValueError("hits_by_expression is for query lists of at most 4096 entries")
-    qs = sorted(r[0] for r in queries.select("query").collect())
-    counter = token_count if mode == "token" else padded_count
-    out = None
-    for field in fields:
-        arr = F.array(*[F.struct(F.lit(s).alias("query"),
-                                 counter(F.col(field), F.lit(s)).alias("cnt")) for s in qs])
-        part = texts.select(F.col(id_col), F.lit(field).alias("field"),
-                            F.explode(arr).alias("h")).select(id_col, "field", "h.query", "h.cnt")
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.col("cnt") > 0)
-
-
 def texts_with_query(texts: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Keep texts with at least one non-zero query count."""
     return texts.join(hits.where(F.col("cnt") != 0).select(id_col), id_col, "left_semi")
@@ -225,28 +175,60 @@ def hits_wide(hits: DataFrame, queries: Sequence[str], id_col: str = "doc_id") -
 
 def raw_keyword_counts(texts: DataFrame, keywords: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text", keyword_col: str = "query",
-                       max_keywords: int = 20_000) -> DataFrame:
+                       keep: Sequence[str] = ()) -> DataFrame:
     """Raw keyword matrix in long form: plain substring counts of each keyword in the
-    uncleaned text, rows with a non-zero count only.
-
-    Raw substrings are not token aligned, so every text is scanned once per keyword:
-    the keyword list becomes one constant array and a single lambda counts each entry
-    (compact code whatever the list length). The list is checked to hold at most
-    ``max_keywords`` entries.
+    uncleaned text, rows with a non-zero count only, with the text's ``keep`` columns
+    (date, URL, ...).
+
+    Texts and keywords are cut at single blanks. A keyword without a blank can only occur
+    inside a piece: the distinct pieces are joined by their substrings of the keywords'
+    lengths, and counts per piece are summed per text. A keyword ``a m1 .. b`` of k pieces
+    is a run of k pieces whose first ends with ``a``, whose middle is equal and whose last
+    begins with ``b``: runs are joined on (end of the first piece, middle), and hits that
+    share characters are folded from left to right. There is no limit on the keywords.
     """
-    n = keywords.count()
-    if n > max_keywords:
-        raise ValueError(f"raw keyword counting supports at most {max_keywords} keywords")
-    kws = sorted({r[0] for r in keywords.select(keyword_col).collect() if r[0]})
-    if not kws:
-        return texts.sparkSession.createDataFrame(
-            [], f"{id_col} {dict(texts.dtypes)[id_col]}, keyword string, cnt bigint")
-    from lexiflow.functions.text import substring_count
-    text = F.col(text_col)
-    arr = F.transform(F.array(*[F.lit(k) for k in kws]),
-                      lambda k: F.struct(k.alias("keyword"), substring_count(text, k).alias("cnt")))
-    return (texts.select(F.col(id_col), text_col).select(F.col(id_col), F.explode(arr).alias("h"))
-            .select(id_col, "h.keyword", "h.cnt").where(F.col("cnt") > 0))
+    kw = keywords.select(F.col(keyword_col).alias("keyword")).where(F.length("keyword") > 0).distinct()
+    kw = kw.select("keyword", F.split("keyword", " ").alias("kp")).select("keyword", "kp", F.size("kp").alias("k"))
+    pieces = texts.select(F.col(id_col), F.split(F.col(text_col), " ").alias("tp"))
+
+    single = kw.where("k = 1").select("keyword", F.length("keyword").alias("len"))
+    lens, sizes = kw.agg(F.array_sort(F.collect_set(F.when(F.col("k") == 1, F.length("keyword")))),
+                         F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("k"))))).first()  # distinct lengths
+    empty = F.array().cast("array<int>")
+    counts = pieces.select(id_col, F.explode("tp").alias("piece")).where(F.length("piece") > 0) \
+        .groupBy(id_col, "piece").agg(F.count(F.lit(1)).alias("times"))
+    subs = (counts.select("piece").distinct()
+            .select("piece", F.explode(F.array(*map(F.lit, lens)) if lens else empty).alias("len")).where(F.length("piece") >= F.col("len"))
+            .select("piece", F.explode(F.expr(
+                "array_distinct(transform(sequence(1, length(piece) - len + 1), i -> substring(piece, i, len)))"))
+                .alias("keyword")))
+    inside = subs.join(single, "keyword").select(
+        "piece", "keyword", substring_count(F.col("piece"), F.col("keyword")).alias("c"))
+    in_piece = counts.join(own_exchange(inside), "piece") \
+        .select(id_col, "keyword", (F.col("times") * F.col("c")).alias("cnt"))
+
+    multi = kw.where("k > 1").select(
+        "keyword", "k", F.element_at("kp", 1).alias("a"), F.element_at("kp", -1).alias("b"),
+        F.expr("array_join(slice(kp, 2, k - 2), ' ')").alias("mid"))
+    runs = (pieces.select(id_col, "tp", F.explode(F.array(*map(F.lit, sizes)) if sizes else empty).alias("k"))
+            .where(F.size("tp") >= F.col("k"))
+            .select(id_col, "k", F.explode(F.expr(
+                "element_at(transform(array(tp), t -> transform(sequence(1, size(t) - k + 1), i -> named_struct("
+                "'pos', i, 'first', t[i - 1], 'mid', array_join(slice(t, i + 1, k - 2), ' '), 'last', t[i + k - 2]))), 1)"))
+                .alias("w")).select(id_col, "k", "w.*"))
+    ends = runs.select(id_col, "k", "pos", "mid", "last", F.explode(F.expr(
+        "transform(sequence(1, length(first) + 1), i -> substring(first, i))")).alias("a"))
+    met = ends.join(multi, ["k", "a", "mid"]).where(F.expr("startswith(last, b)"))
+    # two hits share characters if they share more than the piece between them has room for
+    hit = F.struct("pos", F.expr("length(a) + length(b) > length(last)").alias("tight"))
+    fold = F.expr("""aggregate(array_sort(hits), named_struct('free', 0, 'edge', 0, 'tight', false, 'c', 0L),
+        (acc, h) -> if(h.pos > acc.edge OR (h.pos = acc.edge AND NOT acc.tight),
+            named_struct('free', 0, 'edge', h.pos + k - 1, 'tight', h.tight, 'c', acc.c + 1L), acc),
+        acc -> acc.c)""")
+    across = (met.groupBy(id_col, "keyword", "k").agg(F.collect_list(hit).alias("hits"))
+              .select(id_col, "keyword", fold.alias("cnt")))
+    out = in_piece.unionByName(across).groupBy(id_col, "keyword").agg(F.sum("cnt").alias("cnt"))
+    return out.join(texts.select(id_col, *keep), id_col) if keep else out
 
 
 def observe_counts(df: DataFrame, name: str):

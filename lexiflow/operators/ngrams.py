@@ -81,7 +81,7 @@ def substring_containment(candidates: DataFrame, texts: DataFrame, id_col: str =
             win = win.select(id_col, "w.first", "w.mid", "w.last")
             sfx = win.select(id_col, "mid", "last", F.explode(F.transform(
                 F.sequence(F.lit(1), F.length("first")),
-                lambda i: F.substring("first", i, 10_000))).alias("a")).distinct()
+                lambda i: F.substr("first", i))).alias("a")).distinct()
             part = (ck.join(sfx, ["a", "mid"])
                     .where(F.col("last").startswith(F.col("b")))
                     .select("ngram", id_col))

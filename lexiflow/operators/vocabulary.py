@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.operators.actors import sized_broadcast
+from lexiflow.session import own_exchange
 
 
 def explode_tokens(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -30,8 +30,8 @@ def regroup_tokens(long: DataFrame, id_col: str = "doc_id", token_col: str = "to
 def map_vocabulary(docs: DataFrame, mapping: DataFrame, id_col: str = "doc_id",
                    tokens_col: str = "tokens", surface: str = "surface", normal: str = "normal") -> DataFrame:
     """Replace every token found in ``mapping(surface, normal)``; others stay."""
-    m = sized_broadcast(mapping.select(F.col(surface).alias("token"), F.col(normal).alias("_n"))
-                        .dropDuplicates(["token"]))
+    m = own_exchange(mapping.select(F.col(surface).alias("token"), F.col(normal).alias("_n"))
+                     .dropDuplicates(["token"]))
     long = explode_tokens(docs, id_col, tokens_col).join(m, "token", "left")
     long = long.select(id_col, "pos", F.coalesce("_n", "token").alias("token"))
     ids = docs.select(id_col)

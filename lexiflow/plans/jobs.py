@@ -13,10 +13,17 @@ from lexiflow.operators.keyterms import (
 )
 
 
+def preprocess_corpus(texts: DataFrame, text_col: str = "text", out_col: str = "text_clean", **options) -> DataFrame:
+    """Clean one text column with the options of ``clean_text``; the other columns stay."""
+    return texts.select(*[c for c in texts.columns if c != text_col],
+                        clean_text(F.col(text_col), **options).alias(out_col))
+
+
 def keyterm_search(texts: DataFrame, raw_queries: DataFrame, id_col: str = "doc_id",
                    fields: Mapping[str, str] | None = None, mode: str = "token",
                    stopwords: Sequence[str] = DEFAULT_STOPWORDS,
-                   legacy_digits: bool = False, query_col: str = "query"):
+                   legacy_digits: bool = False, query_col: str = "query",
+                   lemmas: Mapping[str, str] | None = None, do_stemming: bool = False):
     """Keyterm search over a text table.
 
     1. clean the raw queries (lengths 1..30, all punctuation kept, digits kept);
@@ -25,18 +32,22 @@ def keyterm_search(texts: DataFrame, raw_queries: DataFrame, id_col: str = "doc_
     3. clean each text field with those options;
     4. count every query in every field.
 
+    ``lemmas`` and ``do_stemming`` apply to queries and texts alike, after the length
+    filter, so that inflected forms of a query term count as the term.
+
     Returns ``(hits, queries, cleaned)``; ``hits`` is ``(id, field, query, cnt>0)``.
     """
     from lexiflow.session import cut_lineage
     fields = dict(fields or {"body": "text"})
     # the (small) prepared query list is read by several planning actions and the join:
     # materialise it once in the shared checkpoint folder
-    queries = cut_lineage(prepare_queries(raw_queries, col=query_col, stopwords=stopwords))
+    queries = cut_lineage(prepare_queries(raw_queries, col=query_col, stopwords=stopwords,
+                                          lemmas=lemmas, do_stemming=do_stemming))
     prof = query_profile(queries).first()  # one aggregate row
     opts = search_options(prof, legacy_digits=legacy_digits)
     cleaned = texts.select(
         F.col(id_col),
-        *[clean_text(F.col(src), stopwords=stopwords, **opts).alias(field)
+        *[clean_text(F.col(src), stopwords=stopwords, lemmas=lemmas, do_stemming=do_stemming, **opts).alias(field)
           for field, src in fields.items()])
     hits = keyterm_hits(cleaned, queries, id_col=id_col, fields=list(fields), mode=mode)
     return hits, queries, cleaned

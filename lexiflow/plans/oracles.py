@@ -34,6 +34,11 @@ kw AS (SELECT DISTINCT query AS keyword FROM raw_q WHERE query <> '')
 SELECT doc_id, keyword, cnt FROM (
   SELECT d.doc_id, k.keyword, {Q.substring_count('d.text', 'k.keyword')} AS cnt
   FROM documents d, kw k) WHERE cnt > 0""")
+oracle("raw_keyword_matrix_pages", f"""WITH {Q.RAW_QUERIES},
+kw AS (SELECT DISTINCT query AS keyword FROM raw_q WHERE query <> '')
+SELECT doc_id, url, keyword, cnt FROM (
+  SELECT d.page_id AS doc_id, d.url, k.keyword, {Q.substring_count('d.html', 'k.keyword')} AS cnt
+  FROM pages d, kw k) WHERE cnt > 0""")
 
 
 # --- corpora / n-grams --------------------------------------------------------------------
@@ -168,7 +173,8 @@ qn AS (SELECT query, sqrt(sum(weight * weight)) AS qn FROM qw GROUP BY query),
 dot AS (SELECT q.query, t.doc_id, sum(t.weight * q.weight) AS dot
         FROM tfidf t JOIN qw q ON t.term = q.term GROUP BY q.query, t.doc_id)
 SELECT d.query, d.doc_id, d.dot / (dn.dn * qn.qn) AS score
-FROM dot d JOIN dn ON d.doc_id = dn.doc_id JOIN qn ON d.query = qn.query""")
+FROM dot d JOIN dn ON d.doc_id = dn.doc_id JOIN qn ON d.query = qn.query
+QUALIFY row_number() OVER (PARTITION BY d.query ORDER BY round(d.dot / (dn.dn * qn.qn), 9) DESC, d.doc_id) <= 50""")
 
 
 # --- actors ------------------------------------------------------------------------------------

@@ -21,6 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRAIN_OPTS = dict(min_len=2, max_len=40, keep_nonalphanumerics=["-"], remove_numbers=True)
 
 
+# Irregular verb forms, as a lemma table that a user passes.
+LEMMAS = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have",
+          "went": "go", "gone": "go", "sent": "send", "kept": "keep", "found": "find", "made": "make"}
+
+
 def register(name: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -57,6 +62,20 @@ def q_prepare_queries(spark, sf_dir):
     return K.prepare_queries(S.raw_keyterms(spark, sf_dir))
 
 
+@register("keyterm_hits_stemmed")
+def q_keyterm_hits_stemmed(spark, sf_dir):
+    """Keyterm search with lemmas and English stems on both sides."""
+    hits, _, _ = jobs.keyterm_search(S.corpus(spark, sf_dir), S.raw_keyterms(spark, sf_dir),
+                                     lemmas=LEMMAS, do_stemming=True)
+    return hits
+
+
+@register("preprocess_corpus")
+def q_preprocess_corpus(spark, sf_dir):
+    """Every text cleaned, lemmatised and stemmed."""
+    return jobs.preprocess_corpus(S.corpus(spark, sf_dir), lemmas=LEMMAS, do_stemming=True, **TRAIN_OPTS)
+
+
 @register("query_profile")
 def q_query_profile(spark, sf_dir):
     prof = K.query_profile(K.prepare_queries(S.raw_keyterms(spark, sf_dir)))
@@ -98,6 +117,14 @@ def q_raw_keyword_matrix(spark, sf_dir):
     return K.raw_keyword_counts(docs, kw)
 
 
+@register("raw_keyword_matrix_pages")
+def q_raw_keyword_matrix_pages(spark, sf_dir):
+    """Raw keyword counts of the fetched pages, with the URL of each page."""
+    pages = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("text"))
+    kw = S.raw_keyterms(spark, sf_dir).where(F.col("query") != "").distinct()
+    return K.raw_keyword_counts(pages, kw, keep=["url"])
+
+
 # --- corpora ------------------------------------------------------------------------------
 
 DEFAULT_OPTS = dict(min_len=2, max_len=15, keep_nonalphanumerics=True, remove_numbers=True)
@@ -274,9 +301,8 @@ def q_rank_tfidf_overlap(spark, sf_dir):
 @register("rank_cosine")
 def q_rank_cosine(spark, sf_dir):
     docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
-    m = D.doc_term_matrix(docs, min_df=3, max_df=0.95, n=1)
     n_docs = docs.count()
-    idf = (m.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = (weights.groupBy("term")  # the weights hold exactly the kept terms.agg(F.count(F.lit(1)).alias("df"))
            .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))
     return RK.rank_cosine(weights, RK.query_term_weights(queries, idf))
 

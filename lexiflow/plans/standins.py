@@ -18,9 +18,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# The test tables are files of one row group; those that get per-row text work are dealt out.
+TEXT_TABLES = ("documents", "lineitem", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from lexiflow.sources.tables import read_parquet
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+    spread = spark.sparkContext.defaultParallelism if name in TEXT_TABLES else None
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", spread)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "lexiflow", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE, UTC time zone and the UI off.
 
     On a cluster, ``master`` stays None and the cluster manager's settings apply;
-    ``shuffle_partitions`` should then be sized to the data (about 128-256 MB per
-    partition after the first exchange), AQE coalesces the rest at run time.
+    ``spark.sql.shuffle.partitions`` is set only when ``shuffle_partitions`` is given. It
+    should be sized to the data (about 128-256 MB per partition after the first
+    exchange), AQE coalesces the rest at run time.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -22,13 +23,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -41,11 +43,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a fresh
-    scratch folder is created and registered.
+    The cluster's setting always wins. Only when it is unset and the master is a single
+    local process (tests, bench) a fresh scratch folder is created and registered;
+    elsewhere an unset folder is an error, since executors could not share one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -59,3 +65,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def own_exchange(df: DataFrame) -> DataFrame:
+    """Give an aggregated join side an exchange of its own (a small shuffle, still lazy).
+
+    An aggregate directly under a join shares its hash partitioning with the join, and
+    then AQE cannot split a hot key of the other side. After a rebalance both sides get
+    the join's own exchange, which the skew join may split.
+    """
+    return df.hint("rebalance")

@@ -46,30 +46,12 @@ def assemble_pages(doc_pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
              "n_read", "n_total")
 
 
-# Tables smaller than this stay as scanned (small dimensions are broadcast anyway).
-SPREAD_MIN_BYTES = 256 * 1024
+def read_parquet(spark, path: str, partitions: int | None = None) -> DataFrame:
+    """Parquet scan; ``partitions`` deals the rows out evenly (a shuffle of the table).
 
-
-def stored_bytes(spark, path: str) -> int:
-    """Size of a file or folder on any Hadoop-supported file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def read_parquet(spark, path: str, min_partitions: int | None = None) -> DataFrame:
-    """Parquet scan with a parallelism guard.
-
-    Parquet splits only at row-group boundaries; a table stored as one large row group
-    scans in one task, and every CPU-heavy step before the first shuffle (text cleaning,
-    n-grams, header parsing) would then run on one core. When a table of at least
-    ``SPREAD_MIN_BYTES`` scans into fewer partitions than the cluster's default
-    parallelism it is spread round-robin; on large multi-file tables the check is false
-    and nothing is added.
+    Parquet splits only at row-group boundaries. A caller who knows that a table is one
+    large row group gives the number of partitions that the work on it needs; tables
+    with row groups of a usual size are read as they are.
     """
     df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want and stored_bytes(spark, path) >= SPREAD_MIN_BYTES:
-        df = df.repartition(want)
-    return df
+    return df if partitions is None else df.repartition(partitions)

@@ -15,19 +15,20 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.text import DEFAULT_STOPWORDS, clean_text
 from lexiflow.operators.keyterms import keyterm_hits, prepare_queries, query_profile, search_options
-from lexiflow.session import checkpoint_dir, cut_lineage
+from lexiflow.session import cut_lineage
 
 
 def start_keyterm_stream(spark: SparkSession, source: str, schema: str, raw_queries: DataFrame,
                          out_path: str, id_col: str = "doc_id",
                          fields: Mapping[str, str] | None = None, mode: str = "token",
                          stopwords: Sequence[str] = DEFAULT_STOPWORDS,
-                         checkpoint: str | None = None, available_now: bool = True,
+                         *, checkpoint: str, available_now: bool = True,
                          max_files_per_trigger: int | None = None):
     """Start the streaming search; returns the ``StreamingQuery``.
 
     ``source`` is a folder of Parquet files with ``schema``; new files are picked up as
-    they arrive. ``available_now=True`` processes what is there and stops.
+    they arrive. ``available_now=True`` processes what is there and stops. A restart with
+    the same ``checkpoint`` folder goes on after the last finished batch.
     """
     fields = dict(fields or {"body": "text"})
     queries = cut_lineage(prepare_queries(raw_queries, stopwords=stopwords))
@@ -44,7 +45,6 @@ def start_keyterm_stream(spark: SparkSession, source: str, schema: str, raw_quer
         (hits.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
 
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/lexiflow-stream/{abs(hash(out_path))}"
-    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
+    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

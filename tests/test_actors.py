@@ -61,3 +61,13 @@ def test_first_match_and_enrich(spark):
     msgs = spark.createDataFrame([("m1", "a.com"), ("m2", "c.com")], "msg_id string, sender_domain string")
     got = {r["msg_id"]: r["cat"] for r in A.enrich(msgs, fm, "category", "cat").collect()}
     assert got == {"m1": "first", "m2": "Unknown"}
+
+
+def test_series_of_nothing_and_of_a_null_group(spark):
+    none = spark.createDataFrame([], "g string, sent_year int")
+    assert A.yearly_counts(none, "g").count() == 0 and A.year_range(none) is None
+    rows = spark.createDataFrame([("a", 2000), (None, 2000), (None, 2001), ("b", 2001)], "g string, sent_year int")
+    yearly = A.yearly_counts(rows, "g")
+    assert yearly.count() == 6 and A.stacked_bands(yearly).count() == 6
+    ranks = {r["grp"]: r["rank"] for r in A.rank_by_last_year(yearly).collect()}
+    assert ranks == {"a": 1, None: 2, "b": 3}

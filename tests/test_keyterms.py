@@ -4,9 +4,19 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexiflow.functions.text import padded_count, token_count
 from lexiflow.operators import keyterms as K
 
 
+def hits_by_expression(texts, queries, mode):
+    """Each text counts a literal array of all queries by replacing (no join)."""
+    counter = token_count if mode == "token" else padded_count
+    arr = F.array(*[F.struct(F.lit(r[0]).alias("query"), counter(F.col("body"), F.lit(r[0])).alias("cnt"))
+                    for r in queries.select("query").collect()])
+    return (texts.select("doc_id", F.lit("body").alias("field"), F.explode(arr).alias("h"))
+            .select("doc_id", "field", "h.*").where("cnt > 0"))
+
+
 def test_join_plan_equals_expression_plan(spark):
     rnd = random.Random(7)
     vocab = ["li", "x", "y", "ab", "li.", "it's", "a\\b"]
@@ -17,13 +27,27 @@ def test_join_plan_equals_expression_plan(spark):
     queries = K.prepare_queries(raw, stopwords=())
     for mode in ("token", "padded"):
         a = {tuple(r) for r in K.keyterm_hits(texts, queries, mode=mode).collect()}
-        b = {tuple(r) for r in K.hits_by_expression(texts, queries, mode=mode).collect()}
+        b = {tuple(r) for r in hits_by_expression(texts, queries, mode).collect()}
         assert a == b, mode
-        # shuffle-join path (no broadcast, no first-token pre-filter)
-        c = {tuple(r) for r in K.keyterm_hits(texts, queries, mode=mode, max_broadcast_queries=0).collect()}
+        # the same plan with shuffle joins
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            c = {tuple(r) for r in K.keyterm_hits(texts, queries, mode=mode).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert c == b, mode
 
 
+def test_long_and_many_queries(spark):
+    words = [f"t{i}" for i in range(70)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, "q59999 x")], "doc_id long, body string")
+    raw = (spark.range(60_000).selectExpr("concat('q', id) as query")
+           .unionByName(spark.createDataFrame([(" ".join(words[:65]),)], "query string")))
+    queries = K.prepare_queries(raw, stopwords=())
+    got = {(r["doc_id"], len(r["query"].split()), r["cnt"]) for r in K.keyterm_hits(texts, queries).collect()}
+    assert got == {(1, 65, 1), (2, 1, 1)}
+
+
 def test_profile_and_options(spark):
     raw = spark.createDataFrame([("ETSI-TS 33.107",), ("Li",), ("",)], "query string")
     q = K.prepare_queries(raw, stopwords=())
@@ -44,10 +68,20 @@ def test_no_cartesian_in_hits_plan(spark):
 
 
 def test_raw_keyword_counts(spark):
-    texts = spark.createDataFrame([(1, "privacy and Privacy privacy")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "privacy and Privacy privacy", "d1")], "doc_id long, text string, date string")
     kw = spark.createDataFrame([("privacy",), ("and",), ("zz",)], "query string")
-    got = {r["keyword"]: r["cnt"] for r in K.raw_keyword_counts(texts, kw).collect()}
-    assert got == {"privacy": 2, "and": 1}
+    got = {(r["keyword"], r["cnt"], r["date"]) for r in K.raw_keyword_counts(texts, kw, keep=["date"]).collect()}
+    assert got == {("privacy", 2, "d1"), ("and", 1, "d1")}
+
+
+def test_raw_keyword_counts_equal_str_count(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("ab  a\n") for _ in range(rnd.randint(0, 60))) for _ in range(40)]
+    keys = sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 6))) for _ in range(150)} | {"a a", "aa", " ", "a\nb"})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kw = spark.createDataFrame([(k,) for k in keys], "query string")
+    got = {(r["doc_id"], r["keyword"]): r["cnt"] for r in K.raw_keyword_counts(docs, kw).collect()}
+    assert got == {(i, k): t.count(k) for i, t in enumerate(texts) for k in keys if t.count(k)}
 
 
 def test_observe_counts(spark):

@@ -31,3 +31,37 @@ def test_no_cross_joins(spark):
         assert not any(k in plan for k in FORBIDDEN), name
     got = {r["ngram"] for r in frames["offtopic"].collect()}
     assert got == set()  # "ab cd" occurs in "zab cde", "x" is a token of doc 1
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    import types
+
+    import pytest
+
+    from lexiflow.session import checkpoint_dir
+    conf = types.SimpleNamespace(get=lambda key, default=None: default)
+    cluster = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(cluster)
+
+
+def test_hot_terms_can_be_split(spark, tmp_path):
+    """AQE splits a hot term or document in the sparse matrix joins (sort-merge joins)."""
+    from lexiflow.operators import dtm as D
+    spark.range(40_000).selectExpr("id AS doc_id", "concat('hot hot w', id % 500, ' v', id % 7) AS text_clean") \
+        .repartition(8).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for frame in (D.tfidf(docs, min_df=2, max_df=1.0), D.doc_term_matrix(docs, min_df=2, max_df=1.0, n=1)):
+            frame.collect()
+            assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -77,3 +77,17 @@ def test_ngrams_short_text(spark):
     got = run(spark, [(1, "a b c", ""), (2, "a", ""), (3, "", "")],
               T.ngrams(T.tokenize(F.col("t")), 2))
     assert got == [["a b", "b c"], [], []]
+
+
+def test_lemmas_and_stems_on_both_sides(spark):
+    from lexiflow.functions.snowball import stem
+    from lexiflow.plans import jobs
+    docs = spark.createDataFrame([(1, "lawful interceptions were sent"), (2, "interception"), (3, None)],
+                                 "doc_id long, text string")
+    out = jobs.preprocess_corpus(docs, lemmas={"sent": "send"}, do_stemming=True, stopwords=())
+    got = {r["doc_id"]: r["text_clean"] for r in out.collect()}
+    assert got[1] == " ".join(map(stem, ["lawful", "interceptions", "were", "send"]))
+    raw = spark.createDataFrame([("intercepting messages",), ("interceptions interceptions",), ("sends",)], "query string")
+    hits, queries, _ = jobs.keyterm_search(docs, raw, lemmas={"sent": "send"}, do_stemming=True)
+    assert {r["query"] for r in queries.collect()} == {"intercept messag", "intercept intercept", "send"}
+    assert {(r["doc_id"], r["query"]) for r in hits.collect()} == {(1, "send")}
