@@ -409,8 +409,7 @@ cpg AS (SELECT t.period, cs.category AS src, cd.category AS dst, sum(t.weight) A
               WHERE is_target AND period IS NOT NULL AND sender_domain IS NOT NULL
                 AND receiver_domain IS NOT NULL GROUP BY ALL) t
         JOIN cat_dim cs ON t.src = cs.domain JOIN cat_dim cd ON t.dst = cd.domain GROUP BY ALL),
-fn AS (SELECT src AS node FROM fg UNION SELECT dst FROM fg),
-fe AS (SELECT DISTINCT src, dst FROM fg WHERE src <> dst)"""
+fn AS (SELECT src AS node FROM fg UNION SELECT dst FROM fg)"""
 
 
 def degree_sql(edges: str) -> str:
@@ -419,40 +418,65 @@ def degree_sql(edges: str) -> str:
 FROM (SELECT src AS node FROM {edges} UNION ALL SELECT dst FROM {edges}) GROUP BY node"""
 
 
-PATHS = """,
-reach(s, v, d) AS (SELECT node, node, 0 FROM fn
-                   UNION SELECT r.s, e.dst, r.d + 1 FROM reach r JOIN fe e ON r.v = e.src
-                   WHERE r.d < (SELECT count(*) FROM fn)),
+def paths_sql(edges: str) -> str:
+    """Distances and numbers of shortest paths of a whole edge table; pn = its nodes."""
+    return f""",
+pn AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}),
+pe AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst),
+reach(s, v, d) AS (SELECT node, node, 0 FROM pn
+                   UNION SELECT r.s, e.dst, r.d + 1 FROM reach r JOIN pe e ON r.v = e.src
+                   WHERE r.d < (SELECT count(*) FROM pn)),
 dist AS (SELECT s, v, min(d) AS d FROM reach GROUP BY s, v),
-sp(s, v, d) AS (SELECT node, node, 0 FROM fn
-                UNION ALL SELECT p.s, e.dst, p.d + 1 FROM sp p JOIN fe e ON p.v = e.src
+sp(s, v, d) AS (SELECT node, node, 0 FROM pn
+                UNION ALL SELECT p.s, e.dst, p.d + 1 FROM sp p JOIN pe e ON p.v = e.src
                 JOIN dist t ON t.s = p.s AND t.v = e.dst AND t.d = p.d + 1),
 sigma AS (SELECT s, v, any_value(d) AS d, count(*) AS sg FROM sp GROUP BY s, v)"""
 
+
+def closeness_sql(edges: str) -> str:
+    return f"""{paths_sql(edges)}
+SELECT v AS node, CASE WHEN sum(d) > 0 THEN ((count(*) - 1) / sum(d)) * ((count(*) - 1) /
+       ((SELECT count(*) FROM pn) - 1)) ELSE 0.0 END AS centrality
+FROM dist GROUP BY v"""
+
+
+def betweenness_sql(edges: str) -> str:
+    return f"""{paths_sql(edges)},
+pairs AS (SELECT a.v AS node, a.sg * b.sg / c.sg AS part
+          FROM sigma a JOIN sigma b ON a.v = b.s JOIN sigma c ON c.s = a.s AND c.v = b.v
+          WHERE a.s <> a.v AND b.v <> b.s AND a.s <> b.v AND a.d + b.d = c.d)
+SELECT pn.node, coalesce(sum(pairs.part), 0.0) * (CASE WHEN (SELECT count(*) FROM pn) > 2
+       THEN 1.0 / (((SELECT count(*) FROM pn) - 1) * ((SELECT count(*) FROM pn) - 2)) ELSE 1.0 END) AS centrality
+FROM pn LEFT JOIN pairs ON pn.node = pairs.node GROUP BY pn.node"""
+
+
+# target messages of the second period, contracted by category and by nationality
+CONTRACTED = """,
+c2 AS (SELECT src, dst, weight FROM cpg WHERE period = '1998-2002'),
+n2 AS (SELECT cs.nationality AS src, cd.nationality AS dst, sum(t.weight) AS weight
+       FROM (SELECT sender_domain AS src, receiver_domain AS dst, count(*) AS weight FROM per
+             WHERE is_target AND period = '1998-2002' AND sender_domain IS NOT NULL
+               AND receiver_domain IS NOT NULL GROUP BY ALL) t
+       JOIN nat_dim cs ON t.src = cs.domain JOIN nat_dim cd ON t.dst = cd.domain GROUP BY ALL)"""
+
 oracle("domain_digraph", f"WITH {GRAPHS} SELECT src, dst, weight FROM dg")
 oracle("contracted_digraph", f"""WITH {GRAPHS}
 SELECT cs.category AS src, cd.category AS dst, sum(dg.weight) AS weight
 FROM dg JOIN cat_dim cs ON dg.src = cs.domain JOIN cat_dim cd ON dg.dst = cd.domain GROUP BY ALL""")
 oracle("digraph_by_period", f"WITH {GRAPHS} SELECT period, src, dst, weight FROM pg")
-oracle("degree_centrality", f"WITH {GRAPHS} {degree_sql('fg')}")
-oracle("contracted_degree_centrality", f"""WITH {GRAPHS},
-c2 AS (SELECT src, dst, weight FROM cpg WHERE period = '1998-2002') {degree_sql('c2')}""")
-oracle("closeness_centrality", f"""WITH RECURSIVE {GRAPHS} {PATHS}
-SELECT v AS node, CASE WHEN sum(d) > 0 THEN ((count(*) - 1) / sum(d)) * ((count(*) - 1) /
-       ((SELECT count(*) FROM fn) - 1)) ELSE 0.0 END AS centrality
-FROM dist GROUP BY v""")
-oracle("betweenness_centrality", f"""WITH RECURSIVE {GRAPHS} {PATHS},
-pairs AS (SELECT a.v AS node, a.sg * b.sg / c.sg AS part
-          FROM sigma a JOIN sigma b ON a.v = b.s JOIN sigma c ON c.s = a.s AND c.v = b.v
-          WHERE a.s <> a.v AND b.v <> b.s AND a.s <> b.v AND a.d + b.d = c.d)
-SELECT fn.node, coalesce(sum(pairs.part), 0.0) * (CASE WHEN (SELECT count(*) FROM fn) > 2
-       THEN 1.0 / (((SELECT count(*) FROM fn) - 1) * ((SELECT count(*) FROM fn) - 2)) ELSE 1.0 END) AS centrality
-FROM fn LEFT JOIN pairs ON fn.node = pairs.node GROUP BY fn.node""")
-oracle("out_edges", f"""WITH {GRAPHS}
-SELECT fn.node, count(fg.src) AS n_out FROM fn LEFT JOIN fg ON fn.node = fg.src GROUP BY fn.node""")
+oracle("degree_centrality", f"WITH {GRAPHS} {degree_sql('tg')}")
+for _kind, _edges in (("contracted", "c2"), ("nation", "n2")):
+    oracle(f"{_kind}_degree_centrality", f"WITH {GRAPHS} {CONTRACTED} {degree_sql(_edges)}")
+    oracle(f"{_kind}_closeness_centrality", f"WITH RECURSIVE {GRAPHS} {CONTRACTED} {closeness_sql(_edges)}")
+    oracle(f"{_kind}_betweenness_centrality", f"WITH RECURSIVE {GRAPHS} {CONTRACTED} {betweenness_sql(_edges)}")
+oracle("closeness_centrality", f"WITH RECURSIVE {GRAPHS} {closeness_sql('tg')}")
+oracle("betweenness_centrality", f"WITH RECURSIVE {GRAPHS} {betweenness_sql('tg')}")
+oracle("out_edges", f"""WITH {GRAPHS},
+tn AS (SELECT src AS node FROM tg UNION SELECT dst FROM tg)
+SELECT tn.node, count(tg.src) AS n_out FROM tn LEFT JOIN tg ON tn.node = tg.src GROUP BY tn.node""")
 oracle("reciprocal_edges", f"""WITH {GRAPHS}
 SELECT a.src, a.dst, a.weight, b.src IS NOT NULL AS reciprocal
-FROM fg a LEFT JOIN fg b ON a.src = b.dst AND a.dst = b.src""")
+FROM tg a LEFT JOIN tg b ON a.src = b.dst AND a.dst = b.src""")
 oracle("foreground_edges", f"""WITH {GRAPHS},
 t AS (SELECT *, cbrt(weight) AS thickness FROM pg),
 thr AS (SELECT period, min(thickness) AS thr FROM (
@@ -548,3 +572,15 @@ WHERE sender_domain IS NOT NULL AND sent_year IS NOT NULL GROUP BY ALL""")
 oracle("line_list_roundtrip", """
 SELECT DISTINCT regexp_replace(unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')), '[\\s\\x0b\\x1c-\\x1f]+$', '') AS line
 FROM benchmark""")
+
+oracle("load_queries", f"""WITH {Q.RAW_QUERIES}
+SELECT DISTINCT regexp_replace(query, '\\s+$', '') AS query FROM (
+  SELECT query FROM raw_q UNION ALL SELECT unnest(string_split(text, chr(10))) FROM benchmark)""")
+oracle("scan_stopwords", f"""SELECT DISTINCT w AS word FROM (
+  SELECT {Q.tokens('lower(text)')}[1] AS w FROM documents) WHERE w <> ''""")
+oracle("scan_documents", """
+SELECT count(*) AS n_docs, sum(length(text) + 1)::BIGINT AS n_chars FROM benchmark""")
+oracle("org_csv", f"""WITH {ORG}
+SELECT name, full_name, nationality, category, stakeholdergroup, email_domains, subsidiary_of FROM org_raw""")
+oracle("read_mbox", f"""WITH {Q.MESSAGES}
+SELECT msg_id, "from", comments_to, date_raw, NULL::VARCHAR AS sender, 'Sender: body of ' || msg_id AS body FROM messages""")

@@ -302,7 +302,7 @@ def q_rank_tfidf_overlap(spark, sf_dir):
 def q_rank_cosine(spark, sf_dir):
     docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
     n_docs = docs.count()
-    idf = (weights.groupBy("term")  # the weights hold exactly the kept terms.agg(F.count(F.lit(1)).alias("df"))
+    idf = (weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # exactly the kept terms
            .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))
     return RK.rank_cosine(weights, RK.query_term_weights(queries, idf))
 
@@ -604,11 +604,22 @@ def foreground_graph(spark, sf_dir):
         .select("src", "dst", "weight")
 
 
-def contracted_period_graph(spark, sf_dir):
+def contracted_period_graph(spark, sf_dir, dim=None, attr="category"):
     m = G.with_period(parsed_messages(spark, sf_dir).where(F.col("is_target")), PERIODS)
     e = G.digraph(m, by=["period"])
-    attr = category_dim(spark, sf_dir).select(F.col("domain").alias("node"), F.col("category").alias("attr"))
-    return G.contract(e, attr, by=["period"])
+    dim = category_dim(spark, sf_dir) if dim is None else dim
+    return G.contract(e, dim.select(F.col("domain").alias("node"), F.col(attr).alias("attr")), by=["period"])
+
+
+def category_graph(spark, sf_dir):
+    """Whole target graph of the second period, contracted by category."""
+    return contracted_period_graph(spark, sf_dir).where(F.col("period") == "1998-2002").drop("period")
+
+
+def nation_graph(spark, sf_dir):
+    """Whole target graph of the second period, contracted by nationality."""
+    e = contracted_period_graph(spark, sf_dir, nation_dim(spark, sf_dir), "nationality")
+    return e.where(F.col("period") == "1998-2002").drop("period")
 
 
 @register("domain_digraph")
@@ -628,35 +639,27 @@ def q_digraph_by_period(spark, sf_dir):
     return G.digraph(m, by=["period"])
 
 
-@register("degree_centrality")
-def q_degree_centrality(spark, sf_dir):
-    return G.degree_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
-
+def _register_centralities(prefix, graph):
+    for name, measure in (("degree", G.degree_centrality), ("closeness", G.closeness_centrality),
+                          ("betweenness", G.betweenness_centrality)):
+        def query(spark, sf_dir, measure=measure):
+            return measure(graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
+        register(f"{prefix}{name}_centrality")(query)
 
-@register("closeness_centrality")
-def q_closeness_centrality(spark, sf_dir):
-    return G.closeness_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
 
-
-@register("betweenness_centrality")
-def q_betweenness_centrality(spark, sf_dir):
-    return G.betweenness_centrality(foreground_graph(spark, sf_dir)).orderBy(F.desc("centrality"), "node")
-
-
-@register("contracted_degree_centrality")
-def q_contracted_degree_centrality(spark, sf_dir):
-    e = contracted_period_graph(spark, sf_dir).where(F.col("period") == "1998-2002").drop("period")
-    return G.degree_centrality(e).orderBy(F.desc("centrality"), "node")
+_register_centralities("", target_graph)
+_register_centralities("contracted_", category_graph)
+_register_centralities("nation_", nation_graph)
 
 
 @register("out_edges")
 def q_out_edges(spark, sf_dir):
-    return G.out_edges(foreground_graph(spark, sf_dir))
+    return G.out_edges(target_graph(spark, sf_dir))
 
 
 @register("reciprocal_edges")
 def q_reciprocal_edges(spark, sf_dir):
-    return G.reciprocal_edges(foreground_graph(spark, sf_dir))
+    return G.reciprocal_edges(target_graph(spark, sf_dir))
 
 
 @register("foreground_edges")
@@ -784,6 +787,7 @@ import uuid  # noqa: E402
 
 from lexiflow.session import checkpoint_dir  # noqa: E402
 from lexiflow.sources import files as FS  # noqa: E402
+from lexiflow.sources import mbox as MB  # noqa: E402
 
 
 def scratch_path(spark, name: str) -> str:
@@ -847,3 +851,65 @@ def q_line_list_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "lines")
     S.table(spark, sf_dir, "benchmark").select("text").write.mode("overwrite").text(path)
     return FS.scan_line_list(spark, path)
+
+
+def _lines_file(spark, df, name):
+    """Write a one-column table of strings as text files; returns the folder."""
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").text(path)
+    return path
+
+
+@register("load_queries")
+def q_load_queries(spark, sf_dir):
+    """Raw keyterms and benchmark passages as two line lists, loaded as one query list."""
+    a = _lines_file(spark, S.raw_keyterms(spark, sf_dir), "keyterms")
+    b = _lines_file(spark, S.table(spark, sf_dir, "benchmark").select(F.col("text").alias("value")), "passages")
+    return FS.load_queries(spark, [a, b])
+
+
+@register("scan_stopwords")
+def q_scan_stopwords(spark, sf_dir):
+    """Every distinct first word of the documents as a stopword file, read back."""
+    words = S.corpus(spark, sf_dir).select(F.get(T.tokenize(F.lower(F.col("text"))), 0).alias("value")) \
+        .where(F.col("value") != "").distinct()
+    return FS.scan_stopwords(spark, _lines_file(spark, words, "stopwords"))
+
+
+@register("scan_documents")
+def q_scan_documents(spark, sf_dir):
+    """Every benchmark passage as its own text file, scanned with ids from the file names."""
+    folder = scratch_path(spark, "passages")
+    FS.sink_documents(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text"), folder)
+    back = FS.scan_documents(spark, f"{folder}/*")
+    return back.groupBy().agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@register("org_csv")
+def q_org_csv(spark, sf_dir):
+    """Organisation table written as CSV (header, quoted comma lists), loaded by header names."""
+    path = scratch_path(spark, "orgs")
+    o = S.organisations(spark, sf_dir)
+    names = {v: k for k, v in FS.ORG_COLUMNS.items()}
+    o.select([F.col(c).alias(names[c]) for c in ("category", "name", "email_domains", "full_name", "nationality",
+                                                 "subsidiary_of", "stakeholdergroup")]) \
+        .write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    return FS.load_organisations(spark, path).drop("row_no")
+
+
+@register("read_mbox")
+def q_read_mbox(spark, sf_dir):
+    """One archive per target flag with every message as mail text, parsed back."""
+    m = S.messages(spark, sf_dir)
+    end = F.when(F.col("is_target"), F.lit("\r\n")).otherwise(F.lit("\n"))  # CRLF and LF archives
+    lines = [F.lit("From nobody Thu Jan  1 00:00:00 1970"), F.concat(F.lit("From: "), F.col("from")),
+             F.concat(F.lit("Comments-To: "), F.col("comments_to")), F.concat(F.lit("Date: "), F.col("date_raw")),
+             F.concat(F.lit("Message-ID: "), F.col("msg_id")), F.lit(""), F.concat(F.lit("Sender: body of "), F.col("msg_id"))]
+    text = lines[0]
+    for line in lines[1:]:
+        text = F.concat(text, end, line)
+    path = scratch_path(spark, "mbox")
+    m.select(F.concat(text, end).alias("value")).write.mode("overwrite").text(path)
+    back = MB.read_mbox(spark, path)
+    return back.select("msg_id", "from", "comments_to", "date_raw", "sender", F.trim(F.translate("body", "\r\n", "")).alias("body"))
