@@ -770,15 +770,21 @@ def q_vote_logit(spark, sf_dir):
     return _ml_votes(spark, sf_dir, "logit")
 
 
+@register("vote_svm")
 def q_vote_svm(spark, sf_dir):
-    """Linear SVM votes (not registered: ~4 min at sf0.01 on 170k bigram features)."""
     return _ml_votes(spark, sf_dir, "SVM")
 
 
-def q_vote_tree(spark, sf_dir):
-    """Decision-tree votes (not registered: per-task split statistics over the full
-    bigram vocabulary exceed a default-sized driver heap in local mode)."""
-    return _ml_votes(spark, sf_dir, "tree")
+@register("vote_nearest")
+def q_vote_nearest(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "nearest")
+
+
+@register("vote_counts_several")
+def q_vote_counts_several(spark, sf_dir):
+    """Votes of Naive Bayes, logit and discriminant summed per document."""
+    r, s, corpus, dtm, train, test_ids = _discovery_inputs(spark, sf_dir)
+    return DS.vote_counts([CL.vote(name, train, test_ids, dtm, docs=corpus) for name in ("nbayes", "logit", "LDA")])
 
 
 # --- sources and sinks (round trips through the shared checkpoint folder) ------------------

@@ -39,37 +39,80 @@ def test_empty_target_gives_no_rows(spark):
     assert DS.keyword_statistics(docs, empty, min_df=1).count() == 0
 
 
-def test_discriminant_vote_separable(spark):
+def _small_problem(spark, seed=3):
     import random
-    from lexiflow.operators.classifiers import discriminant_vote
-    rnd = random.Random(5)
-    va, vb = ["lawful", "interception", "handover", "interface", "warrant"], ["sunny", "weather", "report", "today", "rain"]
-    rows = [(i, " ".join(rnd.choice(va if i < 60 else vb) for _ in range(rnd.randint(6, 14)))) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text_clean string")
-    dtm = doc_term_matrix(docs, min_df=1, max_df=1.0)
-    train = spark.createDataFrame([(i, 0 if i < 60 else 1) for i, _ in rows if i % 2 == 0], "doc_id long, label int")
-    test = spark.createDataFrame([(i,) for i, _ in rows if i % 2 == 1], "doc_id long")
-    dims = 64
-    votes = {r["doc_id"]: r["vote"] for r in discriminant_vote(train, test, dtm, dims=dims).collect()}
-    correct = sum(v == (1 if i < 60 else 0) for i, v in votes.items())
-    assert len(votes) == 60 and correct >= 48
-    # same formula computed directly with numpy on the same hashed features
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choice("abcdefgh" if i < 60 else "efghijkl") for _ in range(rnd.randint(3, 12))) for i in range(120)]
+    dtm = spark.createDataFrame([(i, t, c) for i, x in enumerate(texts) for t in sorted(set(x.split()))
+                                 for c in [x.split().count(t)]], "doc_id long, term string, cnt long")
+    train = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(0, 120, 2)], "doc_id long, label int")
+    test = spark.createDataFrame([(i,) for i in range(1, 120, 2)], "doc_id long")
     import numpy as np
-    from pyspark.sql import functions as F
-    hx = dtm.select("doc_id", F.pmod(F.xxhash64("term"), F.lit(dims)).alias("i"), "cnt").collect()
-    X = np.zeros((120, dims))
-    for r in hx:
-        X[r["doc_id"], r["i"]] += r["cnt"]
-    tr = [i for i in range(120) if i % 2 == 0]
-    y = np.array([0 if i < 60 else 1 for i in tr])
-    Xt = X[tr]
-    mu = np.array([Xt[y == c].mean(axis=0) for c in (0, 1)])
-    sc = sum(np.outer(x - mu[c], x - mu[c]) for x, c in zip(Xt, y))
-    inv = np.linalg.pinv(sc / (len(tr) - 2))
-    w = inv @ (mu[1] - mu[0])
-    b = -0.5 * mu[1] @ inv @ mu[1] + 0.5 * mu[0] @ inv @ mu[0]
-    want = {i: 1 - int(X[i] @ w + b > 0) for i in range(120) if i % 2 == 1}
-    assert votes == want
+    x = np.array([[t.split().count(c) for c in "abcdefghijkl"] for t in texts], dtype=float)
+    y = np.array([0 if i < 60 else 1 for i in range(120)])
+    return dtm, train, test, x[::2], y[::2], x[1::2]
+
+
+def _votes(spark, name, problem):
+    from lexiflow.operators import classifiers as CL
+    dtm, train, test = problem[:3]
+    got = {r["doc_id"]: r["vote"] for r in CL.vote(name, train, test, dtm).collect()}
+    return [got[i] for i in range(1, 120, 2)]
+
+
+def test_discriminant_equals_the_direct_formula(spark):
+    import numpy as np
+    problem = _small_problem(spark)
+    _, _, _, x, y, z = problem
+    mu = np.array([x[y == c].mean(axis=0) for c in (0, 1)])
+    pooled = sum(np.outer(r - mu[c], r - mu[c]) for r, c in zip(x, y)) / (len(x) - 2)
+    w = np.linalg.pinv(pooled) @ (mu[1] - mu[0])
+    bias = -0.5 * (mu[1] + mu[0]) @ w
+    assert _votes(spark, "LDA", problem) == [int(r @ w + bias <= 0) for r in z]
+
+
+def test_logit_reaches_the_minimum(spark):
+    import numpy as np
+    from lexiflow.operators import classifiers as CL
+    problem = _small_problem(spark)
+    dtm, train, _, x, y, z = problem
+    known = CL.Labelled(train, dtm)
+    k = known.gram()
+    assert np.allclose(k, x @ x.T)
+    beta, bias = CL.solve_logit(k, known.label)
+    w = x.T @ beta
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(w + x.T @ (p - y)).max() < 1e-6 and abs((p - y).sum()) < 1e-6  # zero gradient
+    assert _votes(spark, "logit", problem) == [int(r @ w + bias <= 0) for r in z]
+
+
+def test_support_vectors_meet_the_optimality_conditions(spark):
+    import numpy as np
+    from lexiflow.operators import classifiers as CL
+    problem = _small_problem(spark)
+    _, _, _, x, y, z = problem
+    beta, bias = CL.solve_svm(x @ x.T, y, c=0.5)
+    sign = np.where(y == 1, 1, -1)
+    margin, alpha = sign * (x @ (x.T @ beta) + bias), beta * sign
+    assert (margin[alpha < 1e-9] > 1 - 1e-4).all() and (margin[alpha > 0.5 - 1e-9] < 1 + 1e-4).all()
+    assert np.abs(margin[(alpha > 1e-6) & (alpha < 0.5 - 1e-6)] - 1).max() < 1e-4
+    votes = _votes(spark, "SVM", problem)
+    assert sum(v == int(i < 30) for i, v in enumerate(votes)) >= 45
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+    problem = _small_problem(spark)
+    _, _, _, x, y, z = problem
+    want = [int(2 * y[np.argsort(((x - r) ** 2).sum(axis=1), kind="stable")[:5]].sum() <= 5) for r in z]
+    assert _votes(spark, "nearest", problem) == want
+
+
+def test_sampled_training_rows(spark):
+    from lexiflow.operators import classifiers as CL
+    dtm, train, test = _small_problem(spark)[:3]
+    assert CL.Labelled(train, dtm, max_train=20).n == 20
+    assert CL.vote("logit", train, test, dtm, max_train=20).count() == 60
 
 
 def test_keyword_table_edge_cases(spark):

@@ -14,4 +14,5 @@ def test_oracle_keys_are_registered():
     assert set(sqls) <= set(qs)
     rows_only = {k for k in set(qs) - set(sqls) if k != "pipeline" and not k.startswith("op")}
     assert rows_only <= {"vote_logit", "vote_discriminant", "stem_vocabulary",
-                         "keyterm_hits_stemmed", "preprocess_corpus"}
+                         "keyterm_hits_stemmed", "preprocess_corpus",
+                         "vote_svm", "vote_nearest", "vote_counts_several"}
