@@ -39,7 +39,7 @@ MINIMISER = 3
 MAX_RUN = 4096
 GROUP_BYTES = 8 << 20
 LAST_ID = np.iinfo(np.int64).max
-_KEY = "__sub_key"
+_ID, _KEY = "__sub_id", "__sub_key"
 _SECOND = 0xD6E8FEB86659FD93  # odd base of the second hash
 
 
@@ -69,19 +69,25 @@ def _runs(h: np.ndarray, text: np.ndarray, window: int, m: int):
     return starts, ends + window, mini[starts]
 
 
-def _pack(*arrays: np.ndarray, data: bytes = b"") -> bytes:
+def _pack(doc: np.ndarray, key: np.ndarray, *arrays: np.ndarray, data: bytes = b"") -> bytes:
+    """A compressed block: doc ids as differences, 40-bit keys, 32-bit arrays and bytes."""
     import zstandard
-    head = struct.pack("<IQ", len(arrays), len(arrays[0]))
-    return zstandard.ZstdCompressor(level=1).compress(
-        head + b"".join(a.astype("<i8").tobytes() for a in arrays) + data)
+    parts = [struct.pack("<IQ", len(arrays), len(doc)), np.diff(doc, prepend=np.int64(0)).astype("<i8").tobytes(),
+             (key & 0xFFFFFFFF).astype("<u4").tobytes(), (key >> 32).astype("u1").tobytes()]
+    parts += [a.astype("<u4").tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts) + data)
 
 
-def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def _unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     import zstandard
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = zstandard.ZstdDecompressor().decompress(block)
     k, n = struct.unpack_from("<IQ", raw)
-    body = np.frombuffer(raw, dtype="<i8", count=k * n, offset=12).reshape(k, n)
-    return list(body), np.frombuffer(raw, dtype=np.uint8, offset=12 + 8 * k * n)
+    doc = np.cumsum(np.frombuffer(raw, "<i8", n, 12))
+    key = np.frombuffer(raw, "<u4", n, 12 + 8 * n).astype(np.int64) \
+        + (np.frombuffer(raw, "u1", n, 12 + 12 * n).astype(np.int64) << 32)
+    at = 12 + 13 * n
+    rest = [np.frombuffer(raw, "<u4", n, at + 4 * n * i).astype(np.int64) for i in range(k)]
+    return [doc, key, *rest], np.frombuffer(raw, dtype=np.uint8, offset=at + 4 * n * k)
 
 
 def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m):
@@ -104,7 +110,7 @@ def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m):
     decided[order] = doc[order] > smallest
     if decided.any():
         bucket = (W.mix(key[decided].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        rows = (key[decided], pos[decided], pos[decided] + (last - first)[decided])
+        rows = (doc[decided], key[decided], pos[decided], pos[decided] + (last - first)[decided])
         for x in np.unique(bucket):
             at = bucket == x
             yield int(x), 1, _pack(*(r[at] for r in rows))
@@ -122,7 +128,7 @@ def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m):
 
 
 def _bucket_spans(kinds, blobs, hasher, window):
-    """(key, start, end) arrays of the spans that a bucket's windows decide."""
+    """(doc, key, start, end) arrays of the spans that a bucket's windows decide."""
     found, parts, data = [], [], []
     for kind, blob in zip(kinds, blobs):
         arrays, raw = _unpack(blob)
@@ -159,28 +165,29 @@ def _bucket_spans(kinds, blobs, hasher, window):
             end = np.append(begin[1:], len(at)) - 1
             row = text[at[begin]]
             word = pos[row] - np.searchsorted(starts, offsets[:-1])[row]
-            found.append((key[row], word + at[begin], word + at[end] + window))
+            found.append((doc[row], key[row], word + at[begin], word + at[end] + window))
     if not found:
-        return [np.zeros(0, np.int64)] * 3
+        return [np.zeros(0, np.int64)] * 4
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a key of the row (equal rows have equal keys, and equal spans)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__sub_text"),
-                       F.xxhash64(id_col, text_col).alias(_KEY))
+def _row_key(id_col: str, text_col: str) -> list:
+    """Columns that name a row: its id (null: the largest) and 40 bits of its hash. Equal rows have
+    equal keys, and equal spans."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias(_ID),
+            F.shiftrightunsigned(F.xxhash64(id_col, text_col), 24).alias(_KEY)]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    minimiser: int = MINIMISER) -> DataFrame:
-    """(__sub_key, start, end): word spans covered by windows that a smaller doc_id has as well."""
-    rows = _keyed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """(__sub_id, __sub_key, start, end): word spans covered by windows that a smaller doc_id has as well."""
+    rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("__sub_text"))
     n_buckets = 8 * shuffle_partitions(docs.sparkSession)
 
     def cut(batches):
         hasher = W.Hasher()
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id").fill_null(int(LAST_ID)), dtype=np.int64)
+            ids = np.asarray(batch.column(_ID), dtype=np.int64)
             keys = np.asarray(batch.column(_KEY), dtype=np.int64)
             b, offsets = W.text_buffer(batch.column("__sub_text"))
             for i, j in W.groups(offsets, GROUP_BYTES):
@@ -192,19 +199,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         names=["bucket", "kind", "block"])
 
     def sort(table: pa.Table) -> pa.Table:
-        key, start, end = _bucket_spans(table.column("kind").to_pylist(), table.column("block").to_pylist(),
+        doc, key, start, end = _bucket_spans(table.column("kind").to_pylist(), table.column("block").to_pylist(),
                                         W.Hasher(), window)
-        return pa.table({_KEY: pa.array(key, pa.int64()), "start": pa.array(start, pa.int64()),
+        return pa.table({_ID: pa.array(doc, pa.int64()), _KEY: pa.array(key, pa.int64()), "start": pa.array(start, pa.int64()),
                          "end": pa.array(end, pa.int64())})
 
     return (rows.mapInArrow(cut, "bucket int, kind int, block binary").groupBy("bucket")
-            .applyInArrow(sort, f"{_KEY} long, start long, end long"))
+            .applyInArrow(sort, f"{_ID} long, {_KEY} long, start long, end long"))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    spans = (repeated_spans(docs, id_col, text_col, **options).groupBy(_KEY)
+    spans = (repeated_spans(docs, id_col, text_col, **options).groupBy(_ID, _KEY)
              .agg(F.collect_list(F.struct("start", "end")).alias("__sub_spans")))  # bounded by the document's words
-    return docs.withColumn(_KEY, F.xxhash64(id_col, text_col)).join(spans, _KEY, "left")
+    return docs.select("*", *_row_key(id_col, text_col)).join(spans, [_ID, _KEY], "left")
 
 
 def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
