@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import SPACE_CLASS, words_of, written
 
 WINDOW = 8
+LEAST_ON_GOOD = 0.99
 #: (rule, share expression, good at or below, bad above); the rule abstains in between.
 RULES = (
     ("short", "1.0 / greatest(n_words, 1)", 0.02, 0.05),
@@ -85,8 +86,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> t
     """(share of good documents, accuracies of each rule) by EM over counted vote patterns.
 
     A rule has two accuracies: how often its vote is right on good documents and on bad
-    ones; abstentions say nothing. Pseudo-counts anchor the sign of the rules (95 of 100
-    right on good documents, 4 of 10 on bad ones, where most rules see nothing wrong).
+    ones; abstentions say nothing. The rules look for defects that good documents seldom
+    have, so the first accuracy is at least ``LEAST_ON_GOOD``: a rule that objects more
+    often has found bad documents, even if no other rule sees their defect. Pseudo-counts
+    anchor the signs (95 of 100 right on good documents, 4 of 10 on bad ones).
     """
     k = len(patterns[0][0]) if patterns else len(RULES)
     prior, acc = 0.85, [(0.95, 0.4)] * k
@@ -102,7 +105,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> t
                     cast[r][1] += n * (1 - p)
                     right[r][v < 0] += n * (p if v > 0 else 1 - p)
         prior = min(0.99, max(0.01, good / total))
-        acc = [tuple(min(0.999, max(0.001, x / y)) for x, y in zip(a, b)) for a, b in zip(right, cast)]
+        acc = [(min(0.999, max(LEAST_ON_GOOD, a[0] / b[0])), min(0.999, max(0.001, a[1] / b[1])))
+               for a, b in zip(right, cast)]
     return prior, acc
 
 
