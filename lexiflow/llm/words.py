@@ -15,7 +15,6 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 BLOCK = 1 << 19
 
 
