@@ -34,10 +34,20 @@ def top_ngrams(freq: DataFrame, word_limit: int) -> DataFrame:
 
 
 def ngram_difference(candidates: DataFrame, texts: DataFrame, n: int = 2,
-                     id_col: str = "doc_id", text_col: str = "text_clean") -> DataFrame:
-    """Candidate n-grams that occur (token aligned) in none of ``texts``."""
-    present = explode_ngrams(texts, n, id_col, text_col).select("ngram").distinct()
-    return candidates.join(present, "ngram", "left_anti")
+                     id_col: str = "doc_id", text_col: str = "text_clean", mode: str = "token",
+                     index_col: str | None = None) -> DataFrame:
+    """Candidate n-grams that occur in none of ``texts``.
+
+    ``mode='token'`` compares whole tokens, ``'substring'`` any part of a text. With
+    ``index_col`` (the candidates' place in their list) only the places are returned."""
+    if mode == "token":
+        present = explode_ngrams(texts, n, id_col, text_col).select("ngram").distinct()
+    elif mode == "substring":
+        present = substring_containment(candidates.select("ngram").distinct(), texts, id_col, text_col).select("ngram")
+    else:
+        raise ValueError("mode must be 'token' or 'substring'")
+    left = candidates.join(present, "ngram", "left_anti")
+    return left if index_col is None else left.select(index_col)
 
 
 def substring_containment(candidates: DataFrame, texts: DataFrame, id_col: str = "doc_id",

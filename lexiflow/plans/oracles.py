@@ -86,6 +86,10 @@ WHERE (SELECT count(*) FROM offdocs o WHERE contains(o.text_clean, cand.ngram))
       < (SELECT count(*) FROM offdocs)""")
 oracle("ngram_difference", f"""WITH {NG_BASE}, {grams('offgrams', 'offdocs', 2)}
 SELECT ngram, freq FROM cand WHERE ngram NOT IN (SELECT ngram FROM offgrams)""")
+oracle("ngram_difference_indices", f"""WITH {NG_BASE}, {cleaned('items', DEF, 'benchmark', 'item_id')},
+op AS (SELECT doc_id AS item_id, array_to_string(string_split(text_clean, ' ')[1:2], ' ') AS ngram FROM items)
+SELECT item_id FROM op WHERE len(string_split(ngram, ' ')) = 2
+  AND NOT EXISTS (SELECT 1 FROM offdocs o WHERE contains(o.text_clean, op.ngram))""")
 oracle("verified_ngrams", f"""WITH {NG_BASE},
 {cleaned('bench', DEF, 'benchmark', 'item_id')}, {grams('bgrams', 'bench', 2)}
 SELECT ngram, freq FROM cand WHERE ngram IN (SELECT ngram FROM bgrams)""")

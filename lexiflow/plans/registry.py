@@ -199,6 +199,15 @@ def q_ngram_difference(spark, sf_dir):
                                offtopic_docs(spark, sf_dir), n=2)
 
 
+@register("ngram_difference_indices")
+def q_ngram_difference_indices(spark, sf_dir):
+    """Places of the benchmark openings (two tokens) that no off-topic text contains."""
+    tokens = T.tokenize(T.clean_text(F.col("text"), **DEFAULT_OPTS))
+    opening = S.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(tokens, 1, 2), " ").alias("ngram"))
+    return NG.ngram_difference(opening.where(F.size(F.split("ngram", " ")) == 2), offtopic_docs(spark, sf_dir),
+                               mode="substring", index_col="item_id")
+
+
 @register("verified_ngrams")
 def q_verified_ngrams(spark, sf_dir):
     bench = S.table(spark, sf_dir, "benchmark").select(
