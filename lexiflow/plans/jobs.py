@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.functions.text import DEFAULT_STOPWORDS, clean_text
+from lexiflow.functions.text import DEFAULT_STOPWORDS, clean_text, tokenize
 from lexiflow.operators.keyterms import (
     keyterm_hits, prepare_queries, query_profile, search_options,
 )
@@ -51,3 +51,26 @@ def keyterm_search(texts: DataFrame, raw_queries: DataFrame, id_col: str = "doc_
           for field, src in fields.items()])
     hits = keyterm_hits(cleaned, queries, id_col=id_col, fields=list(fields), mode=mode)
     return hits, queries, cleaned
+
+
+def target_set_table(messages: DataFrame, raw_queries: DataFrame, headers: Sequence[str], id_col: str = "msg_id",
+                     fields: Mapping[str, str] | None = None, **options) -> DataFrame:
+    """The target set as one row per message with a hit.
+
+    ``id_col``, the headers as ``msg-<header>`` (NULL where a message has none), the length
+    of each cleaned field as ``<field>_token_count`` and ``counts``, an array of (field,
+    query, cnt) in order. Options are those of :func:`keyterm_search`.
+    """
+    hits, _, cleaned = keyterm_search(messages, raw_queries, id_col=id_col, fields=fields, **options)
+    names = [c for c in cleaned.columns if c != id_col]
+    lengths = cleaned.select(id_col, *[F.size(tokenize(F.col(c))).alias(f"{c}_token_count") for c in names])
+    counts = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("field", "query", "cnt"))).alias("counts"))
+    there = set(messages.columns)
+    head = messages.select(id_col, *[(F.col(h) if h in there else F.lit(None).cast("string")).alias(f"msg-{h}")
+                                     for h in headers])
+    return head.join(lengths, id_col).join(counts, id_col)
+
+
+def target_headers(target: DataFrame, prefix: str = "msg-") -> DataFrame:
+    """The header columns of a target set, without their prefix."""
+    return target.select([F.col(f"`{c}`").alias(c[len(prefix):]) for c in target.columns if c.startswith(prefix)])

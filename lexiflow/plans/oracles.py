@@ -27,6 +27,12 @@ oracle("remove_query_without_text", f"""WITH {Q.hits_cte('token')}
 SELECT query, n_tokens FROM queries WHERE query IN (SELECT query FROM hits)""")
 oracle("text_lengths", f"""WITH {Q.SEARCH_DOCS}
 SELECT doc_id, len({Q.tokens('body')}) AS n_tokens, length(body) AS n_chars FROM search_docs""")
+oracle("target_set_table", f"""WITH {Q.hits_cte('token')}
+SELECT d.doc_id, d.lang AS "msg-lang", d.source AS "msg-source", NULL::VARCHAR AS "msg-reply_to",
+       len({Q.tokens('s.body')}) AS body_token_count, h.field, h.query, h.cnt
+FROM documents d JOIN search_docs s ON s.doc_id = d.doc_id JOIN hits h ON h.doc_id = d.doc_id""")
+oracle("target_headers", f"""WITH {Q.hits_cte('token')}
+SELECT lang, source, NULL::VARCHAR AS reply_to FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)""")
 oracle("normalize_text", f"""
 SELECT doc_id, {Q.clean('text', **Q.TRAIN_OPTS)} AS text_clean FROM documents""")
 oracle("raw_keyword_matrix", f"""WITH {Q.RAW_QUERIES},

@@ -57,6 +57,24 @@ def q_emails_per_query(spark, sf_dir):
     return K.texts_per_query(hits)
 
 
+def _target_table(spark, sf_dir):
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return jobs.target_set_table(docs, S.raw_keyterms(spark, sf_dir), ["lang", "source", "reply_to"], id_col="doc_id")
+
+
+@register("target_set_table")
+def q_target_set_table(spark, sf_dir):
+    """Target set with headers and lengths, its counts as rows."""
+    t = _target_table(spark, sf_dir)
+    return t.select("doc_id", "`msg-lang`", "`msg-source`", "`msg-reply_to`", "body_token_count",
+                    F.explode("counts").alias("c")).select("*", "c.*").drop("c")
+
+
+@register("target_headers")
+def q_target_headers(spark, sf_dir):
+    return jobs.target_headers(_target_table(spark, sf_dir))
+
+
 @register("prepare_queries")
 def q_prepare_queries(spark, sf_dir):
     return K.prepare_queries(S.raw_keyterms(spark, sf_dir))
