@@ -139,10 +139,11 @@ def keyword_statistics(search_docs: DataFrame, target_ids: DataFrame, min_df: in
     if search_terms is None:
         dtm = doc_term_matrix(search_docs, min_df=min_df, max_df=1.0, id_col=id_col, text_col=text_col)
     else:
-        df_s = search_terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-        dtm = search_terms.join(df_s.where(F.col("_df") >= min_df).select("term"), "term")
+        dtm = search_terms
     flagged = dtm.join(tgt.withColumn("_t", F.lit(1)), id_col, "left")
-    dc = flagged.groupBy("term").agg(F.count(F.lit(1)).alias("df_s"), F.count("_t").alias("n_t"))
+    # one aggregation counts and limits: no join of a term with its own rows
+    dc = flagged.groupBy("term").agg(F.count(F.lit(1)).alias("df_s"), F.count("_t").alias("n_t")) \
+        .where(F.col("df_s") >= min_df)
     n1, n0 = F.col("n_t"), F.col("df_s") - F.col("n_t")
     ll = ln_beta(n1 + 1, n0 + 1) + ln_beta(F.lit(n_t_docs) - n1 + 1, F.lit(n_st_docs) - n0 + 1)
     p_t = n1 * 100.0 / F.lit(float(n_t_docs))
@@ -174,14 +175,12 @@ def klr_keywords(reference: DataFrame, search: DataFrame, classifiers: Sequence[
     R ∪ S (S wins on equal ids). Returns ``(stats, target)``.
     """
     from lexiflow.operators import classifiers as CL
-    from lexiflow.session import cut_lineage
+    from lexiflow.session import cut_lineage, materialise
     names = [classifiers] if isinstance(classifiers, str) else list(classifiers)
-    # cleaned texts and the document-term table are used by several jobs: write them
-    # once to the shared checkpoint folder instead of re-cleaning for every action
-    reference = cut_lineage(reference.select(id_col, text_col))
-    search = cut_lineage(search.select(id_col, text_col))
+    reference, search = reference.select(id_col, text_col), search.select(id_col, text_col)
     corpus = (reference.join(search.select(id_col), id_col, "left_anti").unionByName(search))
-    dtm = cut_lineage(doc_term_matrix(corpus, min_df=1, max_df=1.0, id_col=id_col, text_col=text_col))
+    # the only table that several jobs read; ids come from the sources without their texts
+    dtm = materialise(doc_term_matrix(corpus, min_df=1, max_df=1.0, id_col=id_col, text_col=text_col), "terms")
     train, test_ids = training_split(reference, search, ref_frac, search_frac, seed, id_col)
     votes = [CL.vote(name, train, test_ids, dtm, docs=corpus, id_col=id_col, text_col=text_col,
                      seed=seed) for name in names]

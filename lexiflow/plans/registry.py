@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as T
 from lexiflow.operators import keyterms as K
 from lexiflow.plans import jobs, standins as S
+from lexiflow.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -738,7 +739,7 @@ def _discovery_inputs(spark, sf_dir):
     r = reference_docs(spark, sf_dir, TRAIN_OPTS)
     s = search_docs(spark, sf_dir, TRAIN_OPTS)
     corpus = r.join(s.select("doc_id"), "doc_id", "left_anti").unionByName(s)
-    dtm = D.doc_term_matrix(corpus, min_df=1, max_df=1.0)
+    dtm = materialise(D.doc_term_matrix(corpus, min_df=1, max_df=1.0), "terms")
     train, test_ids = DS.training_split(r, s)
     return r, s, corpus, dtm, train, test_ids
 
