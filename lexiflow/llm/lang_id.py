@@ -45,9 +45,14 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text) of the first documents of each language by hashed id, none held out."""
     ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
-    rows = docs.where(ok).select(F.col(id_col).alias("__ppm_id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("__ppm_id"), "__ppm_id")
-    chosen = (rows.withColumn("__ppm_rank", F.row_number().over(order)).where(F.col("__ppm_rank") <= per_language)
+    rows = docs.where(ok).select(F.col(id_col).alias("__ppm_id"), F.col(lang_col).cast("string").alias("lang"),
+                                 F.xxhash64(id_col).alias("__ppm_hash"))
+    # about twice as many as wanted pass by their hash, so no task ranks a whole language
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__ppm_n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("__ppm_n"))
+    some = rows.join(sizes, "lang").where(F.col("__ppm_hash").cast("double") <= F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * share)
+    order = Window.partitionBy("lang").orderBy("__ppm_hash", "__ppm_id")
+    chosen = (some.withColumn("__ppm_rank", F.row_number().over(order)).where(F.col("__ppm_rank") <= per_language)
               .select("__ppm_id").distinct())  # per_language ids for each language at most
     return (docs.where(ok).join(F.broadcast(chosen), F.col(id_col) == F.col("__ppm_id"))
             .select(F.col(lang_col).cast("string").alias("lang"), F.lower(text_col).alias("text")))
