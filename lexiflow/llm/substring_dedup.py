@@ -75,7 +75,7 @@ def _pack(doc: np.ndarray, key: np.ndarray, *arrays: np.ndarray, data: bytes = b
     parts = [struct.pack("<IQ", len(arrays), len(doc)), np.diff(doc, prepend=np.int64(0)).astype("<i8").tobytes(),
              (key & 0xFFFFFFFF).astype("<u4").tobytes(), (key >> 32).astype("u1").tobytes()]
     parts += [a.astype("<u4").tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts) + data)
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts) + data)
 
 
 def _unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    minimiser: int = MINIMISER) -> DataFrame:
     """(__sub_id, __sub_key, start, end): word spans covered by windows that a smaller doc_id has as well."""
     rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("__sub_text"))
-    n_buckets = 8 * shuffle_partitions(docs.sparkSession)
+    n_buckets = 4 * shuffle_partitions(docs.sparkSession)
 
     def cut(batches):
         hasher = W.Hasher()
