@@ -48,9 +48,11 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.where(ok).select(F.col(id_col).alias("__ppm_id"), F.col(lang_col).cast("string").alias("lang"),
                                  F.xxhash64(id_col).alias("__ppm_hash"))
     # about twice as many as wanted pass by their hash, so no task ranks a whole language
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__ppm_n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("__ppm_n"))
-    some = rows.join(sizes, "lang").where(F.col("__ppm_hash").cast("double") <= F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * share)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each tree
+    tops = docs.sparkSession.createDataFrame(
+        [(r["lang"], -2.0 ** 63 + 2.0 ** 64 * min(1.0, 2.0 * per_language / r["n"])) for r in sizes],
+        "lang string, __ppm_top double")
+    some = rows.join(F.broadcast(tops), "lang").where(F.col("__ppm_hash").cast("double") <= F.col("__ppm_top"))
     order = Window.partitionBy("lang").orderBy("__ppm_hash", "__ppm_id")
     chosen = (some.withColumn("__ppm_rank", F.row_number().over(order)).where(F.col("__ppm_rank") <= per_language)
               .select("__ppm_id").distinct())  # per_language ids for each language at most
