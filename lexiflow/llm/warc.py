@@ -136,7 +136,7 @@ def write_archives(chunks: DataFrame, roles: DataFrame, folder: str | None = Non
                 if no == 0:
                     if packer is not None:
                         size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-                    packer, n = zlib.compressobj(1, zlib.DEFLATED, 31), n + 1
+                    packer, n = zlib.compressobj(6, zlib.DEFLATED, 31), n + 1
                     size += out.write(packer.compress(b"".join(_head(dict(zip(names, (h[k] for h in heads)))))))
                 if data[k].is_valid:
                     size += out.write(packer.compress(data[k].as_py()))
@@ -252,7 +252,7 @@ def _batch(rows, names, types):
 
 def archive_round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Write every page to archives, read them back; one row per page."""
-    chunks = written(chunk_table(pages), "chunks")
+    chunks = written(chunk_table(pages), "chunks", "zstd")
     files = write_archives(chunks, record_roles(chunks, revisit_from))
     return read_archives(files, with_data=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
