@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that stayed, each with its place in a sequence."""
-    return packing.pack_documents(docs)
+    """The pieces of the documents that stayed; the sequences follow the order of the rows, the schedule."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("language ID", identify), ("exact dedup", deduplicate), ("n-gram Jaccard join", drop_near),

@@ -27,6 +27,25 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: File or partition (longer names come later) and row in it.
+ROW_ORDER = ("__row_part", "__row_at")
+
+
+def row_order(docs: DataFrame) -> DataFrame:
+    """Add the columns of ``ROW_ORDER``: the place of each row as it was written.
+
+    Spark packs files into partitions by size, so rows read straight from files take file
+    name and row number of the file; those of any other plan their partition and row in it.
+    """
+    part, at = ROW_ORDER
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.children().isEmpty() and not plan.metadataOutput().isEmpty():
+        meta = docs.metadataColumn("_metadata")
+        return docs.withColumns({part: meta["file_path"], at: meta["row_index"]})
+    number = F.monotonically_increasing_id()  # partition above 33 bits, row below
+    return docs.withColumns({part: F.shiftright(number, 33).cast("string"), at: number.bitwiseAND(F.lit((1 << 33) - 1))})
+
+
 def fold_ascii(text) -> Column:
     """Lower-case A-Z only. ASCII texts take the byte-wise path of ``lower``."""
     c = F.col(text) if isinstance(text, str) else text
