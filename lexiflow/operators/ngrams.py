@@ -35,7 +35,7 @@ def top_ngrams(freq: DataFrame, word_limit: int) -> DataFrame:
 
 def ngram_difference(candidates: DataFrame, texts: DataFrame, n: int = 2,
                      id_col: str = "doc_id", text_col: str = "text_clean", mode: str = "token",
-                     index_col: str | None = None) -> DataFrame:
+                     index_col: str | list[str] | None = None) -> DataFrame:
     """Candidate n-grams that occur in none of ``texts``.
 
     ``mode='token'`` compares whole tokens, ``'substring'`` any part of a text. With

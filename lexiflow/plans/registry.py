@@ -227,6 +227,14 @@ def q_ngram_difference_indices(spark, sf_dir):
                                mode="substring", index_col="item_id")
 
 
+@register("ngram_difference_places")
+def q_ngram_difference_places(spark, sf_dir):
+    """(item_id, position) of every two tokens of every benchmark passage that no off-topic text contains."""
+    tokens = T.tokenize(T.clean_text(F.col("text"), **DEFAULT_OPTS))
+    places = S.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.ngrams(tokens, 2)).alias("position", "ngram"))
+    return NG.ngram_difference(places, offtopic_docs(spark, sf_dir), mode="substring", index_col=["item_id", "position"])
+
+
 @register("verified_ngrams")
 def q_verified_ngrams(spark, sf_dir):
     bench = S.table(spark, sf_dir, "benchmark").select(
@@ -910,6 +918,14 @@ def q_scan_stopwords(spark, sf_dir):
     return FS.scan_stopwords(spark, _lines_file(spark, words, "stopwords"))
 
 
+@register("scan_stopwords_all_words")
+def q_scan_stopwords_all_words(spark, sf_dir):
+    """Every distinct word of the documents as a stopword file, read back."""
+    words = S.corpus(spark, sf_dir).select(F.explode(T.tokenize(F.lower(F.col("text")))).alias("value")) \
+        .where(F.col("value") != "").distinct()
+    return FS.scan_stopwords(spark, _lines_file(spark, words, "stopwords"))
+
+
 @register("scan_documents")
 def q_scan_documents(spark, sf_dir):
     """Every benchmark passage as its own text file, scanned with ids from the file names."""
