@@ -26,15 +26,17 @@ from lexiflow.llm.common import written
 from lexiflow.llm.lang_id import held_out
 from lexiflow.llm.quality_rules import RULES, rule_counts
 
-BINS = 13
+BINS = 16
+#: Bins for ratios above the limit from which the rule of the ratio calls them bad.
+ABOVE = 3
 STRENGTH = (1.0, 1000.0)
 
 
 def _bins() -> Column:
-    """Array of one bin number for each count ratio (logarithmic, 0 .. BINS - 1)."""
+    """Array of one bin number for each count ratio (0 .. BINS - 1): octaves of the ratio over its bad limit."""
     return F.expr("array(" + ", ".join(
-        f"cast(greatest(0, least({BINS - 1}, floor(-log2(greatest({x}, 0D) + pow(2, -12))))) as int)"
-        for _, x, _, _ in RULES) + ")")
+        f"cast(greatest(0, least({BINS - 1}, {ABOVE} + floor(-log2(greatest({x}, 0D) / {bad}D + pow(2, {ABOVE - BINS + 1}))))) as int)"
+        for _, x, _, bad in RULES) + ")")
 
 
 def evidence_weights(train: DataFrame) -> dict[tuple[int, int], float]:

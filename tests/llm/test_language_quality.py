@@ -126,3 +126,17 @@ def test_quality_classifier_odd_rows(odd, odd_rows, empty, spark):
     none = labels.where("false")
     assert quality_classifier.quality_classifier(odd, none, F.col("source"), F.col("lang")).count() == len(odd_rows)
     assert quality_classifier.quality_classifier(empty, none, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_every_ratio_tells_texts_apart(spark, sample):
+    """Each ratio has two bins at least, and words of twice the usual length are evidence by themselves."""
+    junk = [(-1, "a"), (-2, "#$% " * 40), (-3, "same line\n" * 40), (-4, "WORD! " * 50), (-5, "x" * 400), (-6, "1234 " * 30)]
+    frame = sample.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string"))
+    bins = quality_classifier.rule_counts(frame).select(quality_classifier._bins().alias("b")).collect()
+    assert all(len({r.b[f] for r in bins}) > 1 for f in range(len(quality_classifier.RULES)))
+    word = {1: "abcdefg ", 0: "abcdefgabcdefgabcdefgabcdefgab "}
+    rows = [(i, word[i % 2] * 60, "s", "p") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, site string, path string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality_classifier.quality_classifier(docs, labels, F.col("site"), F.col("path")).collect()
+    assert all((r.evidence > 1) == (r.doc_id % 2 == 1) and abs(r.evidence) > 1 for r in got)
