@@ -598,6 +598,8 @@ oracle("scan_stopwords_all_words", f"""SELECT DISTINCT w AS word FROM (
   SELECT unnest({Q.tokens('lower(text)')}) AS w FROM documents) WHERE w <> ''""")
 oracle("scan_documents", """
 SELECT count(*) AS n_docs, sum(length(text) + 1)::BIGINT AS n_chars FROM benchmark""")
+oracle("scan_documents_texts", """
+SELECT CAST(item_id AS VARCHAR) AS doc_id, length(text) + 1 AS n_chars, md5(text || chr(10)) AS text_md5 FROM benchmark""")
 oracle("org_csv", f"""WITH {ORG}
 SELECT name, full_name, nationality, category, stakeholdergroup, email_domains, subsidiary_of FROM org_raw""")
 oracle("read_mbox", f"""WITH {Q.MESSAGES}

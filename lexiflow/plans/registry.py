@@ -935,6 +935,22 @@ def q_scan_documents(spark, sf_dir):
     return back.groupBy().agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@register("scan_documents_texts")
+def q_scan_documents_texts(spark, sf_dir):
+    """Id, length and MD5 of the text of every file that ``scan_documents`` reads; files are named by id."""
+    folder, named = scratch_path(spark, "passages"), scratch_path(spark, "named")
+    FS.sink_documents(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text"), folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(named))
+    for f in fs.globStatus(path(f"{folder}/doc_id=*/part-*")):  # Spark names files itself
+        item = f.getPath().getParent().getName().partition("=")[2]
+        if not fs.rename(f.getPath(), path(f"{named}/{item}.txt")):
+            raise OSError(f"cannot name the file of passage {item}")
+    back = FS.scan_documents(spark, f"{named}/*")
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @register("org_csv")
 def q_org_csv(spark, sf_dir):
     """Organisation table written as CSV (header, quoted comma lists), loaded by header names."""

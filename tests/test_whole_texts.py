@@ -1,5 +1,7 @@
 """Queries that use every place of the texts, against brute force on the smoke tables."""
 
+import hashlib
+
 from lexiflow.functions import text as T
 from lexiflow.plans import standins as S
 from lexiflow.plans.registry import DEFAULT_OPTS, QUERIES, offtopic_docs
@@ -23,3 +25,9 @@ def test_every_word_of_the_documents(spark):
     want = {w for r in S.corpus(spark, SMOKE).select(F.lower("text").alias("t")).collect() for w in (r.t or "").split()}
     got = [r.word for r in QUERIES["scan_stopwords_all_words"](spark, SMOKE).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_every_file_keeps_its_id_and_text(spark):
+    want = [(str(r.item_id), hashlib.md5(f"{r.text}\n".encode()).hexdigest()) for r in S.table(spark, SMOKE, "benchmark").collect()]
+    got = [(r.doc_id, r.text_md5) for r in QUERIES["scan_documents_texts"](spark, SMOKE).collect()]
+    assert sorted(got) == sorted(want)
