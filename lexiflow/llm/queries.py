@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import (exact_dedup, fill_in_middle, lang_id, mixing, ngram_join, packing, quality_classifier, quality_rules,
+from lexiflow.llm import (conversation_repair, exact_dedup, fill_in_middle, lang_id, mixing, ngram_join, packing, quality_classifier, quality_rules,
                           substring_dedup, token_counts, warc)
 from lexiflow.llm.common import UPPER, documents
 
@@ -57,10 +57,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transformation_report(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_token_counts,
     op6_ngram_join, op7_warc,
-    op8_mix_sources, op9_substring_dedup, op10_quality_rules, op12_fill_in_middle)}
+    op8_mix_sources, op9_substring_dedup, op10_quality_rules, op12_fill_in_middle,
+    op13_conversation_repair)}
 
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS text_sha256
