@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import (conversation_repair, exact_dedup, fill_in_middle, lang_id, mixing, ngram_join, packing, quality_classifier, quality_rules,
-                          substring_dedup, token_counts, warc)
+                          substring_dedup, suffix_dedup, token_counts, warc)
 from lexiflow.llm.common import UPPER, documents
 
 
@@ -53,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(documents(spark, sf_dir))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transformation_report(documents(spark, sf_dir))
 
@@ -64,8 +68,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_quality_classifier, op3_language_id, op4_exact_dedup, op5_token_counts,
     op6_ngram_join, op7_warc,
-    op8_mix_sources, op9_substring_dedup, op10_quality_rules, op12_fill_in_middle,
-    op13_conversation_repair)}
+    op8_mix_sources, op9_substring_dedup, op10_quality_rules, op11_suffix_dedup,
+    op12_fill_in_middle, op13_conversation_repair)}
 
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS text_sha256
