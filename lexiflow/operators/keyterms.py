@@ -1,11 +1,13 @@
 """Keyterm search: query preparation, query profile and per-text query counts.
 
-Counting plan (one plan for every number and length of queries): the token positions of
-each text are joined with the distinct first tokens of the queries, the n-grams of the
-lengths that begin with that token are joined with the query table, and hits are
-aggregated per (text, field, query). Both joins are unhinted, so AQE broadcasts a small
-query side by its measured bytes and shuffles a large one. Only overlapping or adjacent
-hits need their positions; those are folded greedily in order.
+Counting plan (one plan for every number and length of queries): the queries form a trie
+whose steps double, from depth 0 to 1, 2, 4, 8 ... tokens or to the end of a query, kept as
+an edge table (node, tokens of the step, next node or query). Token positions carry their
+own and the next token, and take the first two steps by two joins; most end there. Only
+positions that are still on a path get the tokens of their next step, from their text's
+token array, one join a doubling. All joins are unhinted, so AQE broadcasts a small side by
+its measured bytes and shuffles a large one. Hits are aggregated per (text, field, query);
+only overlapping or adjacent hits need their positions, those are folded greedily in order.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from lexiflow.functions.text import (
     DEFAULT_STOPWORDS, clean_text, has_digits, non_alphanumeric_chars, substring_count, tokenize,
 )
-from lexiflow.session import own_exchange
+from lexiflow.operators.substrings import PhraseSearch
+from lexiflow.session import materialise, own_exchange
+
 
 def prepare_queries(raw: DataFrame, col: str = "query", min_len: int = 1, max_len: int = 30,
                     keep_nonalphanumerics=True, remove_numbers: bool = False,
@@ -93,6 +97,80 @@ def _overlap_free(query: Column) -> Column:
     return F.when(n <= 1, F.lit(True)).otherwise(~border)
 
 
+def query_trie(queries: DataFrame) -> DataFrame:
+    """``(depth, node, step, tokens, query, next)``: the edges of the queries' trie.
+
+    ``node`` is the path so far (the tokens up to depth 2, their MD5 below), ``step`` the
+    number of tokens to go and ``tokens`` those; ``query`` is set where a query ends and
+    ``next`` where longer ones go on.
+    """
+    def path(n):
+        own = F.array_join(F.slice("qt", F.lit(1), n), " ")
+        return F.when(n <= 2, own).otherwise(F.md5(own))
+
+    size = F.size("qt")
+    depth = F.col("depth")
+    steps = queries.select("query", F.split("query", " ").alias("qt")).select(
+        "query", "qt", F.explode(F.expr("concat(array(0), transform(filter(sequence(0, 31), e -> shiftleft(1L, e) < size(qt)), "
+                                        "e -> cast(shiftleft(1L, e) as int)))")).alias("depth"))
+    to = F.least(F.when(depth == 0, 1).otherwise(depth * 2), size)
+    return (steps.select("depth", path(depth).alias("node"), (to - depth).alias("step"),
+                         F.array_join(F.slice("qt", depth + 1, to - depth), " ").alias("tokens"),
+                         F.when(to == size, F.col("query")).alias("query"), F.when(to < size, path(to)).alias("next"))
+            .groupBy("depth", "node", "step", "tokens").agg(F.max("query").alias("query"), F.max("next").alias("next")))
+
+
+def token_positions(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, field, text, size, pos, first, second)``: one narrow row per token."""
+    at = F.expr("element_at(transform(array(toks), t -> transform(t, (x, i) -> named_struct("
+                "'pos', i, 'first', x, 'second', get(t, i + 1)))), 1)")
+    return long.select(id_col, "field", "text", F.size("toks").alias("size"), F.explode(at).alias("p")) \
+        .select(id_col, "field", "text", "size", "p.*")
+
+
+def trie_hits(positions: DataFrame, long: DataFrame, trie: DataFrame, queries: DataFrame,
+              id_col: str = "doc_id") -> DataFrame:
+    """``(id, field, size, pos, query, n)``: every position at which a query's tokens stand."""
+    longest = queries.agg(F.max("n_tokens")).first()[0] or 0  # a scalar: how often to double
+    def edges(depth, **names):
+        e = trie.where(F.col("depth") == depth)
+        return own_exchange(e.select(*(F.col(c).alias(n) for c, n in names.items())))
+
+    place = [id_col, "field", "text", "size", "pos"]
+    # edges have an exchange of their own: a frequent first token may be split by AQE
+    two = (positions.join(edges(0, tokens="first", query="q1", next="n1"), "first")
+           .join(edges(1, node="n1", tokens="second", query="q2", next="n2"), ["n1", "second"], "left")
+           .select(*place, "q1", "q2", "n2").where("q1 is not null or q2 is not null or n2 is not null"))
+    if longest > 2:
+        two = materialise(two, "positions")  # read for the hits and for the next step
+    ended = F.filter(F.array(F.struct(F.col("q1").alias("query"), F.lit(1).alias("n")),
+                             F.struct(F.col("q2").alias("query"), F.lit(2).alias("n"))), lambda h: h["query"].isNotNull())
+    hits = two.select(*place, F.explode(ended).alias("h")).select(id_col, "field", "size", "pos", "h.query", "h.n")
+    on, depth = two.where("n2 is not null").select(*place, F.col("n2").alias("node")), 2
+    while depth < longest:
+        steps = trie.where(F.col("depth") == depth)
+        lengths = steps.groupBy("node").agg(F.collect_set("step").alias("steps"))  # at most depth of them
+        key = [id_col, "field", "text"]
+        near = (on.join(own_exchange(lengths), "node").groupBy(*key)
+                .agg(F.collect_set(F.struct("pos", "node", "steps")).alias("near"))  # bounded by the text's tokens
+                .select(F.col(id_col).alias("_id"), F.col("field").alias("_field"), F.col("text").alias("_text"), "near"))
+        met = long.join(near, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("field") == F.col("_field"))
+                        & (F.col("text") == F.col("_text")))
+        ahead = met.select(id_col, "field", "text", F.size("toks").alias("size"), F.explode(F.expr(f"""
+            element_at(transform(array(toks), t -> flatten(transform(near, x -> transform(
+                filter(x.steps, s -> x.pos + {depth} + s <= size(t)),
+                s -> named_struct('pos', x.pos, 'node', x.node, 'step', s,
+                                  'tokens', array_join(slice(t, x.pos + {depth} + 1, s), ' ')))))), 1)""")).alias("a")) \
+            .select(id_col, "field", "text", "size", "a.*")
+        # read for the hits and for the next step
+        met = materialise(ahead.join(own_exchange(steps.select("node", "step", "tokens", "query", "next")), ["node", "step", "tokens"])
+                          .select(*place, "step", "query", "next"), "positions")
+        hits = hits.unionByName(met.where("query is not null").select(
+            id_col, "field", "size", "pos", "query", (F.col("step") + depth).alias("n")))
+        on, depth = met.where("next is not null").select(*place, F.col("next").alias("node")), 2 * depth
+    return hits
+
+
 def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
                  fields: Sequence[str] = ("body",), mode: str = "token") -> DataFrame:
     """Count every query in every cleaned text field.
@@ -109,34 +187,20 @@ def keyterm_hits(texts: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     """
     if mode not in ("token", "padded"):
         raise ValueError("mode must be 'token' or 'padded'")
-    longest = queries.agg(F.max("n_tokens")).first()[0] or 1  # a scalar: width of the token window
     long = None
     for field in fields:
         part = texts.select(F.col(id_col), F.lit(field).alias("field"),
                             tokenize(F.col(field)).alias("toks"))
         long = part if long is None else long.unionByName(part)
-    # one row per position with its token and the tokens that a query may span
-    window = F.expr(f"element_at(transform(array(toks), t -> transform(t, (x, i) -> named_struct("
-                    f"'pos', i, 'size', size(t), 'first', x, 'win', slice(t, i + 1, {longest})))), 1)")
-    at = long.select(id_col, "field", F.explode(window).alias("p")).select(id_col, "field", "p.*")
-    if mode == "padded":
-        at = at.where(F.col("pos") > 0)
-    heads = queries.groupBy(F.split("query", " ")[0].alias("first")) \
-        .agg(F.array_sort(F.collect_set("n_tokens")).alias("lens"))
-    # the head has an exchange of its own: a frequent first token may be split by AQE
-    grams = (at.join(own_exchange(heads), "first")
-             .select(id_col, "field", "pos", "size", "win", F.explode("lens").alias("n"))
-             .where(F.size("win") >= F.col("n"))
-             .select(id_col, "field", "pos", "size", "n",
-                     F.array_join(F.slice("win", F.lit(1), F.col("n")), " ").alias("query")))
+    long = long.withColumn("text", F.xxhash64("toks"))  # tells texts of one id apart
+    found = trie_hits(token_positions(long, id_col), long, query_trie(queries), queries, id_col)
     if mode == "padded":
-        grams = grams.where(F.col("pos") + F.col("n") < F.col("size"))
-
-    q = queries.select("query", _overlap_free(F.col("query")).alias("overlap_free"))
+        found = found.where((F.col("pos") > 0) & (F.col("pos") + F.col("n") < F.col("size")))
+    free = _overlap_free(F.col("query"))
     # hits are dealt out by (text, field, query) before they are counted, so that the
     # join's partitioning by query is not reused and a frequent query can be split
-    matched = grams.join(q, "query").repartition(id_col, "field", "query")
-    need_fold = F.lit(True) if mode == "padded" else ~F.col("overlap_free")
+    matched = found.repartition(id_col, "field", "query")
+    need_fold = F.lit(True) if mode == "padded" else ~free
     gap = F.col("n") + (1 if mode == "padded" else 0)
     agg = matched.groupBy(id_col, "field", "query").agg(
         F.count(F.lit(1)).alias("n_hits"),
@@ -180,52 +244,21 @@ def raw_keyword_counts(texts: DataFrame, keywords: DataFrame, id_col: str = "doc
     uncleaned text, rows with a non-zero count only, with the text's ``keep`` columns
     (date, URL, ...).
 
-    Texts and keywords are cut at single blanks. A keyword without a blank can only occur
-    inside a piece: the distinct pieces are joined by their substrings of the keywords'
-    lengths, and counts per piece are summed per text. A keyword ``a m1 .. b`` of k pieces
-    is a run of k pieces whose first ends with ``a``, whose middle is equal and whose last
-    begins with ``b``: runs are joined on (end of the first piece, middle), and hits that
-    share characters are folded from left to right. There is no limit on the keywords.
+    Texts and keywords are cut at single blanks; :class:`PhraseSearch` finds the pieces that
+    hold a keyword without a blank and the runs of pieces that hold one with blanks. Counts
+    in a piece are summed per text; runs that share characters are folded from left to
+    right. There is no limit on the keywords.
     """
-    kw = keywords.select(F.col(keyword_col).alias("keyword")).where(F.length("keyword") > 0).distinct()
-    kw = kw.select("keyword", F.split("keyword", " ").alias("kp")).select("keyword", "kp", F.size("kp").alias("k"))
-    pieces = texts.select(F.col(id_col), F.split(F.col(text_col), " ").alias("tp"))
-
-    single = kw.where("k = 1").select("keyword", F.length("keyword").alias("len"))
-    lens, sizes = kw.agg(F.array_sort(F.collect_set(F.when(F.col("k") == 1, F.length("keyword")))),
-                         F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("k"))))).first()  # distinct lengths
-    empty = F.array().cast("array<int>")
-    counts = pieces.select(id_col, F.explode("tp").alias("piece")).where(F.length("piece") > 0) \
-        .groupBy(id_col, "piece").agg(F.count(F.lit(1)).alias("times"))
-    subs = (counts.select("piece").distinct()
-            .select("piece", F.explode(F.array(*map(F.lit, lens)) if lens else empty).alias("len")).where(F.length("piece") >= F.col("len"))
-            .select("piece", F.explode(F.expr(
-                "array_distinct(transform(sequence(1, length(piece) - len + 1), i -> substring(piece, i, len)))"))
-                .alias("keyword")))
-    inside = subs.join(single, "keyword").select(
-        "piece", "keyword", substring_count(F.col("piece"), F.col("keyword")).alias("c"))
-    in_piece = counts.join(own_exchange(inside), "piece") \
-        .select(id_col, "keyword", (F.col("times") * F.col("c")).alias("cnt"))
-
-    multi = kw.where("k > 1").select(
-        "keyword", "k", F.element_at("kp", 1).alias("a"), F.element_at("kp", -1).alias("b"),
-        F.expr("array_join(slice(kp, 2, k - 2), ' ')").alias("mid"))
-    runs = (pieces.select(id_col, "tp", F.explode(F.array(*map(F.lit, sizes)) if sizes else empty).alias("k"))
-            .where(F.size("tp") >= F.col("k"))
-            .select(id_col, "k", F.explode(F.expr(
-                "element_at(transform(array(tp), t -> transform(sequence(1, size(t) - k + 1), i -> named_struct("
-                "'pos', i, 'first', t[i - 1], 'mid', array_join(slice(t, i + 1, k - 2), ' '), 'last', t[i + k - 2]))), 1)"))
-                .alias("w")).select(id_col, "k", "w.*"))
-    ends = runs.select(id_col, "k", "pos", "mid", "last", F.explode(F.expr(
-        "transform(sequence(1, length(first) + 1), i -> substring(first, i))")).alias("a"))
-    met = ends.join(multi, ["k", "a", "mid"]).where(F.expr("startswith(last, b)"))
+    found = PhraseSearch(texts.select(id_col, F.split(F.col(text_col), " ").alias("pieces")), keywords, keyword_col, id_col)
+    in_piece = found.in_pieces().select(
+        id_col, F.col("phrase").alias("keyword"), (F.col("times") * substring_count(F.col("piece"), F.col("phrase"))).alias("cnt"))
     # two hits share characters if they share more than the piece between them has room for
     hit = F.struct("pos", F.expr("length(a) + length(b) > length(last)").alias("tight"))
-    fold = F.expr("""aggregate(array_sort(hits), named_struct('free', 0, 'edge', 0, 'tight', false, 'c', 0L),
+    fold = F.expr("""aggregate(array_sort(hits), named_struct('free', 0, 'edge', -1, 'tight', false, 'c', 0L),
         (acc, h) -> if(h.pos > acc.edge OR (h.pos = acc.edge AND NOT acc.tight),
             named_struct('free', 0, 'edge', h.pos + k - 1, 'tight', h.tight, 'c', acc.c + 1L), acc),
         acc -> acc.c)""")
-    across = (met.groupBy(id_col, "keyword", "k").agg(F.collect_list(hit).alias("hits"))
+    across = (found.phrase_runs().groupBy(id_col, F.col("phrase").alias("keyword"), "k").agg(F.collect_list(hit).alias("hits"))
               .select(id_col, "keyword", fold.alias("cnt")))
     out = in_piece.unionByName(across).groupBy(id_col, "keyword").agg(F.sum("cnt").alias("cnt"))
     return out.join(texts.select(id_col, *keep), id_col) if keep else out

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.functions.text import bind, ngrams, tokenize
+from lexiflow.functions.text import ngrams, tokenize
+from lexiflow.operators.substrings import PhraseSearch
 
 
 def explode_ngrams(docs: DataFrame, n: int = 2, id_col: str = "doc_id",
@@ -55,50 +56,12 @@ def substring_containment(candidates: DataFrame, texts: DataFrame, id_col: str =
     """``(ngram, id)`` for every text whose cleaned string contains the n-gram as a plain
     substring (the reference's containment test), without a cross join.
 
-    A k-token candidate ``a m1 .. b`` (k >= 2) is a substring of a single-space joined
-    text exactly when some window of k adjacent tokens has a first token ending with
-    ``a``, equal middle tokens and a last token starting with ``b``. Windows are joined
-    to candidates on (suffix of first token, middle tokens); the prefix test is a filter.
-    Single-token candidates are matched against all substrings of each token.
+    :class:`PhraseSearch` looks the candidates' end parts up in the distinct tokens by their
+    rarest q-gram, and compares runs of tokens only at the positions of the rarer end.
     """
-    cand = candidates.select("ngram", F.split("ngram", " ").alias("ct")).select(
-        "ngram", F.size("ct").alias("k"), F.element_at("ct", 1).alias("a"),
-        F.array_join(F.slice("ct", 2, F.greatest(F.size("ct") - 2, F.lit(0))), " ").alias("mid"),
-        F.element_at("ct", -1).alias("b"))
-    ks = sorted(r[0] for r in cand.select("k").distinct().collect())  # few distinct sizes
-    toks = tokenize(F.col(text_col))
-    out = None
-    for k in ks:
-        ck = cand.where(F.col("k") == k)
-        if k == 1:
-            t = texts.select(id_col, F.explode(F.array_distinct(toks)).alias("tok"))
-            subs = t.select(id_col, F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("tok")),
-                lambda i: F.transform(F.sequence(i, F.length("tok")),
-                                      lambda j: F.substring("tok", i, j - i + 1)))).alias("s"))
-            subs = subs.select(id_col, F.explode("s").alias("a")).distinct()
-            part = ck.join(subs, "a").select("ngram", id_col)
-        else:
-            def make_windows(k):
-                return lambda t: F.transform(
-                    F.sequence(F.lit(1), F.size(t) - k + 1),
-                    lambda i: F.struct(F.element_at(t, i).alias("first"),
-                                       (F.array_join(F.slice(t, i + 1, k - 2), " ")
-                                        if k > 2 else F.lit("")).alias("mid"),
-                                       F.element_at(t, i + k - 1).alias("last")))
-            win = texts.select(id_col, toks.alias("toks")).where(F.size("toks") >= k)
-            win = win.select(id_col, F.explode(bind(F.col("toks"), make_windows(k))).alias("w"))
-            win = win.select(id_col, "w.first", "w.mid", "w.last")
-            sfx = win.select(id_col, "mid", "last", F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("first")),
-                lambda i: F.substr("first", i))).alias("a")).distinct()
-            part = (ck.join(sfx, ["a", "mid"])
-                    .where(F.col("last").startswith(F.col("b")))
-                    .select("ngram", id_col))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return candidates.select("ngram", F.lit(None).cast("bigint").alias(id_col)).limit(0)
-    return out.distinct()
+    found = PhraseSearch(texts.select(id_col, tokenize(F.col(text_col)).alias("pieces")), candidates, "ngram", id_col)
+    return (found.in_pieces().select(F.col("phrase").alias("ngram"), id_col)
+            .unionByName(found.phrase_runs().select(F.col("phrase").alias("ngram"), id_col)).distinct())
 
 
 def offtopic_filter(candidates: DataFrame, offtopic: DataFrame, mode: str = "absent_from_all",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiflow.functions.text import tokenize
-from lexiflow.session import own_exchange
+from lexiflow.operators.impact import ImpactIndex
 
 
 def weighted_zone_score(z1, z2, weight: float):
@@ -63,17 +63,10 @@ def rank_cosine(doc_weights: DataFrame, query_weights: DataFrame, id_col: str =
                 word_limit: int = 50) -> DataFrame:
     """The ``word_limit`` documents closest to each query by cosine similarity (ties by id).
 
-    Long-form dot product joined on term. Inputs ``(id, term, weight)`` and
-    ``(query, term, weight)``; vectors need not be normalised. Scores are ranked with
-    nine decimals; the window keeps the best of each task before the shuffle."""
-    dn = doc_weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("dn"))
-    qn = query_weights.groupBy("query").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("qn"))
-    dot = (doc_weights.withColumnRenamed("weight", "wd")
-           .join(own_exchange(query_weights.withColumnRenamed("weight", "wq")), "term")
-           .groupBy("query", id_col).agg(F.sum(F.col("wd") * F.col("wq")).alias("dot")))
-    scored = (dot.join(own_exchange(dn), id_col).join(own_exchange(qn), "query")
-              .select("query", id_col, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")))
-    return top_per_group(scored, "query", [F.desc(F.round("score", 9)), F.asc(id_col)], word_limit)
+    Inputs ``(id, term, weight)`` and ``(query, term, weight)``, no weight negative; vectors
+    need not be normalised. Scores are ranked with nine decimals. Documents that cannot get
+    among the best of a query are never paired with it (:class:`ImpactIndex`)."""
+    return ImpactIndex(doc_weights, id_col).best(query_weights, word_limit)
 
 
 def query_term_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:

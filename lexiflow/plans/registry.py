@@ -337,6 +337,7 @@ def q_rank_tfidf_overlap(spark, sf_dir):
 @register("rank_cosine")
 def q_rank_cosine(spark, sf_dir):
     docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
+    weights = materialise(weights, "weights")
     n_docs = docs.count()
     idf = (weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # exactly the kept terms
            .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))

@@ -48,6 +48,34 @@ def test_long_and_many_queries(spark):
     assert got == {(1, 65, 1), (2, 1, 1)}
 
 
+def test_trie_of_many_lengths(spark):
+    """Queries of 1 to 40 tokens that share long beginnings, ids that repeat, against the expression plan."""
+    rnd = random.Random(13)
+    def words(n):
+        return [rnd.choice(["a1", "b1", "c1"]) for _ in range(n)]
+    stems = [words(40) for _ in range(3)]
+    raw = {" ".join(s[:n]) for s in stems for n in range(1, 41)} | {" ".join(words(rnd.randint(1, 9))) for _ in range(60)}
+    docs = [(i % 50, " ".join(words(rnd.randint(0, 9)) + rnd.choice(stems)[:rnd.randint(0, 40)] + words(rnd.randint(0, 9))))
+            for i in range(40)]
+    texts = spark.createDataFrame(docs, "doc_id long, body string").repartition(4)
+    queries = K.prepare_queries(spark.createDataFrame([(q,) for q in sorted(raw)], "query string"), stopwords=())
+    for mode in ("token", "padded"):
+        got = {tuple(r) for r in K.keyterm_hits(texts, queries, mode=mode).collect()}
+        assert got == {tuple(r) for r in hits_by_expression(texts, queries, mode).collect()}, mode
+
+
+def test_a_long_query_does_not_widen_the_positions(spark):
+    long_query = " ".join(f"w{i}" for i in range(2000))
+    texts = spark.createDataFrame([(1, "x y " + long_query), (2, "w0 w1 x"), (None, long_query)], "doc_id long, body string")
+    queries = K.prepare_queries(spark.createDataFrame([(long_query,), ("x",)], "query string"), stopwords=())
+    got = {(r.doc_id, r.query[:2], r.cnt) for r in K.keyterm_hits(texts, queries).collect()}
+    assert got == {(1, "w0", 1), (1, "x", 1), (2, "x", 1), (None, "w0", 1)}
+    long = texts.select("doc_id", F.lit("body").alias("field"), F.split("body", " ").alias("toks"), F.lit(0).alias("text"))
+    assert "array" not in dict(K.token_positions(long).dtypes).values()
+    trie = K.query_trie(queries)
+    assert trie.agg(F.max("step")).first()[0] == 2000 - 1024 and trie.count() == 13  # 12 steps of the long one, one of x
+
+
 def test_profile_and_options(spark):
     raw = spark.createDataFrame([("ETSI-TS 33.107",), ("Li",), ("",)], "query string")
     q = K.prepare_queries(raw, stopwords=())
