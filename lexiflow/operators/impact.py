@@ -10,10 +10,14 @@ Retrieval of the ``k`` documents with the highest ``sum(c_t * impact)`` of a que
 * the k-th largest impact of a term (a lower bound of it comes from the level counts) times
   ``c_t`` is reached by k documents, so the largest of these products over the query's terms
   is a threshold that every wanted document reaches;
-* with ``top_t`` the largest impact of a term and ``f = threshold / sum(c_t * top_t)``, a
-  document whose impacts all stay below ``f * top_t`` stays below the threshold. So only
-  blocks with a largest impact of ``f * top_t`` or more are opened, and only their postings
-  of that impact or more become candidates;
+* let ``top_t`` be the largest impact of a term and cut the terms in two parts, the first of
+  which are open. A wanted document with an open term t has there at least what the
+  threshold leaves when all other terms give their most. One without any open term has, for
+  some other term, at least ``top_t * threshold / sum(c * top)`` over the terms not open, or
+  does not exist if that sum is below the threshold. The level counts tell how many postings
+  a cut would read; terms are opened in the order of their frequency, as far as pays best;
+* only blocks whose largest impact reaches the term's bound are read, and only their postings
+  that do become candidates;
 * candidates get all terms of the query by a join on (term, document).
 
 Nothing is dropped that could be wanted; the weights must not be negative.
@@ -56,23 +60,37 @@ class ImpactIndex:
                 F.max("impact").alias("top"), F.min("impact").alias("low"), F.count(F.lit(1)).alias("n"),
                 F.collect_list(F.struct(id_col, "impact")).alias("postings")), "impact-blocks")  # about BLOCK of them
 
-    def term_bounds(self, k: int) -> DataFrame:
-        """``(term, top, kth)``: the largest impact and one that at least ``k`` documents reach (0 if there are not k)."""
+    def term_levels(self, k: int) -> DataFrame:
+        """``(term, df, top, kth, levels)``: frequency, largest impact, one that at least ``k`` documents reach (0 if
+        there are not k), and the documents so far (``n``) down to each level, with the level's largest impact."""
         levels = self.blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.min("low").alias("low"))
         so_far = Window.partitionBy("term").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return (levels.withColumn("so_far", F.sum("n").over(so_far)).groupBy("term")  # a term has few levels
-                .agg(F.max("top").alias("top"), F.coalesce(F.max(F.when(F.col("so_far") >= k, F.col("low"))), F.lit(0.0)).alias("kth")))
+                .agg(F.sum("n").alias("df"), F.max("top").alias("top"),
+                     F.coalesce(F.max(F.when(F.col("so_far") >= k, F.col("low"))), F.lit(0.0)).alias("kth"),
+                     F.collect_list(F.struct("top", F.col("so_far").alias("n"))).alias("levels")))
 
     def query_terms(self, query_weights: DataFrame, k: int) -> DataFrame:
         """``(query, term, c, need)``: the factor of each term and the impact from which its postings matter."""
         positive = query_weights.where(F.col("weight") > 0)
         norms = positive.groupBy("query").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-        terms = (positive.join(own_exchange(norms), "query").join(own_exchange(self.term_bounds(k)), "term")
-                 .select("query", "term", (F.col("weight") / F.col("_norm")).alias("c"), "top", "kth"))
-        of_query = terms.groupBy("query").agg(F.max(F.col("c") * F.col("kth")).alias("_at"),
-                                              F.sum(F.col("c") * F.col("top")).alias("_most"))
-        share = (F.col("_at") - SLACK) / F.col("_most")
-        return terms.join(own_exchange(of_query), "query").select("query", "term", "c", (F.col("top") * share).alias("need"))
+        terms = positive.join(own_exchange(norms), "query").join(own_exchange(self.term_levels(k)), "term") \
+            .withColumn("c", F.col("weight") / F.col("_norm"))
+        of_query = terms.groupBy("query").agg(
+            (F.max(F.col("c") * F.col("kth")) - SLACK).alias("at"), F.sum(F.col("c") * F.col("top")).alias("most"),
+            F.array_sort(F.collect_list(F.struct("df", "term", "c", "top", "levels"))).alias("ts"))
+        cuts = of_query.withColumn("cuts", F.expr("""
+            transform(filter(sequence(0, size(ts)), i -> i = size(ts) OR i & (i - 1) = 0), i -> named_struct(
+                'open', i, 'rest', aggregate(slice(ts, i + 1, size(ts)), 0D, (sum, t) -> sum + t.c * t.top)))"""))
+        needs = cuts.withColumn("needs", F.expr("""
+            transform(cuts, o -> transform(ts, (t, j) -> CASE WHEN j < o.open THEN (at - most + t.c * t.top) / t.c
+                WHEN o.rest < at THEN double('infinity') ELSE t.top * at / o.rest END))"""))
+        best = needs.select("query", "ts", F.expr("""
+            array_min(transform(needs, x -> named_struct('cost', aggregate(zip_with(ts, x, (t, need) ->
+                coalesce(array_max(transform(filter(t.levels, l -> l.top >= need), l -> l.n)), 0L)), 0L, (sum, n) -> sum + n),
+                'needs', x))).needs""").alias("needs"))
+        return best.select("query", F.explode(F.arrays_zip(F.col("ts").alias("t"), F.col("needs").alias("need"))).alias("z")) \
+            .select("query", "z.t.term", "z.t.c", "z.need")
 
     def candidates(self, query_terms: DataFrame) -> DataFrame:
         """``(query, id)`` pairs that may be among the best."""

@@ -60,13 +60,14 @@ def rank_tfidf_overlap(weights: DataFrame, docs_tokens: DataFrame, query_terms:
 
 
 def rank_cosine(doc_weights: DataFrame, query_weights: DataFrame, id_col: str = "doc_id",
-                word_limit: int = 50) -> DataFrame:
+                word_limit: int = 50, normalised: bool = False) -> DataFrame:
     """The ``word_limit`` documents closest to each query by cosine similarity (ties by id).
 
-    Inputs ``(id, term, weight)`` and ``(query, term, weight)``, no weight negative; vectors
-    need not be normalised. Scores are ranked with nine decimals. Documents that cannot get
-    among the best of a query are never paired with it (:class:`ImpactIndex`)."""
-    return ImpactIndex(doc_weights, id_col).best(query_weights, word_limit)
+    Inputs ``(id, term, weight)`` and ``(query, term, weight)``, no weight negative; document
+    vectors are taken as of length one only with ``normalised``. Scores are ranked with nine
+    decimals. Documents that cannot get among the best of a query are never paired with it
+    (:class:`ImpactIndex`)."""
+    return ImpactIndex(doc_weights, id_col, normalised=normalised).best(query_weights, word_limit)
 
 
 def query_term_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:

@@ -1,18 +1,18 @@
-"""Exact substring search of many phrases in many texts by rare q-grams of the vocabulary.
+"""Exact substring search of many phrases in many texts by q-grams.
 
 Texts are arrays of pieces (cut at single blanks). A phrase without a blank can only lie
 inside a piece; a phrase ``a m1 .. b`` is a run of pieces whose first ends with ``a``, whose
-middle is equal and whose last begins with ``b``. So all that needs a substring test are
-parts of phrases against the distinct pieces, the vocabulary:
+middle is equal and whose last begins with ``b``.
 
-* :func:`contained_parts` finds the pieces that contain, end or begin with a part. Pieces
-  and parts get a mark for their ends, so that all three are containment; each part is
-  looked up by its rarest q-gram in the texts alone, and then compared exactly.
-* :func:`phrase_runs` anchors every phrase at its rarer end part. Positions of the anchors'
-  pieces are joined first; only those get their run of pieces, from the text's own array,
-  so a long phrase does not widen the other positions.
+* Phrases without a blank are looked up in the distinct pieces, each by its rarest q-gram
+  in the texts alone, and then compared exactly (:func:`contained`).
+* Any other phrase is looked up by a q-gram across a blank: the last characters of one piece
+  and the first of the next, as many as it has up to ``Q`` on each side, at its rarest blank.
+  A position of a text gives at most ``(Q + 1) ** 2`` such grams, whatever its pieces are.
+  What meets is compared exactly; runs of three and more pieces are compared in the text's
+  own array of pieces, at the positions that met, so a long phrase widens no others.
 
-Nothing is limited: short parts use shorter grams, empty ones match every piece.
+Nothing is limited: short parts use shorter grams.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from lexiflow.session import materialise, own_exchange
 
 Q = 3
-BEGIN, END = "\x01", "\x02"
 
 
 def _grams(text, size):
@@ -31,89 +30,94 @@ def _grams(text, size):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
 
 
-def contained_parts(parts: DataFrame, vocabulary: DataFrame, q: int = Q) -> DataFrame:
-    """``(part, how, piece, times)`` for ``parts`` (part, how) and ``vocabulary`` (piece, times).
-
-    ``how``: the piece contains (``inside``), ends with (``end``) or begins with (``start``) the part.
-    """
-    marked = F.concat(F.when(F.col("how") == "start", BEGIN).otherwise(""), F.col("part"), F.when(F.col("how") == "end", END).otherwise(""))
-    patterns = parts.distinct().select("part", "how", marked.alias("pattern")).where(F.length("pattern") > 0) \
-        .withColumn("size", F.least(F.length("pattern"), F.lit(q)))
-    sizes = sorted(r[0] for r in patterns.select("size").distinct().collect())  # 1 .. q
-    of_pattern = patterns.select("part", "how", "pattern", F.explode(_grams(F.col("pattern"), F.col("size"))).alias("gram"))
-    padded = F.concat(F.lit(BEGIN), "piece", F.lit(END))
-    longer = F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
-    of_piece = (vocabulary.select("piece", "times", padded.alias("padded"), longer.alias("size"))
-                .where(F.length("padded") >= F.col("size"))
-                .select("piece", "times", F.explode(_grams(F.col("padded"), F.col("size"))).alias("gram")))
-    often = of_piece.join(own_exchange(of_pattern.select("gram").distinct()), "gram") \
+def contained(phrases: DataFrame, vocabulary: DataFrame, q: int = Q) -> DataFrame:
+    """``(phrase, piece)`` for ``phrases`` (phrase, distinct, not empty) and ``vocabulary`` (piece, times)."""
+    sized = phrases.select("phrase", F.least(F.length("phrase"), F.lit(q)).alias("size"))
+    sizes = sorted(r[0] for r in sized.select("size").distinct().collect())  # 1 .. q
+    if not sizes:
+        return phrases.select("phrase", F.lit("").alias("piece"))  # no phrase, no row
+    of_phrase = sized.select("phrase", F.explode(_grams(F.col("phrase"), F.col("size"))).alias("gram"))
+    of_piece = (vocabulary.select("piece", "times", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+                .where(F.length("piece") >= F.col("size"))
+                .select("piece", "times", F.explode(_grams(F.col("piece"), F.col("size"))).alias("gram")))
+    often = of_piece.join(own_exchange(of_phrase.select("gram").distinct()), "gram") \
         .groupBy("gram").agg(F.sum("times").alias("often"))
-    keys = (of_pattern.join(own_exchange(often), "gram", "left").groupBy("part", "how")
+    keys = (of_phrase.join(own_exchange(often), "gram", "left").groupBy("phrase")
             .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("rarest"))
-            .where("rarest.often > 0").select("part", "how", F.col("rarest.gram").alias("gram")))
-    exact = (F.when(F.col("how") == "inside", F.contains("piece", "part")).when(F.col("how") == "end", F.endswith("piece", "part"))
-             .otherwise(F.startswith("piece", "part")))
-    return of_piece.join(own_exchange(keys), "gram").where(exact).select("part", "how", "piece", "times")
+            .where("rarest.often > 0").select("phrase", F.col("rarest.gram").alias("gram")))
+    return of_piece.join(own_exchange(keys), "gram").where(F.contains("piece", "phrase")).select("phrase", "piece")
 
 
 class PhraseSearch:
     """Pieces and runs of pieces that hold the phrases.
 
-    ``texts``: ``id_col`` and ``pieces`` (array of strings); ``phrases``: strings. Texts are
-    told apart by id and hash; equal rows are both found.
+    ``texts``: ``id_col`` and ``pieces`` (array of strings); ``phrases``: strings, empty ones
+    and repeats do not count. Texts of one id are told apart by their hash.
     """
 
     def __init__(self, texts: DataFrame, phrases: DataFrame, phrase_col: str, id_col: str = "doc_id", q: int = Q):
-        self.id_col = id_col
+        self.id_col, self.q = id_col, q
         self.texts = texts.select(id_col, "pieces", F.xxhash64("pieces").alias("_text"))
-        p = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct() \
-            .select("phrase", F.split("phrase", " ").alias("kp"))
-        self.inside = p.where(F.size("kp") == 1).select("phrase")
-        self.runs = p.where(F.size("kp") > 1).select(
-            "phrase", F.size("kp").alias("k"), F.element_at("kp", 1).alias("a"), F.element_at("kp", -1).alias("b"),
-            F.array_join(F.slice("kp", 2, F.size("kp") - 2), " ").alias("mid"))
-        self.counts = self.texts.select(id_col, F.explode("pieces").alias("piece")) \
-            .groupBy(id_col, "piece").agg(F.count(F.lit(1)).alias("times"))
-        parts = (self.inside.select(F.col("phrase").alias("part"), F.lit("inside").alias("how"))
-                 .unionByName(self.runs.select(F.col("a").alias("part"), F.lit("end").alias("how")))
-                 .unionByName(self.runs.select(F.col("b").alias("part"), F.lit("start").alias("how"))))
-        vocabulary = self.counts.groupBy("piece").agg(F.sum("times").alias("times"))
-        self.matches = materialise(contained_parts(parts, vocabulary, q), "parts")
+        p = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct()
+        self.single = p.where(~F.contains("phrase", F.lit(" ")))
+        self.runs = p.where(F.contains("phrase", F.lit(" ")))
 
     def in_pieces(self) -> DataFrame:
         """``(id, piece, times, phrase)``: phrases without a blank in the pieces of each text."""
-        found = self.matches.where("how = 'inside'").select("piece", F.col("part").alias("phrase"))
-        return self.counts.join(own_exchange(found), "piece").select(self.id_col, "piece", "times", "phrase")
-
-    def anchors(self) -> DataFrame:
-        """``(phrase, k, mid, a, b, back, piece)``: the pieces of each phrase's rarer end, ``back`` from the run's start."""
-        m = self.matches.where("how != 'inside'")
-        often = materialise(m.groupBy("part", "how").agg(F.sum("times").alias("often")), "often")
-        first = often.where("how = 'end'").select(F.col("part").alias("a"), F.col("often").alias("_a"))
-        last = often.where("how = 'start'").select(F.col("part").alias("b"), F.col("often").alias("_b"))
-        sided = self.runs.join(own_exchange(first), "a").join(own_exchange(last), "b") \
-            .withColumn("how", F.when(F.col("_a") <= F.col("_b"), "end").otherwise("start"))
-        part = F.when(F.col("how") == "end", F.col("a")).otherwise(F.col("b"))
-        back = F.when(F.col("how") == "end", 0).otherwise(F.col("k") - 1)
-        return (sided.withColumn("part", part).join(own_exchange(m.select("part", "how", "piece")), ["part", "how"])
-                .select("phrase", "k", "mid", "a", "b", back.alias("back"), "piece"))
+        counts = self.texts.select(self.id_col, F.explode("pieces").alias("piece")) \
+            .groupBy(self.id_col, "piece").agg(F.count(F.lit(1)).alias("times"))
+        found = contained(self.single, counts.groupBy("piece").agg(F.sum("times").alias("times")), self.q)
+        return counts.join(own_exchange(found), "piece").select(self.id_col, "piece", "times", "phrase")
+
+    def crossings(self) -> DataFrame:
+        """``(phrase, k, back, gram)``: the grams across every blank of the phrases; ``back`` counts from the run's start."""
+        at = self.runs.select("phrase", F.split("phrase", " ").alias("kp")).select(
+            "phrase", F.size("kp").alias("k"), F.expr("explode(transform(sequence(1, size(kp) - 1), i -> named_struct("
+                                                      "'back', i - 1, 'left', kp[i - 1], 'right', kp[i])))").alias("c"))
+        gram = F.concat(F.expr(f"right(c.left, {self.q})"), F.lit(" "), F.expr(f"left(c.right, {self.q})"))
+        return at.select("phrase", "k", F.col("c.back").alias("back"), gram.alias("gram"))
+
+    def _positions(self, shapes) -> DataFrame:
+        """One row for each blank of each text and each of the shapes (characters before, after)."""
+        pair = F.expr("element_at(transform(array(pieces), t -> transform(sequence(1, size(t) - 1), i -> "
+                      "named_struct('at', i - 1, 'first', t[i - 1], 'next', t[i]))), 1)")
+        rows = self.texts.where(F.size("pieces") > 1).select(self.id_col, "_text", F.explode(pair).alias("p")) \
+            .select(self.id_col, "_text", "p.*")
+        grams = F.array_compact(F.array(*[
+            F.when((F.length("first") >= x) & (F.length("next") >= y),
+                   F.concat(F.expr(f"right(first, {x})"), F.lit(" "), F.expr(f"left(next, {y})"))) for x, y in shapes]))
+        return rows.select("*", F.explode(grams).alias("gram"))
 
     def phrase_runs(self) -> DataFrame:
         """``(id, phrase, k, pos, first, last, a, b)``: runs of ``k`` pieces from ``pos`` on that hold a phrase."""
-        anchors = materialise(self.anchors(), "anchors")
-        shapes = anchors.groupBy("piece").agg(F.collect_set(F.struct("k", "back")).alias("shapes"))  # distinct lengths
-        key = [self.id_col, "_text"]
-        near = (self.texts.select(*key, F.posexplode("pieces").alias("at", "piece")).join(own_exchange(shapes), "piece")
-                .groupBy(*key).agg(F.collect_set(F.struct("at", "shapes")).alias("near"))  # bounded by the text's pieces
+        crossings = materialise(self.crossings(), "crossings")
+        left, right = F.locate(" ", "gram") - 1, F.length("gram") - F.locate(" ", "gram")
+        shapes = sorted(tuple(r) for r in crossings.select(left, right).distinct().collect())  # at most (q + 1) ** 2
+        schema = f"{self.id_col} {dict(self.texts.dtypes)[self.id_col]}, phrase string, k int, pos int, first string, last string, a string, b string"
+        if not shapes:
+            return crossings.sparkSession.createDataFrame([], schema)
+        rows = self._positions(shapes)
+        a, b = F.substring_index("phrase", " ", 1).alias("a"), F.substring_index("phrase", " ", -1).alias("b")
+        keys = crossings.where("k = 2").select("phrase", "k", "gram", a, b)
+        out = (rows.join(own_exchange(keys), "gram").where(F.endswith("first", "a") & F.startswith("next", "b"))
+               .select(self.id_col, "phrase", "k", F.col("at").alias("pos"), "first", F.col("next").alias("last"), "a", "b"))
+        longer = crossings.where("k > 2")
+        if longer.isEmpty():
+            return out
+        often = rows.join(own_exchange(longer.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+        rarest = (longer.join(own_exchange(often), "gram", "left").groupBy("phrase", "k")
+                  .agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "back")).alias("key"))
+                  .where("key.often > 0").select("phrase", "k", "key.gram", "key.back"))
+        near = (rows.join(own_exchange(rarest), "gram").groupBy(self.id_col, "_text")
+                .agg(F.collect_set(F.struct((F.col("at") - F.col("back")).alias("pos"), "phrase", "k")).alias("near"))
                 .withColumnRenamed(self.id_col, "_id").withColumnRenamed("_text", "_hash"))
         met = self.texts.join(near, F.col(self.id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-        runs = met.select(self.id_col, F.explode(F.expr("""
-            element_at(transform(array(pieces), t -> flatten(transform(near, x -> transform(
-                filter(x.shapes, s -> x.at >= s.back AND x.at - s.back + s.k <= size(t)),
-                s -> named_struct('pos', x.at - s.back, 'k', s.k, 'back', s.back, 'piece', t[x.at], 'first', t[x.at - s.back],
-                                  'last', t[x.at - s.back + s.k - 1],
-                                  'mid', array_join(slice(t, x.at - s.back + 2, s.k - 2), ' ')))))), 1)""")).alias("r")) \
-            .select(self.id_col, "r.*")
-        return (runs.join(own_exchange(anchors), ["piece", "k", "back", "mid"])
-                .where(F.when(F.col("back") == 0, F.startswith("last", "b")).otherwise(F.endswith("first", "a")))
-                .select(self.id_col, "phrase", "k", "pos", "first", "last", "a", "b"))
+        found = met.select(self.id_col, F.explode(F.expr("""
+            element_at(transform(array(pieces), t -> transform(
+                filter(near, x -> x.pos >= 0 AND x.pos + x.k <= size(t)),
+                x -> named_struct('pos', x.pos, 'phrase', x.phrase, 'k', x.k, 'first', t[x.pos], 'last', t[x.pos + x.k - 1],
+                                  'mid', array_join(slice(t, x.pos + 2, x.k - 2), ' ')))), 1)""")).alias("r")) \
+            .select(self.id_col, "r.*", a, b)
+        middle = F.expr("substring(phrase, length(a) + 2, length(phrase) - length(a) - length(b) - 2)")
+        return out.unionByName(found.where((F.col("mid") == middle) & F.endswith("first", "a") & F.startswith("last", "b"))
+                               .select(out.columns))

@@ -92,15 +92,13 @@ WHERE (SELECT count(*) FROM offdocs o WHERE contains(o.text_clean, cand.ngram))
       < (SELECT count(*) FROM offdocs)""")
 oracle("ngram_difference", f"""WITH {NG_BASE}, {grams('offgrams', 'offdocs', 2)}
 SELECT ngram, freq FROM cand WHERE ngram NOT IN (SELECT ngram FROM offgrams)""")
-oracle("ngram_difference_indices", f"""WITH {NG_BASE}, {cleaned('items', DEF, 'benchmark', 'item_id')},
-op AS (SELECT doc_id AS item_id, array_to_string(string_split(text_clean, ' ')[1:2], ' ') AS ngram FROM items)
-SELECT item_id FROM op WHERE len(string_split(ngram, ' ')) = 2
-  AND NOT EXISTS (SELECT 1 FROM offdocs o WHERE contains(o.text_clean, op.ngram))""")
-oracle("ngram_difference_places", f"""WITH {NG_BASE}, {cleaned('items', DEF, 'benchmark', 'item_id')},
+PASSAGE_BIGRAMS = f"""{NG_BASE}, {cleaned('items', DEF, 'benchmark', 'item_id')},
 tk AS (SELECT doc_id AS item_id, {Q.tokens('text_clean')} AS w FROM items),
 pl AS (SELECT item_id, w, unnest(range(0, len(w) - 1)) AS i FROM tk),
-pg AS (SELECT item_id, i AS position, w[i + 1] || ' ' || w[i + 2] AS ngram FROM pl)
-SELECT item_id, position FROM pg
+pg AS (SELECT item_id, i AS position, w[i + 1] || ' ' || w[i + 2] AS ngram FROM pl)"""
+for _name, _columns in (("indices", "item_id"), ("places", "item_id, position")):
+    oracle(f"ngram_difference_{_name}", f"""WITH {PASSAGE_BIGRAMS}
+SELECT {_columns} FROM pg
 WHERE NOT EXISTS (SELECT 1 FROM offdocs o WHERE contains(o.text_clean, pg.ngram))""")
 oracle("verified_ngrams", f"""WITH {NG_BASE},
 {cleaned('bench', DEF, 'benchmark', 'item_id')}, {grams('bgrams', 'bench', 2)}
@@ -592,9 +590,8 @@ FROM benchmark""")
 oracle("load_queries", f"""WITH {Q.RAW_QUERIES}
 SELECT DISTINCT regexp_replace(query, '\\s+$', '') AS query FROM (
   SELECT query FROM raw_q UNION ALL SELECT unnest(string_split(text, chr(10))) FROM benchmark)""")
-oracle("scan_stopwords", f"""SELECT DISTINCT w AS word FROM (
-  SELECT {Q.tokens('lower(text)')}[1] AS w FROM documents) WHERE w <> ''""")
-oracle("scan_stopwords_all_words", f"""SELECT DISTINCT w AS word FROM (
+for _name in ("scan_stopwords", "scan_stopwords_all_words"):
+    oracle(_name, f"""SELECT DISTINCT w AS word FROM (
   SELECT unnest({Q.tokens('lower(text)')}) AS w FROM documents) WHERE w <> ''""")
 oracle("scan_documents", """
 SELECT count(*) AS n_docs, sum(length(text) + 1)::BIGINT AS n_chars FROM benchmark""")

@@ -177,6 +177,7 @@ def offtopic_docs(spark, sf_dir, opts=None):
 from lexiflow.operators import dtm as D  # noqa: E402
 from lexiflow.operators import ngrams as NG  # noqa: E402
 from lexiflow.operators import ranking as RK  # noqa: E402
+from lexiflow.operators.impact import ImpactIndex  # noqa: E402
 
 
 def _frequent_reference_bigrams(spark, sf_dir):
@@ -218,21 +219,22 @@ def q_ngram_difference(spark, sf_dir):
                                offtopic_docs(spark, sf_dir), n=2)
 
 
+def _passage_bigrams(spark, sf_dir):
+    tokens = T.tokenize(T.clean_text(F.col("text"), **DEFAULT_OPTS))
+    return S.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.ngrams(tokens, 2)).alias("position", "ngram"))
+
+
 @register("ngram_difference_indices")
 def q_ngram_difference_indices(spark, sf_dir):
-    """Places of the benchmark openings (two tokens) that no off-topic text contains."""
-    tokens = T.tokenize(T.clean_text(F.col("text"), **DEFAULT_OPTS))
-    opening = S.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(tokens, 1, 2), " ").alias("ngram"))
-    return NG.ngram_difference(opening.where(F.size(F.split("ngram", " ")) == 2), offtopic_docs(spark, sf_dir),
-                               mode="substring", index_col="item_id")
+    """Passage of every two tokens of every benchmark passage that no off-topic text contains, one row each."""
+    return NG.ngram_difference(_passage_bigrams(spark, sf_dir), offtopic_docs(spark, sf_dir), mode="substring", index_col="item_id")
 
 
 @register("ngram_difference_places")
 def q_ngram_difference_places(spark, sf_dir):
     """(item_id, position) of every two tokens of every benchmark passage that no off-topic text contains."""
-    tokens = T.tokenize(T.clean_text(F.col("text"), **DEFAULT_OPTS))
-    places = S.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.ngrams(tokens, 2)).alias("position", "ngram"))
-    return NG.ngram_difference(places, offtopic_docs(spark, sf_dir), mode="substring", index_col=["item_id", "position"])
+    return NG.ngram_difference(_passage_bigrams(spark, sf_dir), offtopic_docs(spark, sf_dir), mode="substring",
+                               index_col=["item_id", "position"])
 
 
 @register("verified_ngrams")
@@ -337,11 +339,11 @@ def q_rank_tfidf_overlap(spark, sf_dir):
 @register("rank_cosine")
 def q_rank_cosine(spark, sf_dir):
     docs, weights, queries = _query_terms_and_tfidf(spark, sf_dir)
-    weights = materialise(weights, "weights")
+    index = ImpactIndex(weights, normalised=True)  # tf-idf vectors have length one
     n_docs = docs.count()
-    idf = (weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # exactly the kept terms
+    idf = (index.impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # exactly the kept terms
            .select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf")))
-    return RK.rank_cosine(weights, RK.query_term_weights(queries, idf))
+    return index.best(RK.query_term_weights(queries, idf), 50)
 
 
 # --- actors -------------------------------------------------------------------------------
@@ -912,15 +914,8 @@ def q_load_queries(spark, sf_dir):
 
 
 @register("scan_stopwords")
-def q_scan_stopwords(spark, sf_dir):
-    """Every distinct first word of the documents as a stopword file, read back."""
-    words = S.corpus(spark, sf_dir).select(F.get(T.tokenize(F.lower(F.col("text"))), 0).alias("value")) \
-        .where(F.col("value") != "").distinct()
-    return FS.scan_stopwords(spark, _lines_file(spark, words, "stopwords"))
-
-
 @register("scan_stopwords_all_words")
-def q_scan_stopwords_all_words(spark, sf_dir):
+def q_scan_stopwords(spark, sf_dir):
     """Every distinct word of the documents as a stopword file, read back."""
     words = S.corpus(spark, sf_dir).select(F.explode(T.tokenize(F.lower(F.col("text")))).alias("value")) \
         .where(F.col("value") != "").distinct()

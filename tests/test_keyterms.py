@@ -112,6 +112,25 @@ def test_raw_keyword_counts_equal_str_count(spark):
     assert got == {(i, k): t.count(k) for i, t in enumerate(texts) for k in keys if t.count(k)}
 
 
+def test_phrases_meet_at_rare_grams_only(spark):
+    """Frequent pieces around a rare blank: only positions with the phrase's rarest gram are compared."""
+    from lexiflow.operators.substrings import PhraseSearch
+    filler = " ".join(["the"] * 3000)
+    texts = spark.createDataFrame([(1, f"{filler} cat sat on the mat {filler}"), (2, "scat sat on the matter"), (3, filler),
+                                   (2, "cat sat on the mat"), (None, "xcat sat on the mat")], "doc_id long, text string")
+    texts = texts.select("doc_id", F.split("text", " ").alias("pieces"))
+    phrases = spark.createDataFrame([("cat sat on the mat",), ("the mat",), (" ".join(["the"] * 1500) + " cat",)], "query string")
+    found = PhraseSearch(texts, phrases, "query")
+    got = {(r.doc_id, r.phrase[:7], r.k) for r in found.phrase_runs().collect()}
+    assert got == {(1, "cat sat", 5), (2, "cat sat", 5), (None, "cat sat", 5), (1, "the mat", 2), (2, "the mat", 2),
+                   (None, "the mat", 2), (1, "the the", 1501)}
+    assert found.single.count() == 0 and found.in_pieces().count() == 0
+    rows = found._positions([(3, 3)])
+    keys = found.crossings().where("k > 2").join(rows.groupBy("gram").count(), "gram").groupBy("phrase").agg(F.min("count").alias("n"))
+    assert max(r.n for r in keys.collect()) <= 4  # of 9000 positions
+    assert "array<string>" not in dict(rows.dtypes).values()
+
+
 def test_observe_counts(spark):
     texts = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, body string")
     observed, obs = K.observe_counts(texts, "texts_loaded")
