@@ -182,8 +182,7 @@ def klr_keywords(reference: DataFrame, search: DataFrame, classifiers: Sequence[
     # the only table that several jobs read; ids come from the sources without their texts
     dtm = materialise(doc_term_matrix(corpus, min_df=1, max_df=1.0, id_col=id_col, text_col=text_col), "terms")
     train, test_ids = training_split(reference, search, ref_frac, search_frac, seed, id_col)
-    votes = [CL.vote(name, train, test_ids, dtm, docs=corpus, id_col=id_col, text_col=text_col,
-                     seed=seed) for name in names]
+    votes = [CL.vote(name, train, test_ids, dtm, id_col=id_col, seed=seed) for name in names]
     tgt = cut_lineage(target_set(vote_counts(votes, id_col), vote_min, id_col))  # scored once
     t_ids = tgt.where("in_target").select(id_col)
     s_terms = dtm.join(search.select(id_col), id_col, "left_semi")

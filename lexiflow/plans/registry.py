@@ -799,9 +799,9 @@ def q_klr_top_keywords(spark, sf_dir):
     return DS.top_keywords(_klr_nb(spark, sf_dir), k=1000)
 
 
-def _ml_votes(spark, sf_dir, name):
+def _ml_votes(spark, sf_dir, name, **options):
     r, s, corpus, dtm, train, test_ids = _discovery_inputs(spark, sf_dir)
-    return CL.vote(name, train, test_ids, dtm, docs=corpus)
+    return CL.vote(name, train, test_ids, dtm, **options)
 
 
 @register("vote_logit")
@@ -819,11 +819,27 @@ def q_vote_nearest(spark, sf_dir):
     return _ml_votes(spark, sf_dir, "nearest")
 
 
+@register("vote_tree")
+def q_vote_tree(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "tree", max_depth=10)
+
+
+@register("vote_gboost")
+def q_vote_gboost(spark, sf_dir):
+    return _ml_votes(spark, sf_dir, "gboost", rounds=5)
+
+
+@register("vote_forest")
+def q_vote_forest(spark, sf_dir):
+    """200 trees; a node sees one of 32 classes of the terms."""
+    return _ml_votes(spark, sf_dir, "rf", max_depth=6, parts=32)
+
+
 @register("vote_counts_several")
 def q_vote_counts_several(spark, sf_dir):
     """Votes of Naive Bayes, logit and discriminant summed per document."""
     r, s, corpus, dtm, train, test_ids = _discovery_inputs(spark, sf_dir)
-    return DS.vote_counts([CL.vote(name, train, test_ids, dtm, docs=corpus) for name in ("nbayes", "logit", "LDA")])
+    return DS.vote_counts([CL.vote(name, train, test_ids, dtm) for name in ("nbayes", "logit", "LDA")])
 
 
 # --- sources and sinks (round trips through the shared checkpoint folder) ------------------

@@ -133,4 +133,4 @@ def test_keyword_table_edge_cases(spark):
     # learner names are exact (no substring matching)
     with pytest.raises(ValueError):
         CL.vote("nb", docs.select("doc_id", F.lit(0).alias("label")), docs.select("doc_id"),
-                docs.select("doc_id", F.lit("a b").alias("term"), F.lit(1).alias("cnt")), docs=docs)
+                docs.select("doc_id", F.lit("a b").alias("term"), F.lit(1).alias("cnt")))
