@@ -243,7 +243,8 @@ def read_archives(files: DataFrame, with_data: bool = True, chunk: int = CHUNK)
                 if rows:
                     yield _batch(rows, names, types)
 
-    return files.select("path").repartition("path").mapInArrow(run, READ_SCHEMA)
+    # a number that adaptive execution keeps: an archive, already the size of a partition, is a task
+    return files.select("path").repartitionByRange(max(1, files.count()), "path").mapInArrow(run, READ_SCHEMA)
 
 
 def _batch(rows, names, types):

@@ -48,17 +48,36 @@ def test_exact_dedup_keeps_one_whole_row_of_each_text(odd, odd_rows):
 
 def test_filter_clears_unique_rows_and_no_repeat(spark):
     rows = spark.range(20_000).selectExpr("id as doc_id", "concat('t', id % 19000) as text")
-    keyed = rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"]))
-    bloom = exact_dedup.repeat_filter(keyed.select(exact_dedup.SHA))
-    probed = exact_dedup.probe(keyed, bloom)
+    size = exact_dedup.filter_size(20_000)
+    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size, "test")
+    probed = exact_dedup.probe(keyed, exact_dedup.repeat_filter(keyed, size), size, 0)
     repeated = probed.where("doc_id % 19000 < 1000")
     assert repeated.where("__dedup_suspect").count() == 2000
     assert probed.where("__dedup_suspect").count() < 4000
-    join_way = exact_dedup.probe(keyed, (bloom[0], bloom[1], False))
-    assert join_way.where("__dedup_suspect").count() == probed.where("__dedup_suspect").count()
     assert exact_dedup.exact_dedup(rows).count() == 19_000
 
 
+def test_filter_in_slices(spark, odd, odd_rows, monkeypatch):
+    """The same rows when the filter is far over one broadcast; no slice gets more than its bound, none shuffles a unique text."""
+    rows = spark.range(30_000).selectExpr("id as doc_id", "concat('t', id % 28000) as text")
+    whole = sorted(map(tuple, exact_dedup.duplicate_report(rows).collect()))
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 5 * 1088)
+    size = exact_dedup.filter_size(30_000)
+    assert size.n_slices == 6 and size.per_slice == 5
+    assert sorted(map(tuple, exact_dedup.duplicate_report(rows).collect())) == whole
+    assert exact_dedup.exact_dedup(rows).count() == 28_000
+    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size, "test")
+    packed = exact_dedup.repeat_filter(keyed, size)
+    parts = [exact_dedup.probe(keyed, packed, size, i) for i in range(6)]
+    assert sum(p.count() for p in parts) == 30_000
+    assert "Exchange hashpartitioning" not in parts[0]._jdf.queryExecution().executedPlan().toString()
+    assert packed.count() <= size.n_blocks
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 1)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 1 << 11)
+    test_duplicate_report_matches_grouping(odd, odd_rows)
+    test_exact_dedup_keeps_one_whole_row_of_each_text(odd, odd_rows)
+
+
 def test_empty_tables(empty):
     assert exact_dedup.duplicate_report(empty).count() == 0
     assert exact_dedup.exact_dedup(empty).count() == 0

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiflow.llm import warc
 from lexiflow.llm.common import written
@@ -82,3 +83,16 @@ def test_damage_is_found(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    frame = spark.range(400).selectExpr("id as page_id", "concat('u', id) as url", "concat('page ', id) as html")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = written(warc.chunk_table(frame), "chunks")
+        files = warc.write_archives(chunks, warc.record_roles(chunks))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    tasks = warc.read_archives(files).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert files.count() == 4 and len(tasks) >= 3 and sum(r["count"] for r in tasks) == 400
