@@ -2,10 +2,12 @@
 contraction, periods, degree / closeness / betweenness centrality, reciprocity,
 foreground selection, induced subgraphs, thickness and node weight.
 
-Path-based measures iterate level by level over join results (one join and one
-aggregation per BFS level); the frontier is checkpointed into the shared checkpoint
-folder every few levels so lineage stays short and lost executors recompute little.
-They produce |V|^2 rows and are meant for contracted graphs (tens to thousands of nodes).
+Path-based measures run over batches of sources, so their state is bounded whatever the
+graph: closeness keeps one row (64 sources, node) with the sources that reached the node as
+the bits of a number, betweenness one row (source, node) with its path count, and a batch has
+as many sources as ``STATE_ROWS`` rows allow. Each BFS level is one join and one aggregation;
+levels are checkpointed into the shared folder, so lineage stays short and lost executors
+recompute little. Only sums per node go from batch to batch.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiflow.session import cut_lineage
+from lexiflow.session import cut_lineage, dense_index, materialise
 
 CHECKPOINT_EVERY = 4
+#: Most rows of state of one batch of sources (a single source needs a row for each node in any case).
+STATE_ROWS = 100_000_000
+WORD = 64  # sources that share a row in closeness
 
 
 def digraph(messages: DataFrame, src_col: str = "sender_domain", dst_col: str = "receiver_domain",
@@ -137,9 +142,10 @@ def edge_weight_limits(edges: DataFrame) -> DataFrame:
 
 # --- shortest paths ----------------------------------------------------------------------
 
-def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
-    """All-pairs BFS on the unweighted digraph: ``(s, v, d, sigma)`` with ``sigma`` the
-    number of shortest s->v paths (``(s, s, 0, 1)`` included).
+def shortest_paths(edges: DataFrame, max_levels: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """BFS on the unweighted digraph from all nodes or from ``sources`` (column ``node``):
+    ``(s, v, d, sigma)`` with ``sigma`` the number of shortest s->v paths (``(s, s, 0, 1)``
+    included).
 
     One join + aggregation per level: the frontier (pairs at distance d) is joined with
     the edges, path counts are summed per (s, v), and pairs already reached are removed
@@ -147,7 +153,7 @@ def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame
     """
     edges = cut_lineage(edges.select("src", "dst"))  # small edge table, materialised once
     e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    nd = nodes(edges)
+    nd = nodes(edges) if sources is None else sources
     frontier = nd.select(F.col("node").alias("s"), F.col("node").alias("v"),
                          F.lit(0).alias("d"), F.lit(1).cast("bigint").alias("sigma"))
     frontier = cut_lineage(frontier)
@@ -171,29 +177,97 @@ def shortest_paths(edges: DataFrame, max_levels: int | None = None) -> DataFrame
     return visited
 
 
-def closeness_centrality(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def _batches(n_nodes: int, per_row: int, state_rows: int):
+    """(first, end) numbers of the sources of each batch: ``state_rows`` rows of state with ``per_row`` sources each."""
+    size = max(1, state_rows // max(n_nodes, 1)) * per_row
+    return [(i, min(i + size, n_nodes)) for i in range(0, n_nodes, size)]
+
+
+def _added(total: DataFrame | None, part: DataFrame, columns: Sequence[str], tag: str) -> DataFrame:
+    """Sums per node so far and of one more batch, written."""
+    both = part if total is None else total.unionByName(part)
+    return materialise(both.groupBy("node").agg(*[F.sum(c).alias(c) for c in columns]), tag)
+
+
+def reach_counts(edges: DataFrame, state_rows: int = STATE_ROWS) -> DataFrame:
+    """``(node, r, tot)``: nodes that reach the node (itself included) and the sum of their distances.
+
+    Sources are numbered; 64 of them are the bits of one number. A level joins the rows whose
+    bits are new with the edges, ors the bits per (word, node) and takes off those seen.
+    """
+    edges = cut_lineage(edges.select("src", "dst"))
+    e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    numbered = dense_index(nodes(edges), "node", "no")
+    total = None
+    for first, end in _batches(numbered.count(), WORD, state_rows):
+        own = numbered.where((F.col("no") >= first) & (F.col("no") < end))
+        new = own.select(F.floor(F.col("no") / WORD).alias("word"), "node",
+                         F.expr(f"shiftleft(1L, cast(no % {WORD} as int))").alias("bits"))
+        new = seen = cut_lineage(new)
+        reached = new.select("node", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("tot"))
+        level = 0
+        while True:
+            level += 1
+            met = (new.join(e, new["node"] == e["src"]).groupBy("word", F.col("dst").alias("node"))
+                   .agg(F.bit_or("bits").alias("bits")))
+            after = (met.join(seen.withColumnRenamed("bits", "old"), ["word", "node"], "left")
+                     .withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))))
+                     .where("bits != 0").select("word", "node", "bits"))
+            new = cut_lineage(after)
+            if new.isEmpty():
+                break
+            n = F.bit_count("bits").cast("long")
+            reached = reached.unionByName(new.select("node", n.alias("r"), (n * level).alias("tot")))
+            seen = seen.unionByName(new).groupBy("word", "node").agg(F.bit_or("bits").alias("bits"))
+            if level % CHECKPOINT_EVERY == 0:
+                seen = cut_lineage(seen)
+                reached = cut_lineage(reached.groupBy("node").agg(F.sum("r").alias("r"), F.sum("tot").alias("tot")))
+        total = _added(total, reached, ("r", "tot"), "reach")
+    return total if total is not None else numbered.select("node", F.lit(1).cast("long").alias("r"), F.lit(0).cast("long").alias("tot"))
+
+
+def closeness_centrality(edges: DataFrame, paths: DataFrame | None = None, state_rows: int = STATE_ROWS) -> DataFrame:
     """Closeness with incoming distances, scaled by the reachable share:
     ``((r-1)/Σd) · ((r-1)/(n-1))``; 0 when nothing reaches the node."""
     edges = cut_lineage(edges.select("src", "dst"))
-    paths = paths if paths is not None else shortest_paths(edges)
     n = nodes(edges).count()
-    g = paths.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot"))
+    g = (reach_counts(edges, state_rows) if paths is None else
+         paths.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot")))
     scale = F.lit(float(n - 1) if n > 1 else 1.0)
     c = F.when(F.col("tot") > 0, ((F.col("r") - 1) / F.col("tot")) * ((F.col("r") - 1) / scale)) \
         .otherwise(F.lit(0.0))
     return g.select("node", c.alias("centrality"))
 
 
-def betweenness_centrality(edges: DataFrame, paths: DataFrame | None = None,
-                           normalized: bool = True) -> DataFrame:
-    """Directed, unweighted betweenness by Brandes' dependency accumulation, one level
-    at a time from the farthest level back to the sources:
-    ``δ_s(v) = Σ_{v->w, d(s,w) = d(s,v)+1} σ_sv/σ_sw · (1 + δ_s(w))``.
+def betweenness_centrality(edges: DataFrame, paths: DataFrame | None = None, normalized: bool = True,
+                           state_rows: int = STATE_ROWS) -> DataFrame:
+    """Directed, unweighted betweenness, summed over batches of sources.
     Normalised by ``1/((n-1)(n-2))`` when n > 2."""
     edges = cut_lineage(edges.select("src", "dst"))
-    paths = paths if paths is not None else shortest_paths(edges)
+    nd = nodes(edges)
+    if paths is not None:
+        n, total = nd.count(), path_dependencies(edges, paths)
+    else:
+        numbered = dense_index(nd, "node", "no")
+        n, total = numbered.count(), None
+        batches = _batches(n, 1, state_rows)
+        for first, end in batches:
+            own = numbered.where((F.col("no") >= first) & (F.col("no") < end)).select("node")
+            part = path_dependencies(edges, shortest_paths(edges, sources=own))
+            total = part if len(batches) == 1 else _added(total, part, ("b",), "betweenness")
+    scale = 1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else 1.0
+    if total is None:
+        return nd.select("node", F.lit(0.0).alias("centrality"))
+    return (nd.join(total, "node", "left")
+            .select("node", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("centrality")))
+
+
+def path_dependencies(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(node, b)``: the shares of the shortest paths of ``paths`` that pass through each node.
+
+    Brandes' dependency accumulation, one level at a time from the farthest level back to
+    the sources: ``δ_s(v) = Σ_{v->w, d(s,w) = d(s,v)+1} σ_sv/σ_sw · (1 + δ_s(w))``."""
     paths = cut_lineage(paths)
-    n = nodes(edges).count()
     e = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     max_d = paths.agg(F.max("d")).first()[0] or 0
     delta = None  # (s, w, sigma_w, delta_w) for the level above
@@ -211,14 +285,7 @@ def betweenness_centrality(edges: DataFrame, paths: DataFrame | None = None,
         back = cut_lineage(back)
         contribs.append(back.where(F.col("s") != F.col("v")).select("v", "dw"))
         delta = back.select("s", F.col("v").alias("w"), "dw")
-    nd = nodes(edges)
-    if contribs:
-        allc = contribs[0]
-        for c in contribs[1:]:
-            allc = allc.unionByName(c)
-        bc = allc.groupBy(F.col("v").alias("node")).agg(F.sum("dw").alias("b"))
-        out = nd.join(bc, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b"))
-    else:
-        out = nd.select("node", F.lit(0.0).alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else 1.0
-    return out.select("node", (F.col("b") * F.lit(scale)).alias("centrality"))
+    none = paths.select(F.col("v").alias("node"), F.lit(0.0).alias("b")).limit(0)
+    for c in contribs:
+        none = none.unionByName(c.select(F.col("v").alias("node"), F.col("dw").alias("b")))
+    return none.groupBy("node").agg(F.sum("b").alias("b"))

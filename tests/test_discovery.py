@@ -108,6 +108,21 @@ def test_nearest_equals_brute_force(spark):
     assert _votes(spark, "nearest", problem) == want
 
 
+def test_gram_matrix_in_blocks_whatever_the_partitions(spark, monkeypatch):
+    import numpy as np
+    from lexiflow.operators import classifiers as CL
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (300, 90)) * (rng.random((300, 90)) < 0.2)
+    dtm = spark.createDataFrame([(i, f"t{j}", int(c)) for i, r in enumerate(x) for j, c in enumerate(r) if c], "doc_id long, term string, cnt long")
+    train = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    want = x @ x.T
+    for rows, fan in ((10 ** 6, 16), (100, 4)):  # one task; many, added in a tree
+        monkeypatch.setattr(CL, "GRAM_ROWS", rows)
+        monkeypatch.setattr(CL, "GRAM_FAN", fan)
+        assert (CL.Labelled(train, dtm.repartition(7)).gram() == want).all()
+    assert (CL.Labelled(train, dtm.limit(0)).gram() == 0).all()
+
+
 def test_sampled_training_rows(spark):
     from lexiflow.operators import classifiers as CL
     dtm, train, test = _small_problem(spark)[:3]

@@ -85,6 +85,42 @@ def test_random_graphs(spark):
             assert abs(cc[u] - cc_want[u]) < 1e-9
 
 
+def test_batches_of_sources_keep_the_state_bounded(spark, monkeypatch):
+    """Many small batches give the same measures; no level of a batch has more rows than its bound."""
+    rnd = random.Random(5)
+    nodes = [f"n{i:03d}" for i in range(150)]
+    edges = sorted({(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(260)})
+    df = _edges_df(spark, edges)
+    bc_want, cc_want = py_measures(edges)
+    n = len(bc_want)
+    assert G._batches(n, G.WORD, n) == [(i, min(i + 64, n)) for i in range(0, n, 64)]  # one word a batch
+    assert G._batches(n, 1, 40 * n) == [(i, min(i + 40, n)) for i in range(0, n, 40)]
+    sizes = []
+    real = G.cut_lineage
+
+    def watched(frame, *args):
+        out = real(frame, *args)
+        sizes.append((len(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", watched)
+    cc = {r["node"]: r["centrality"] for r in G.closeness_centrality(df, state_rows=n).collect()}
+    assert max(c for k, c in sizes if k == 3) <= n  # (word, node, bits) and sums per node: 64 sources a row
+    sizes.clear()
+    bc = {r["node"]: r["centrality"] for r in G.betweenness_centrality(df, state_rows=80 * n).collect()}
+    assert max(c for _, c in sizes) <= 80 * n < n * n
+    for u in bc_want:
+        assert abs(bc[u] - bc_want[u]) < 1e-9 and abs(cc[u] - cc_want[u]) < 1e-9
+
+
+def test_dense_index_numbers_in_order(spark):
+    from lexiflow.session import dense_index
+    words = [f"w{(i * 7919) % 1000:04d}" for i in range(1000)]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
+    assert [(r.w, r["index"]) for r in sorted(dense_index(frame, "w").collect())] == [(w, i) for i, w in enumerate(sorted(words))]
+    assert dense_index(frame.limit(0), "w").collect() == []
+
+
 def test_reciprocal_and_degree(spark):
     df = _edges_df(spark, SHAPES["self_loop_reciprocal"])
     rec = {(r["src"], r["dst"]): r["reciprocal"] for r in G.reciprocal_edges(df).collect()}
