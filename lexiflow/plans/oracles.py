@@ -597,6 +597,20 @@ oracle("scan_documents", """
 SELECT count(*) AS n_docs, sum(length(text) + 1)::BIGINT AS n_chars FROM benchmark""")
 oracle("scan_documents_texts", """
 SELECT CAST(item_id AS VARCHAR) AS doc_id, length(text) + 1 AS n_chars, md5(text || chr(10)) AS text_md5 FROM benchmark""")
+oracle("document_files", """
+SELECT name, row_number() OVER (ORDER BY name) - 1 AS file_index, text_md5
+FROM (SELECT concat_ws('-', source, doc_id) AS name, md5(coalesce(text, '')) AS text_md5 FROM documents)""")
+oracle("scan_mixed_documents", """
+SELECT 'passage' || item_id AS doc_name, md5(text) AS text_md5, 'ok' AS status FROM benchmark
+UNION ALL SELECT 'page' || page_id, md5(''), 'unsupported' FROM pages""")
+oracle("load_abbreviations", """
+SELECT c_name AS query FROM customer UNION SELECT ' ' || c_mktsegment FROM customer UNION SELECT s_name FROM supplier""")
+oracle("list_year_counts_json", f"""WITH {PARSED}
+SELECT CASE WHEN is_target THEN 'targets' ELSE 'others' END AS list_name, sender_domain AS domain, sent_year AS year, count(*) AS n
+FROM parsed WHERE sender_domain IS NOT NULL AND sent_year IS NOT NULL GROUP BY ALL""")
+oracle("has_non_alphanumerics", f"""WITH {Q.RAW_QUERIES},
+terms AS (SELECT DISTINCT unnest(string_split(query, ' ')) AS term FROM raw_q)
+SELECT term, regexp_matches(term, '[0-9]') AS digits, regexp_matches(term, '[^\\p{{L}}\\p{{N}}]') AS others FROM terms""")
 oracle("org_csv", f"""WITH {ORG}
 SELECT name, full_name, nationality, category, stakeholdergroup, email_domains, subsidiary_of FROM org_raw""")
 oracle("read_mbox", f"""WITH {Q.MESSAGES}

@@ -847,6 +847,7 @@ def q_vote_counts_several(spark, sf_dir):
 import uuid  # noqa: E402
 
 from lexiflow.session import checkpoint_dir  # noqa: E402
+from lexiflow.sources import document_files as DF  # noqa: E402
 from lexiflow.sources import files as FS  # noqa: E402
 from lexiflow.sources import mbox as MB  # noqa: E402
 
@@ -859,9 +860,18 @@ def scratch_path(spark, name: str) -> str:
 def q_documents_roundtrip(spark, sf_dir):
     """Write every document as its own text file, scan the files back."""
     path = scratch_path(spark, "documents")
-    FS.sink_documents(S.corpus(spark, sf_dir), path)
-    back = FS.scan_sunk_documents(spark, path)
-    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    DF.save_documents(S.corpus(spark, sf_dir), path, name_col="doc_id")
+    return DF.load_documents(spark, path).select(
+        F.col("name").alias("doc_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("document_files")
+def q_document_files(spark, sf_dir):
+    """Documents of each source as files ``<source>_<index>.txt``, their index and text read back."""
+    path = scratch_path(spark, "document-files")
+    docs = S.table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "doc_id").alias("doc_name"), "text")
+    DF.save_documents(docs, path)
+    return DF.load_documents(spark, path).select("name", F.col("index").alias("file_index"), F.md5("text").alias("text_md5"))
 
 
 @register("target_set_roundtrip")
@@ -890,6 +900,30 @@ def q_domain_year_counts_json(spark, sf_dir):
     return spark.read.schema("domain string, n bigint, year int").json(path)
 
 
+@register("list_year_counts_json")
+def q_list_year_counts_json(spark, sf_dir):
+    """Messages per sender domain and year of each list, one nested folder of JSON per list and year, read back."""
+    path = scratch_path(spark, "list-year-json")
+    m = parsed_messages(spark, sf_dir).withColumn("list_name", F.when(F.col("is_target"), "targets").otherwise("others"))
+    counts = A.domain_year_counts(m, by=["list_name"])
+    FS.write_table(counts, path, fmt="json", partition_by=["list_name", "year"])
+    return spark.read.schema("domain string, n bigint, list_name string, year int").json(path)
+
+
+@register("klr_keywords")
+def q_klr_keywords(spark, sf_dir):
+    """Keyword discovery with its default pair of classifiers."""
+    return DS.klr_keywords(reference_docs(spark, sf_dir, TRAIN_OPTS), search_docs(spark, sf_dir, TRAIN_OPTS),
+                           classifiers=["nbayes", "logit"])[0]
+
+
+@register("has_non_alphanumerics")
+def q_has_non_alphanumerics(spark, sf_dir):
+    """Whether each raw keyterm has digits, and characters that are neither letters nor digits."""
+    q = S.raw_keyterms(spark, sf_dir).select(F.explode(F.split("query", " ")).alias("term")).distinct()
+    return q.select("term", T.has_digits("term").alias("digits"), T.has_non_alphanumerics("term").alias("others"))
+
+
 @register("vote_discriminant")
 def q_vote_discriminant(spark, sf_dir):
     return _ml_votes(spark, sf_dir, "LDA")
@@ -950,17 +984,39 @@ def q_scan_documents(spark, sf_dir):
 @register("scan_documents_texts")
 def q_scan_documents_texts(spark, sf_dir):
     """Id, length and MD5 of the text of every file that ``scan_documents`` reads; files are named by id."""
-    folder, named = scratch_path(spark, "passages"), scratch_path(spark, "named")
-    FS.sink_documents(S.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text"), folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(named))
-    for f in fs.globStatus(path(f"{folder}/doc_id=*/part-*")):  # Spark names files itself
-        item = f.getPath().getParent().getName().partition("=")[2]
-        if not fs.rename(f.getPath(), path(f"{named}/{item}.txt")):
-            raise OSError(f"cannot name the file of passage {item}")
-    back = FS.scan_documents(spark, f"{named}/*")
-    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    folder = scratch_path(spark, "passages")
+    lines = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit("\n")).alias("text"))
+    DF.save_documents(lines, folder, name_col="item_id")
+    back = FS.scan_documents(spark, f"{folder}/*.txt")
+    return back.select(F.regexp_extract("doc_id", "^(.*)_[0-9]+$", 1).alias("doc_id"), F.length("text").alias("n_chars"),
+                       F.md5("text").alias("text_md5"))
+
+
+@register("scan_mixed_documents")
+def q_scan_mixed_documents(spark, sf_dir):
+    """A folder of passages (.txt) and pages (.html): texts of the first, a mark at the others."""
+    folder = scratch_path(spark, "mixed")
+    passages = S.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("passage"), "item_id").alias("doc_name"), "text")
+    pages = S.table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id").alias("doc_name"), F.col("html").alias("text"))
+    DF.save_documents(passages, folder)
+    DF.save_documents(pages, folder, mode="append", extension="html")
+    back = FS.scan_mixed_documents(spark, folder, "*_*.*")
+    return back.select(F.regexp_extract("doc_id", "^(.*)_[0-9]+$", 1).alias("doc_name"), F.md5("text").alias("text_md5"), "status")
+
+
+@register("load_abbreviations")
+def q_load_abbreviations(spark, sf_dir):
+    """Abbreviation tables (.csv: customers and their segments) and query lists (.txt: suppliers), each with its preamble."""
+    folder = scratch_path(spark, "abbreviations")
+    top = "list\n\n\n"
+    table = S.table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("doc_name")) \
+        .agg(F.array_join(F.collect_list(F.concat("c_name", F.lit(", "), "c_mktsegment")), "\n").alias("rows")) \
+        .select("doc_name", F.concat(F.lit(top + "Abbreviation, Concept\n"), "rows").alias("text"))  # 100 rows a file
+    lines = S.table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100).alias("doc_name")) \
+        .agg(F.array_join(F.collect_list("s_name"), "\n").alias("rows")).select("doc_name", F.concat(F.lit(top), "rows").alias("text"))
+    DF.save_documents(table, folder, extension="csv")
+    DF.save_documents(lines, folder, mode="append")
+    return FS.load_abbreviations(spark, [f"{folder}/*.csv", f"{folder}/*.txt"]).distinct()
 
 
 @register("org_csv")

@@ -17,7 +17,6 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +47,9 @@ def _get(store, path: str) -> bytes:
         return f.read()
 
 
-def file_name(name: str | None, index: int) -> str:
-    safe = quote(name or "", safe=" !#$&'()*+,;=@[]{}^`~|<>\"?:") if name and ("/" in name or "%" in name or "\0" in name) else name or ""
-    return f"{safe}_{index}.txt"
+def file_name(name: str | None, index: int, extension: str = "txt") -> str:
+    safe = "".join(f"%{ord(c):02X}" if c in "/%\0" else c for c in name or "")
+    return f"{safe}_{index}.{extension}"
 
 
 @dataclass
@@ -72,15 +71,15 @@ class DocumentFiles(DataSource):
         return SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return FileWriter(self.options["path"], overwrite)
+        return FileWriter(self.options["path"], overwrite, self.options.get("extension", "txt"))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FileReader(self.options["path"])
 
 
 class FileWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, extension: str):
+        self.path, self.overwrite, self.extension = path, overwrite, extension
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, base = _store(self.path)
@@ -90,7 +89,7 @@ class FileWriter(DataSourceArrowWriter):
             for name, index, text in zip(*(batch.column(c).to_pylist() for c in ("name", "index", "text"))):
                 if out is None:
                     out = store.open_output_stream(posixpath.join(base, LISTS, own), compression=None)
-                file = file_name(name, index)
+                file = file_name(name, index, self.extension)
                 _put(store, posixpath.join(base, file), (text or "").encode())
                 out.write((json.dumps([file, name, index]) + "\n").encode())
         if out is not None:
@@ -134,11 +133,14 @@ class FileReader(DataSourceReader):
                 yield name, index, _get(store, posixpath.join(base, file)).decode()
 
 
-def save_documents(docs: DataFrame, path: str, name_col: str = "doc_name", text_col: str = "text", mode: str = "overwrite") -> None:
-    """Write every document as ``<name>_<index>.txt``; the index counts the documents in the order of their names."""
+def save_documents(docs: DataFrame, path: str, name_col: str = "doc_name", text_col: str = "text", mode: str = "overwrite",
+                   extension: str = "txt") -> None:
+    """Write every document as ``<name>_<index>.txt`` (or another ``extension``); the index counts the documents in the
+    order of their names."""
     docs.sparkSession.dataSource.register(DocumentFiles)
     named = docs.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text"))
-    dense_index(named, "name").select("name", "index", "text").write.format(FORMAT).mode(mode).save(path)
+    dense_index(named, "name").select("name", "index", "text").write.format(FORMAT).mode(mode) \
+        .option("extension", extension).save(path)
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
