@@ -615,3 +615,45 @@ oracle("org_csv", f"""WITH {ORG}
 SELECT name, full_name, nationality, category, stakeholdergroup, email_domains, subsidiary_of FROM org_raw""")
 oracle("read_mbox", f"""WITH {Q.MESSAGES}
 SELECT msg_id, "from", comments_to, date_raw, NULL::VARCHAR AS sender, 'Sender: body of ' || msg_id AS body FROM messages""")
+
+
+# --- lemmas and stems --------------------------------------------------------------------------
+
+from lexiflow.functions.stemming import stem_ctes  # noqa: E402
+from lexiflow.plans.lemmas import LEMMAS  # noqa: E402
+
+_LEMMA_ROWS = ", ".join(f"({Q.lit(a)}, {Q.lit(b)})" for a, b in LEMMAS.items())
+
+
+def normal_ctes(source: str, name: str, lemmas: bool = True) -> str:
+    """CTEs that end in ``name(surface, normal)``: lemma, then stem, of the tokens (column t) of CTE ``source``."""
+    table = f"(VALUES {_LEMMA_ROWS})" if lemmas else "(SELECT NULL, NULL WHERE false)"
+    return f"""{name}_l AS (SELECT DISTINCT v.t AS surface, coalesce(l.lemma, v.t) AS term
+  FROM {source} v LEFT JOIN {table} l(surface, lemma) ON l.surface = v.t),
+{stem_ctes(f'{name}_l', f'{name}_s')},
+{name} AS (SELECT surface, stem AS normal FROM {name}_l JOIN {name}_s USING (term))"""
+
+
+def regrouped(key: str, tokens_of: str, name: str, lemmas: bool = True, out: str = "text") -> str:
+    """CTEs that end in ``name(key, out)``: the tokens of ``tokens_of(key, tk)`` by their normal form, joined by blanks."""
+    return f"""{name}_t AS (SELECT {key}, unnest(tk) AS t, generate_subscripts(tk, 1) AS i FROM {tokens_of}),
+{normal_ctes(f'{name}_t', f'{name}_n', lemmas)},
+{name}_j AS (SELECT {key}, string_agg(normal, ' ' ORDER BY i) AS {out} FROM {name}_t JOIN {name}_n ON surface = t GROUP BY {key}),
+{name} AS (SELECT s.{key}, coalesce(j.{out}, '') AS {out} FROM {tokens_of} s LEFT JOIN {name}_j j ON j.{key} = s.{key})"""
+
+
+oracle("stem_vocabulary", f"""WITH {cleaned('docs_def', DEF)},
+tk AS (SELECT doc_id, {Q.tokens('text_clean')} AS tk FROM docs_def), {regrouped('doc_id', 'tk', 'st', False, 'stemmed')}
+SELECT doc_id, stemmed FROM st""")
+oracle("preprocess_corpus", f"""WITH tk AS (SELECT doc_id, {Q.clean_list('text', **TR)} AS tk FROM documents),
+{regrouped('doc_id', 'tk', 'st', True, 'text_clean')}
+SELECT doc_id, text_clean FROM st""")
+oracle("keyterm_hits_stemmed", f"""WITH {Q.RAW_QUERIES},
+qtk AS (SELECT query AS raw, {Q.clean_list('query', min_len=1, max_len=30, keep=True, remove_numbers=False)} AS tk FROM raw_q),
+{regrouped('raw', 'qtk', 'qs', True, 'query')},
+queries AS (SELECT DISTINCT query, len(string_split(query, ' ')) AS n_tokens FROM qs WHERE query <> '')
+{Q.SEARCH_DOCS[len(Q.QUERIES):]},
+dtk AS (SELECT doc_id, {Q.tokens('body')} AS tk FROM search_docs),
+{regrouped('doc_id', 'dtk', 'ds', True, 'body')}
+SELECT doc_id, 'body' AS field, query, cnt FROM (
+  SELECT s.doc_id, q.query, {Q.token_count('s.body', 'q.query')} AS cnt FROM ds s, queries q) WHERE cnt > 0""")

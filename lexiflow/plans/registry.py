@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as T
 from lexiflow.operators import keyterms as K
 from lexiflow.plans import jobs, standins as S
+from lexiflow.plans.lemmas import LEMMAS
 from lexiflow.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRAIN_OPTS = dict(min_len=2, max_len=40, keep_nonalphanumerics=["-"], remove_numbers=True)
 
 
-# Irregular verb forms, as a lemma table that a user passes.
-LEMMAS = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have",
-          "went": "go", "gone": "go", "sent": "send", "kept": "keep", "found": "find", "made": "make"}
-
-
 def register(name: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -931,12 +927,13 @@ def q_vote_discriminant(spark, sf_dir):
 
 @register("stem_vocabulary")
 def q_stem_vocabulary(spark, sf_dir):
-    """Snowball English stems of every token of the cleaned corpus, through the distinct
-    vocabulary (one stemmer call per distinct term)."""
-    from lexiflow.functions.snowball import stem
+    """Snowball English stems of every token of the cleaned corpus: the distinct vocabulary is
+    stemmed by SQL steps and joined back."""
+    from lexiflow.functions.stemming import stem_terms
     from lexiflow.operators import vocabulary as V
     docs = cleaned_docs(spark, sf_dir).select("doc_id", T.tokenize(F.col("text_clean")).alias("tokens"))
-    out = V.normalise_vocabulary(docs, stem)
+    stems = stem_terms(docs.select(F.explode("tokens").alias("term")))
+    out = V.map_vocabulary(docs, stems.withColumnsRenamed({"term": "surface", "stem": "normal"}))
     return out.select("doc_id", F.array_join("tokens", " ").alias("stemmed"))
 
 
