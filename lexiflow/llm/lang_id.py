@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiflow.llm import words as W
+from lexiflow.llm.common import written
 
 ORDER = 4
 PER_LANGUAGE = 400
 PAD = b"\n"
 GROUP_BYTES = 1 << 20
 UNDETERMINED = "und"
+#: Bits per byte, over those of the dearest training text, and bits in all, that a text may cost.
+MARGIN = 1.25
+SLACK_BITS = 64.0
 COUNTS_SCHEMA = "lang string, gram_order int, gram long, n long"
 
 
@@ -210,9 +214,22 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     return identify(rows, fit(docs, id_col=id_col, **options), keep=("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose language can be told, with the columns of ``docs``."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    margin: float = MARGIN, slack_bits: float = SLACK_BITS, **sample) -> DataFrame:
+    """The documents that are in a learned language, with the columns of ``docs``.
+
+    Texts without a letter go, and those that no language's tree explains: a text may cost
+    ``margin`` times the bits per byte of the dearest training text (8, what bytes cost
+    without a model, at least), and ``slack_bits`` more, so that short texts are not judged by
+    a few rare letters. All texts with a language that are not held out set that bound; they
+    stay, whatever they contain. Without training texts no text is identified.
+    """
     columns = tuple(docs.columns)
     names = ("__ppm_lang", "__ppm_score", "__ppm_bits")
-    return (identify(docs, fit(docs, **options), keep=columns, names=names)
-            .where(F.col("__ppm_lang") != UNDETERMINED).select(*columns))
+    trees = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **sample)
+    scored = written(identify(docs, trees, id_col, text_col, keep=columns, names=names), "languages")
+    known = (F.col(names[0]) != UNDETERMINED) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
+    dearest = scored.where(known).agg(F.max(names[2])).first()[0] or 0.0
+    size = F.octet_length(F.lower(text_col))
+    explained = F.col(names[2]) * size <= max(8.0, margin * dearest) * size + slack_bits
+    return scored.where((F.col(names[0]) != UNDETERMINED) & explained).select(*columns)

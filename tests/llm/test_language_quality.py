@@ -140,3 +140,17 @@ def test_every_ratio_tells_texts_apart(spark, sample):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     got = quality_classifier.quality_classifier(docs, labels, F.col("site"), F.col("path")).collect()
     assert all((r.evidence > 1) == (r.doc_id % 2 == 1) and abs(r.evidence) > 1 for r in got)
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """Random letters and an unseen script are rejected; all rows of the table stay, and so do short texts."""
+    import random
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [(10 ** 9 + i, "".join(rng.choice("qxzjkvwbpdfghm ") for _ in range(400)), None, "x", 400) for i in range(20)]
+    odd += [(2 * 10 ** 9 + i, "これは学習していない言語で書かれた文書です。" * (2 + i % 5), None, "x", 1) for i in range(20)]
+    odd += [(3 * 10 ** 9, "Zq", None, "x", 2), (3 * 10 ** 9 + 1, "12 34", None, "x", 5), (3 * 10 ** 9 + 2, None, None, "x", 0)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {r.doc_id for r in lang_id.keep_identified(both).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert got == clean | {3 * 10 ** 9} and len(clean) > 980
