@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiflow.llm import words as W
-from lexiflow.llm.common import shuffle_partitions
 
 WINDOW = 13
 MINIMISER = 3
 MAX_RUN = 4096
 GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
+#: Bytes of strings for a byte of text, and of a string, about.
+EXPANSION, STRING_BYTES = 3, 120
+HOT = 4
 LAST_ID = np.iinfo(np.int64).max
 _ID, _KEY = "__sub_id", "__sub_key"
 _SECOND = 0xD6E8FEB86659FD93  # odd base of the second hash
@@ -90,38 +93,81 @@ def _unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return [doc, key, *rest], np.frombuffer(raw, dtype=np.uint8, offset=at + 4 * n * k)
 
 
-def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m):
-    """(bucket, kind, block) rows of some texts: kind 0 strings, kind 1 spans already decided."""
+def _strings(b, offsets, ids, hasher, window, m):
+    """The super-k-mers of some texts and which of them a smaller doc_id of the group has as well."""
     starts, ends, text = W.word_spans(b, offsets)
     h = hasher.spans(b, starts, ends)
     first, last, mini = _runs(h, text, window, m)
-    if not len(first):
-        return
-    begin = np.searchsorted(starts, offsets[:-1])  # first word of each text
     own = text[first]
-    doc, key, pos = ids[own], keys[own], first - begin[own]
     same = hasher.spans(h, first, last)
     check = W.mix(hasher.spans(W.mix(h), first, last) + (last - first).astype(np.uint64))
-    order = np.lexsort((doc, check, same))
+    return starts, ends, h, first, last, mini, own, _decided(ids[own], same, check)
+
+
+def _decided(doc, one, two):
+    """Has a smaller doc the same two hashes?"""
+    order = np.lexsort((doc, two, one))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (same[order][1:] != same[order][:-1]) | (check[order][1:] != check[order][:-1])
-    smallest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     decided = np.zeros(len(order), dtype=bool)
-    decided[order] = doc[order] > smallest
+    if len(order):
+        decided[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return decided
+
+
+def _bucket(mini, n_buckets):
+    return (W.mix(mini) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _known(doc, key, start, end, n_buckets):
+    """Blocks of spans that are decided."""
+    bucket = _bucket(key.view(np.uint64), n_buckets)
+    for x in np.unique(bucket):
+        at = bucket == x
+        yield int(x), 1, _pack(doc[at], key[at], start[at], end[at])
+
+
+def _halves(h):
+    return h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+
+
+def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m, hot=()):
+    """(bucket, kind, block) rows of some texts: kind 0 strings, 1 spans already decided, 2 windows."""
+    starts, ends, h, first, last, mini, own, decided = _strings(b, offsets, ids, hasher, window, m)
+    if not len(first):
+        return
+    begin = np.searchsorted(starts, offsets[:-1])  # first word of each text
+    doc, key, pos = ids[own], keys[own], first - begin[own]
     if decided.any():
-        bucket = (W.mix(key[decided].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        rows = (doc[decided], key[decided], pos[decided], pos[decided] + (last - first)[decided])
-        for x in np.unique(bucket):
-            at = bucket == x
-            yield int(x), 1, _pack(*(r[at] for r in rows))
-    go = np.flatnonzero(~decided)
+        yield from _known(doc[decided], key[decided], pos[decided], (pos + last - first)[decided], n_buckets)
+    bucket = _bucket(mini, n_buckets)
+    single = np.isin(bucket, hot) & ~decided
+    if single.any():
+        rows = np.flatnonzero(single)
+        count = last[rows] - first[rows] - window + 1
+        at = np.repeat(first[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        row = np.repeat(rows, count)
+        one, two = W.window_hashes(h, window)[at], _second(h, window)[at]
+        place = at - begin[own[row]]
+        again = _decided(doc[row], one, two)
+        if again.any():
+            yield from _known(doc[row][again], key[row][again], place[again], place[again] + window, n_buckets)
+        go = np.flatnonzero(~again)
+        there = _bucket(one[go], n_buckets)
+        go = go[np.argsort(there, kind="stable")]
+        there.sort()
+        edges = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+        for i, j in zip(edges, np.append(edges[1:], len(there))):
+            k = go[i:j]
+            yield n_buckets + int(there[i]), 2, _pack(doc[row[k]], key[row[k]], place[k], *_halves(one[k]), *_halves(two[k]))
+    go = np.flatnonzero(~decided & ~single)
     joined, at = W.gather_spans(np.append(b, np.uint8(0x20)), starts, ends + 1)  # words, each with a space
     joined[at[1:] - 1] = 0x20
-    bucket = (W.mix(mini[go]) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = bucket[go]
     go = go[np.argsort(bucket, kind="stable")]
     bucket.sort()
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    for i, j in zip(edges, np.append(edges[1:], len(bucket))):
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(go) else []
+    for i, j in zip(edges, [*edges[1:], len(bucket)]):
         k = go[i:j]
         data, cut = W.gather_spans(joined, at[first[k]], at[last[k]])
         yield int(bucket[i]), 0, _pack(doc[k], key[k], pos[k], np.diff(cut), data=data.tobytes())
@@ -129,11 +175,13 @@ def _packets(b, offsets, ids, keys, hasher, n_buckets, window, m):
 
 def _bucket_spans(kinds, blobs, hasher, window):
     """(doc, key, start, end) arrays of the spans that a bucket's windows decide."""
-    found, parts, data = [], [], []
+    found, parts, data, windows = [], [], [], []
     for kind, blob in zip(kinds, blobs):
         arrays, raw = _unpack(blob)
         if kind == 1:
             found.append(tuple(arrays))
+        elif kind == 2:
+            windows.append(arrays)
         else:
             parts.append(arrays)
             data.append(raw)
@@ -166,6 +214,11 @@ def _bucket_spans(kinds, blobs, hasher, window):
             row = text[at[begin]]
             word = pos[row] - np.searchsorted(starts, offsets[:-1])[row]
             found.append((doc[row], key[row], word + at[begin], word + at[end] + window))
+    if windows:
+        doc, key, pos, *halves = (np.concatenate(x) for x in zip(*windows))
+        one, two = (low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)) for low, high in (halves[:2], halves[2:]))
+        again = _decided(doc, one, two)
+        found.append((doc[again], key[again], pos[again], pos[again] + window))
     if not found:
         return [np.zeros(0, np.int64)] * 4
     return [np.concatenate(x) for x in zip(*found)]
@@ -179,24 +232,39 @@ def _row_key(id_col: str, text_col: str) -> list:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   minimiser: int = MINIMISER) -> DataFrame:
+                   minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(__sub_id, __sub_key, start, end): word spans covered by windows that a smaller doc_id has as well."""
     rows = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("__sub_text"))
-    n_buckets = 4 * shuffle_partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n_buckets = max(1, total * EXPANSION // bucket_bytes)
 
-    def cut(batches):
-        hasher = W.Hasher()
+    def groups_of(batches):
         for batch in batches:
             ids = np.asarray(batch.column(_ID), dtype=np.int64)
             keys = np.asarray(batch.column(_KEY), dtype=np.int64)
             b, offsets = W.text_buffer(batch.column("__sub_text"))
             for i, j in W.groups(offsets, GROUP_BYTES):
-                got = list(zip(*_packets(b[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], ids[i:j], keys[i:j],
-                                         hasher, n_buckets, window, minimiser)))
-                if got:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.binary())],
-                        names=["bucket", "kind", "block"])
+                yield b[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], ids[i:j], keys[i:j]
+
+    def load(batches):
+        hasher, sums = W.Hasher(), np.zeros(n_buckets, np.int64)
+        for b, offsets, ids, _ in groups_of(batches):
+            *_, mini, _, decided = _strings(b, offsets, ids, hasher, window, minimiser)
+            sums += np.bincount(_bucket(mini[~decided], n_buckets), minlength=n_buckets)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+
+    hot = np.array([r.bucket for r in rows.mapInArrow(load, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+                    .where(F.col("n") > HOT * (bucket_bytes // STRING_BYTES)).select("bucket").collect()], np.int64)
+
+    def cut(batches):
+        hasher = W.Hasher()
+        for b, offsets, ids, keys in groups_of(batches):
+            got = list(zip(*_packets(b, offsets, ids, keys, hasher, n_buckets, window, minimiser, hot)))
+            if got:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.binary())],
+                    names=["bucket", "kind", "block"])
 
     def sort(table: pa.Table) -> pa.Table:
         doc, key, start, end = _bucket_spans(table.column("kind").to_pylist(), table.column("block").to_pylist(),
@@ -204,7 +272,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({_ID: pa.array(doc, pa.int64()), _KEY: pa.array(key, pa.int64()), "start": pa.array(start, pa.int64()),
                          "end": pa.array(end, pa.int64())})
 
-    return (rows.mapInArrow(cut, "bucket int, kind int, block binary").groupBy("bucket")
+    return (rows.mapInArrow(cut, "bucket long, kind int, block binary").groupBy("bucket")
             .applyInArrow(sort, f"{_ID} long, {_KEY} long, start long, end long"))
 
 

@@ -163,6 +163,47 @@ def test_hot_passage_and_small_groups(spark, monkeypatch):
         assert sorted(got) == sorted(brute_removal(rows, 6))
 
 
+def passages(n, rng):
+    """A passage in every text between words that differ, and some repeats of the passage."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    return [(i, " ".join([f"a{rng.randrange(10 ** 6)}" for _ in range(12)] + [passage] * rng.choice((1, 1, 2))
+                         + [f"b{rng.randrange(10 ** 6)}" for _ in range(12)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot,group", [(0, 8 << 20), (0, 3000), (4, 3000)])
+def test_hot_minimisers_travel_by_window(spark, monkeypatch, hot, group):
+    """The same result whichever buckets are over their share."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group)
+    rng = random.Random(11)
+    rows = passages(120, rng) + [(500 + i, t) for i, (_, t) in enumerate(passages(20, rng))] + [(7, "one two"), (None, "p1 p2 p3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in substring_dedup.removal_report(docs, window=8, minimiser=2, bucket_bytes=3000).collect()]
+    assert sorted(got, key=key) == sorted(brute_removal(rows, 8), key=key)
+
+
+def test_a_minimiser_in_all_texts_gathers_nowhere(spark):
+    """Edges of a passage share its minimiser, but no bucket grows with the texts once it is hot."""
+    rows = passages(900, random.Random(3))
+    b, offsets = W.text_buffer(__import__("pyarrow").array([t for _, t in rows]))
+    ids, hasher, n = np.arange(900), W.Hasher(), 40
+
+    def loads(hot):
+        out = collections.Counter()
+        for x, kind, block in substring_dedup._packets(b, offsets, ids, ids, hasher, n, 8, 2, hot):
+            if kind != 1:
+                out[x] += len(substring_dedup._unpack(block)[0][0])
+        return out
+
+    plain = loads(())
+    hot = [x for x, c in plain.items() if c > 4 * np.median(list(plain.values()))]
+    assert hot
+    after = loads(np.array(hot))
+    single = [c for x, c in after.items() if x >= n]
+    assert max(single) < 2 * np.median(single) and max(c for x, c in after.items() if x < n) <= max(
+        c for x, c in plain.items() if x not in hot)
+
+
 def test_remove_repeats_gives_texts(odd, odd_rows, empty):
     out = substring_dedup.remove_repeats(odd)
     assert out.columns == odd.columns
