@@ -8,8 +8,8 @@ repeats and a few false positives) shuffle and are grouped by their whole SHA-25
 The filter has eight bits for each row, cut in blocks of 2**13 bits (1 KB). Pass 2 runs
 slice by slice: ``SLICE_BYTES`` of blocks are broadcast and meet the rows of these blocks
 alone, which lie in a folder of their own, so neither the broadcast nor the shuffle grows
-beyond that bound or those rows. Rows are written once with their SHA, which is computed
-once, and with the folder of their slice. Equal texts are in one slice.
+beyond that bound or those rows. Equal texts are in one slice. A filter of a single slice
+needs no folders: then whole rows are not written, only read again.
 
 Defined cases: null text counts as empty; of equal texts the largest doc_id stays, a
 null doc_id counts as smallest; rows equal in text and doc_id count each and exactly one
@@ -61,11 +61,15 @@ def filter_size(n_rows: int) -> Size:
     return Size(n_blocks, max(1, SLICE_BYTES // ((1 << BLOCK_BITS) // 8 + 64)))
 
 
-def keyed_rows(rows: DataFrame, size: Size, tag: str) -> DataFrame:
-    """Write rows that have a SHA, each slice in a folder of its own."""
-    path = shared_path(rows.sparkSession, tag)
-    keyed = rows.withColumn(BLOCK, _block(F.col(SHA), size.n_blocks)) \
+def keyed_rows(rows: DataFrame, size: Size) -> DataFrame:
+    """Rows that have a SHA with their block and slice of the filter."""
+    return rows.withColumn(BLOCK, _block(F.col(SHA), size.n_blocks)) \
         .withColumn(SLICE, F.floor(F.col(BLOCK) / size.per_slice).cast("int"))
+
+
+def sliced(keyed: DataFrame, tag: str) -> DataFrame:
+    """Write keyed rows, each slice in a folder of its own."""
+    rows, path = keyed, shared_path(keyed.sparkSession, tag)
     keyed.write.partitionBy(SLICE).parquet(path)
     return rows.sparkSession.read.schema(keyed.schema).parquet(path)
 
@@ -115,8 +119,8 @@ def in_slices(keyed: DataFrame, size: Size, decide: Callable[[DataFrame], DataFr
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     size = filter_size(docs.count())
-    rows = keyed_rows(docs.select(F.col(id_col).alias("doc_id"), _sha(F.col(text_col)).alias(SHA))
-                      .withColumn("__dedup_row", F.monotonically_increasing_id()), size, "digests")
+    rows = sliced(keyed_rows(docs.select(F.col(id_col).alias("doc_id"), _sha(F.col(text_col)).alias(SHA))
+                             .withColumn("__dedup_row", F.monotonically_increasing_id()), size), "digests")
     return in_slices(rows, size, _reported, "report")
 
 
@@ -145,7 +149,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept by a partial (map-side) aggregation, so a hot group is reduced before it moves.
     """
     size = filter_size(docs.count())
-    keyed = keyed_rows(docs.withColumn(SHA, _sha(F.col(text_col))), size, "keyed")
+    keyed = keyed_rows(docs.withColumn(SHA, _sha(F.col(text_col))), size)
+    keyed = sliced(keyed, "keyed") if size.n_slices > 1 else keyed
     return in_slices(keyed, size, lambda probed: _best(probed, docs.columns, id_col, text_col), "kept")
 
 

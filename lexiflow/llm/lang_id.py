@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiflow.llm import words as W
-from lexiflow.llm.common import written
 
 ORDER = 4
 PER_LANGUAGE = 400
@@ -227,9 +226,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = tuple(docs.columns)
     names = ("__ppm_lang", "__ppm_score", "__ppm_bits")
     trees = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **sample)
-    scored = written(identify(docs, trees, id_col, text_col, keep=columns, names=names), "languages")
-    known = (F.col(names[0]) != UNDETERMINED) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
-    dearest = scored.where(known).agg(F.max(names[2])).first()[0] or 0.0
+    scored = identify(docs, trees, id_col, text_col, keep=columns, names=names)
+    # known texts are scored twice: a table of all texts with their scores would be the larger cost
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    dearest = (identify(known, trees, id_col, text_col, names=names).where(F.col(names[0]) != UNDETERMINED)
+               .agg(F.max(names[2])).first()[0] or 0.0)
     size = F.octet_length(F.lower(text_col))
     explained = F.col(names[2]) * size <= max(8.0, margin * dearest) * size + slack_bits
     return scored.where((F.col(names[0]) != UNDETERMINED) & explained).select(*columns)

@@ -49,7 +49,7 @@ def test_exact_dedup_keeps_one_whole_row_of_each_text(odd, odd_rows):
 def test_filter_clears_unique_rows_and_no_repeat(spark):
     rows = spark.range(20_000).selectExpr("id as doc_id", "concat('t', id % 19000) as text")
     size = exact_dedup.filter_size(20_000)
-    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size, "test")
+    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size)
     probed = exact_dedup.probe(keyed, exact_dedup.repeat_filter(keyed, size), size, 0)
     repeated = probed.where("doc_id % 19000 < 1000")
     assert repeated.where("__dedup_suspect").count() == 2000
@@ -66,7 +66,8 @@ def test_filter_in_slices(spark, odd, odd_rows, monkeypatch):
     assert size.n_slices == 6 and size.per_slice == 5
     assert sorted(map(tuple, exact_dedup.duplicate_report(rows).collect())) == whole
     assert exact_dedup.exact_dedup(rows).count() == 28_000
-    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size, "test")
+    keyed = exact_dedup.keyed_rows(rows.withColumn(exact_dedup.SHA, exact_dedup._sha(rows["text"])), size)
+    keyed = exact_dedup.sliced(keyed, "test")
     packed = exact_dedup.repeat_filter(keyed, size)
     parts = [exact_dedup.probe(keyed, packed, size, i) for i in range(6)]
     assert sum(p.count() for p in parts) == 30_000
