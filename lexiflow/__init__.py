@@ -1,9 +1,10 @@
-"""lexiflow: corpus discovery and correspondence analytics as lazy Spark DataFrame operators.
+"""lexiflow: corpus discovery and correspondence analytics as Spark DataFrame operators.
 
-Every public operator is a function ``DataFrame -> DataFrame`` built from Spark SQL
-expressions, joins, aggregates and windows. Nothing in the data path collects rows to
-the driver; the few driver-side values (query-list profile, sample thresholds) are
-bounded scalars or small tables whose size is checked before use.
+Operators are functions ``DataFrame -> DataFrame`` built from Spark SQL expressions, joins,
+aggregates and windows. Most are lazy; those that iterate (graph measures, trees) or read
+an intermediate table several times run jobs when they are called and write it to the
+shared folder. The driver gets scalars, one row per partition, file list or learned group,
+or a model whose size a parameter bounds; never documents, terms or links of the corpus.
 """
 
 import sys as _sys

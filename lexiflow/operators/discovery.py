@@ -79,8 +79,8 @@ def naive_bayes_vote(train: DataFrame, test_ids: DataFrame, dtm: DataFrame,
     tc = lab.groupBy("term").agg(
         F.sum(F.when(F.col("label") == 0, F.col("cnt")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("label") == 1, F.col("cnt")).otherwise(0)).alias("n1"))
-    from lexiflow.session import cut_lineage
-    tc = cut_lineage(tc)
+    from lexiflow.session import materialise
+    tc = materialise(tc, "term-classes")  # read by column: for the totals, and for the scores
     tot = tc.agg(F.count(F.lit(1)), F.sum("n0"), F.sum("n1")).first()
     if vocab_size is None:
         vocab_size = int(tot[0])

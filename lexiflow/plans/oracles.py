@@ -613,6 +613,9 @@ terms AS (SELECT DISTINCT unnest(string_split(query, ' ')) AS term FROM raw_q)
 SELECT term, regexp_matches(term, '[0-9]') AS digits, regexp_matches(term, '[^\\p{{L}}\\p{{N}}]') AS others FROM terms""")
 oracle("org_csv", f"""WITH {ORG}
 SELECT name, full_name, nationality, category, stakeholdergroup, email_domains, subsidiary_of FROM org_raw""")
+oracle("read_mbox_lists", f"""WITH {Q.MESSAGES},
+named AS (SELECT lower(replace(trim(split_part("from", '<', 1)), '#', '-')) AS list_name, msg_id, date_raw FROM messages)
+SELECT * FROM named WHERE list_name IN ('supplier-000000001', 'supplier-000000003', 'supplier-000000007')""")
 oracle("read_mbox", f"""WITH {Q.MESSAGES}
 SELECT msg_id, "from", comments_to, date_raw, NULL::VARCHAR AS sender, 'Sender: body of ' || msg_id AS body FROM messages""")
 

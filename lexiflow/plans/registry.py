@@ -1029,18 +1029,38 @@ def q_org_csv(spark, sf_dir):
     return FS.load_organisations(spark, path).drop("row_no")
 
 
-@register("read_mbox")
-def q_read_mbox(spark, sf_dir):
-    """One archive per target flag with every message as mail text, parsed back."""
-    m = S.messages(spark, sf_dir)
-    end = F.when(F.col("is_target"), F.lit("\r\n")).otherwise(F.lit("\n"))  # CRLF and LF archives
+def _mail_text(m, end):
+    """Each message of ``m`` as a record of an mbox archive with the line ends ``end``."""
     lines = [F.lit("From nobody Thu Jan  1 00:00:00 1970"), F.concat(F.lit("From: "), F.col("from")),
              F.concat(F.lit("Comments-To: "), F.col("comments_to")), F.concat(F.lit("Date: "), F.col("date_raw")),
              F.concat(F.lit("Message-ID: "), F.col("msg_id")), F.lit(""), F.concat(F.lit("Sender: body of "), F.col("msg_id"))]
     text = lines[0]
     for line in lines[1:]:
         text = F.concat(text, end, line)
+    return F.concat(text, end)
+
+
+LISTS = ["supplier-000000001", "supplier-000000003", "supplier-000000007"]
+
+
+@register("read_mbox_lists")
+def q_read_mbox_lists(spark, sf_dir):
+    """One archive for each supplier (some 600 messages); three of the lists read, headers only."""
+    m = S.messages(spark, sf_dir)
+    name = F.lower(F.translate(M.address_name(F.col("from")), "#", "-"))
+    archives = m.groupBy(name.alias("doc_name")).agg(F.array_join(F.collect_list(_mail_text(m, F.lit("\n"))), "\n").alias("text"))
+    path = scratch_path(spark, "mbox-lists")
+    DF.save_documents(archives, path, extension="mbox")
+    return MB.read_mbox(spark, f"{path}/*.mbox", include_body=False, list_names=LISTS, parts=True) \
+        .select("list_name", "msg_id", "date_raw")
+
+
+@register("read_mbox")
+def q_read_mbox(spark, sf_dir):
+    """One archive per target flag with every message as mail text, parsed back."""
+    m = S.messages(spark, sf_dir)
+    end = F.when(F.col("is_target"), F.lit("\r\n")).otherwise(F.lit("\n"))  # CRLF and LF archives
     path = scratch_path(spark, "mbox")
-    m.select(F.concat(text, end).alias("value")).write.mode("overwrite").text(path)
+    m.select(_mail_text(m, end).alias("value")).write.mode("overwrite").text(path)
     back = MB.read_mbox(spark, path)
     return back.select("msg_id", "from", "comments_to", "date_raw", "sender", F.trim(F.translate("body", "\r\n", "")).alias("body"))
