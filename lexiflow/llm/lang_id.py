@@ -99,7 +99,7 @@ class ContextTrees:
     """Costs in bits from the counted grams of each language, orders ``order`` to 0."""
 
     def __init__(self, counts, order: int = ORDER):
-        self.order = order
+        self.order, self._shared = order, None
         self.langs = sorted(counts["lang"].unique())
         self.levels = []
         for lang in self.langs:
@@ -118,6 +118,12 @@ class ContextTrees:
         self.seen = np.unique(whole.to_numpy(np.int64))
         self.costs = self.cost(self.seen)
 
+    def shared(self, spark):
+        """The arrays as one broadcast variable (bounded by the training sample), however many scans use them."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast({k: v for k, v in vars(self).items() if k != "_shared"})
+        return self._shared
+
     def cost(self, grams: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each gram, one column for each language."""
         out = np.zeros((len(grams), len(self.langs)))
@@ -156,7 +162,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
     if trees is None:
         return docs.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]),
                            F.lit(None).cast("double").alias(names[2]))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))  # bounded by the training sample
+    shared = trees.shared(docs.sparkSession)
 
     def run(batches):
         import pandas as pd
