@@ -87,7 +87,7 @@ def anchored(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
     bits = (BLOCK + length).bit_length()
-    anchor, keys = np.empty(n, np.int64), []
+    anchor, keys = np.empty(n, np.int32), []  # a group is a few MB, or one text, of 2 GB at most
     for s in range(0, n, BLOCK):
         h = _gram_hashes(b[s:s + BLOCK + length - 1], gram)
         place = np.arange(len(h), dtype=np.uint64)
@@ -98,17 +98,17 @@ def anchored(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     new = np.append(True, anchor[1:] != anchor[:-1])
     starts_of_block = np.zeros(n, bool)
     starts_of_block[::BLOCK] = True
-    key_no = np.cumsum(new | starts_of_block) - 1
+    key_no = np.cumsum(new | starts_of_block, dtype=np.int32) - 1
     edge = np.zeros(n + 1, np.int32)
     full = offsets[1:] > offsets[:-1]
     low, high = np.maximum(offsets[:-1], offsets[1:] - length + 1)[full], offsets[1:][full]
     np.add.at(edge, np.minimum(low, n), 1)
     np.add.at(edge, np.minimum(high, n), -1)
-    valid = np.cumsum(edge[:n]) == 0
+    valid = np.cumsum(edge[:n], dtype=np.int32) == 0
     new[1:] |= ~valid[:-1]
     first = np.flatnonzero(new & valid)
     last = np.flatnonzero(np.append(new[1:] | ~valid[1:], True) & valid)
-    return first, last + length, anchor[first], np.concatenate(keys)[key_no[first]]
+    return first, last + length, anchor[first].astype(np.int64), np.concatenate(keys)[key_no[first]]
 
 
 def _pack(arrays: list[np.ndarray], data: bytes = b"") -> bytes:
