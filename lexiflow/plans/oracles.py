@@ -620,6 +620,11 @@ oracle("read_mbox", f"""WITH {Q.MESSAGES}
 SELECT msg_id, "from", comments_to, date_raw, NULL::VARCHAR AS sender, 'Sender: body of ' || msg_id AS body FROM messages""")
 
 
+oracle("tokenize", f"""SELECT doc_id, len(tk) AS n_tokens, md5(array_to_string(tk, '|')) AS tokens_md5
+FROM (SELECT doc_id, {Q.tokens('text')} AS tk FROM documents)""")
+oracle("filter_tokens", f"""SELECT doc_id, array_to_string(list_filter(tk, lambda x: length(x) >= 3 AND length(x) <= 9
+  AND x NOT IN {Q.STOP_SQL}), '|') AS kept FROM (SELECT doc_id, {Q.tokens('text')} AS tk FROM documents)""")
+
 # --- lemmas and stems --------------------------------------------------------------------------
 
 from lexiflow.functions.stemming import stem_ctes  # noqa: E402

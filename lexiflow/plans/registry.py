@@ -124,6 +124,20 @@ def q_normalize_text(spark, sf_dir):
     return docs.select("doc_id", T.clean_text(F.col("text"), **TRAIN_OPTS).alias("text_clean"))
 
 
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    docs = S.corpus(spark, sf_dir)
+    tokens = T.tokenize("text")
+    return docs.select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, "|")).alias("tokens_md5"))
+
+
+@register("filter_tokens")
+def q_filter_tokens(spark, sf_dir):
+    """Tokens of 3 to 9 characters that are no stopwords."""
+    tokens = T.filter_tokens(T.tokenize("text"), min_len=3, max_len=9)
+    return S.corpus(spark, sf_dir).select("doc_id", F.array_join(tokens, "|").alias("kept"))
+
+
 @register("raw_keyword_matrix")
 def q_raw_keyword_matrix(spark, sf_dir):
     """Raw substring counts of the raw keyterms in the uncleaned text (no padding)."""
