@@ -13,6 +13,5 @@ def test_oracle_keys_are_registered():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     rows_only = {k for k in set(qs) - set(sqls) if k != "pipeline" and not k.startswith("op")}
-    assert rows_only <= {"vote_logit", "vote_discriminant", "stem_vocabulary",
-                         "keyterm_hits_stemmed", "preprocess_corpus",
-                         "vote_svm", "vote_nearest", "vote_counts_several"}
+    assert rows_only == {"vote_logit", "vote_discriminant", "vote_svm", "vote_nearest", "vote_tree", "vote_gboost",
+                         "vote_forest", "vote_counts_several", "klr_keywords"}
