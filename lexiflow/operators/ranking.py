@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from lexiflow.functions.text import tokenize
 from lexiflow.operators.impact import ImpactIndex
+from lexiflow.session import materialise
 
 
 def weighted_zone_score(z1, z2, weight: float):
@@ -21,9 +22,9 @@ def weighted_zone_score(z1, z2, weight: float):
 def subset_term_frequency(dtm: DataFrame, subset_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``p_sub(term)`` over the documents of ``subset_ids``."""
     sub = dtm.join(subset_ids.select(id_col).distinct(), id_col, "left_semi")
-    total = sub.agg(F.sum("cnt")).first()[0] or 0  # scalar
-    return (sub.groupBy("term").agg(F.sum("cnt").alias("n"))
-            .select("term", (F.col("n") / F.lit(float(total) if total else None)).alias("p_sub")))
+    counts = materialise(sub.groupBy("term").agg(F.sum("cnt").alias("n")), "term-sums")  # for the total, and for the shares
+    total = counts.agg(F.sum("n")).first()[0] or 0  # scalar
+    return counts.select("term", (F.col("n") / F.lit(float(total) if total else None)).alias("p_sub"))
 
 
 def kl_terms(dtm: DataFrame, relevant_ids: DataFrame, word_limit: int = 50, alpha: float = 1e-6,
@@ -37,13 +38,16 @@ def kl_terms(dtm: DataFrame, relevant_ids: DataFrame, word_limit: int = 50, alph
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha has to be within 0 and 1")
-    total = dtm.agg(F.sum("cnt")).first()[0] or 0
-    cor = dtm.groupBy("term").agg(F.sum("cnt").alias("n_cor"))
+    marked = dtm.join(relevant_ids.select(id_col).distinct().withColumn("_in", F.lit(1)), id_col, "left")
+    # both frequencies of a term from one pass over the matrix, written once for totals and scores
+    counts = materialise(marked.groupBy("term").agg(
+        F.sum("cnt").alias("n_cor"), F.sum(F.when(F.col("_in") == 1, F.col("cnt")).otherwise(0)).alias("n_sub")), "term-sums")
+    total, total_sub = counts.agg(F.sum("n_cor"), F.sum("n_sub")).first()
+    cor = counts
     if n_features:
         cor = cor.orderBy(F.desc("n_cor"), F.asc("term")).limit(n_features)
-    cor = cor.select("term", (F.col("n_cor") / F.lit(float(total))).alias("p_cor"))
-    sub = subset_term_frequency(dtm, relevant_ids, id_col)
-    j = cor.join(sub, "term", "left").na.fill(0.0, ["p_sub"])
+    j = cor.select("term", (F.col("n_cor") / F.lit(float(total or 0))).alias("p_cor"),
+                   F.coalesce(F.col("n_sub") / F.lit(float(total_sub) if total_sub else None), F.lit(0.0)).alias("p_sub"))
     p = weighted_zone_score("p_sub", "p_cor", alpha)
     scored = j.select("term", (p * F.log2(p / F.col("p_cor"))).alias("score"))
     return scored.orderBy(F.desc("score"), F.asc("term")).limit(word_limit)
