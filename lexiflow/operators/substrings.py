@@ -12,7 +12,10 @@ middle is equal and whose last begins with ``b``.
   What meets is compared exactly; runs of three and more pieces are compared in the text's
   own array of pieces, at the positions that met, so a long phrase widens no others.
 
-Nothing is limited: short parts use shorter grams.
+  Positions none of whose grams has its bit set in a bitmap of the phrases' grams (of bounded size, one
+  bit a gram) are left out before any row is multiplied.
+
+Nothing is limited: short parts use shorter grams, and more grams only set more of the bits.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.session import materialise, own_exchange
+from lexiflow.session import materialise, own_exchange, small_side
 
 Q = 3
+GRAM_BITS = 256  # bits of the bitmap for each gram
+MAX_WORDS = 1 << 20  # of 64 bits: 8 MB at most
 
 
 def _grams(text, size):
@@ -58,12 +63,15 @@ class PhraseSearch:
     def __init__(self, texts: DataFrame, phrases: DataFrame, phrase_col: str, id_col: str = "doc_id", q: int = Q):
         self.id_col, self.q = id_col, q
         self.texts = texts.select(id_col, "pieces", F.xxhash64("pieces").alias("_text"))
-        p = phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct()
+        p = materialise(phrases.select(F.col(phrase_col).alias("phrase")).where(F.length("phrase") > 0).distinct(), "phrases")
         self.single = p.where(~F.contains("phrase", F.lit(" ")))
         self.runs = p.where(F.contains("phrase", F.lit(" ")))
 
     def in_pieces(self) -> DataFrame:
         """``(id, piece, times, phrase)``: phrases without a blank in the pieces of each text."""
+        if self.single.isEmpty():  # nothing to look up in the pieces
+            return self.single.sparkSession.createDataFrame(
+                [], f"{self.id_col} {dict(self.texts.dtypes)[self.id_col]}, piece string, times bigint, phrase string")
         counts = self.texts.select(self.id_col, F.explode("pieces").alias("piece")) \
             .groupBy(self.id_col, "piece").agg(F.count(F.lit(1)).alias("times"))
         found = contained(self.single, counts.groupBy("piece").agg(F.sum("times").alias("times")), self.q)
@@ -77,16 +85,32 @@ class PhraseSearch:
         gram = F.concat(F.expr(f"right(c.left, {self.q})"), F.lit(" "), F.expr(f"left(c.right, {self.q})"))
         return at.select("phrase", "k", F.col("c.back").alias("back"), gram.alias("gram"))
 
-    def _positions(self, shapes) -> DataFrame:
-        """One row for each blank of each text and each of the shapes (characters before, after)."""
+    @staticmethod
+    def _bitmap(crossings: DataFrame) -> tuple[DataFrame, int]:
+        """One row: the array ``words`` of 64 bits each, those of the grams' hashes set; and the number of bits."""
+        n = crossings.count() * GRAM_BITS // 64
+        words = min(MAX_WORDS, 1 << max(n, 1).bit_length())
+        bit = F.pmod(F.xxhash64(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)), F.lit(64 * words))
+        used = crossings.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("w"))
+        every = crossings.sparkSession.range(words).join(used, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+        row = every.agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("all"))  # MAX_WORDS at most
+        return row.select(F.col("all.w").alias("words")), 64 * words
+
+    def _positions(self, shapes, crossings: DataFrame) -> DataFrame:
+        """One row for each blank of each text and each of the shapes (characters before, after) whose gram may be one of ``crossings``."""
         pair = F.expr("element_at(transform(array(pieces), t -> transform(sequence(1, size(t) - 1), i -> "
                       "named_struct('at', i - 1, 'first', t[i - 1], 'next', t[i]))), 1)")
         rows = self.texts.where(F.size("pieces") > 1).select(self.id_col, "_text", F.explode(pair).alias("p")) \
             .select(self.id_col, "_text", "p.*")
-        grams = F.array_compact(F.array(*[
-            F.when((F.length("first") >= x) & (F.length("next") >= y),
-                   F.concat(F.expr(f"right(first, {x})"), F.lit(" "), F.expr(f"left(next, {y})"))) for x, y in shapes]))
-        return rows.select("*", F.explode(grams).alias("gram"))
+        columns = rows.columns
+        # the shapes as rows: one small expression for all of them, which the JVM compiles
+        each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in shapes]))
+        rows = rows.select("*", each.alias("s")).where((F.length("first") >= F.col("s.x")) & (F.length("next") >= F.col("s.y"))) \
+            .select(*columns, F.expr("right(first, s.x)").alias("_b"), F.expr("left(next, s.y)").alias("_a"))
+        bitmap, bits = self._bitmap(crossings)
+        bit = F.pmod(F.xxhash64("_b", "_a"), F.lit(bits))
+        is_set = F.getbit(F.get("words", F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+        return rows.join(F.broadcast(bitmap), is_set).select(*columns, F.concat("_b", F.lit(" "), "_a").alias("gram"))
 
     def phrase_runs(self) -> DataFrame:
         """``(id, phrase, k, pos, first, last, a, b)``: runs of ``k`` pieces from ``pos`` on that hold a phrase."""
@@ -96,10 +120,10 @@ class PhraseSearch:
         schema = f"{self.id_col} {dict(self.texts.dtypes)[self.id_col]}, phrase string, k int, pos int, first string, last string, a string, b string"
         if not shapes:
             return crossings.sparkSession.createDataFrame([], schema)
-        rows = self._positions(shapes)
+        rows = self._positions(shapes, crossings)
         a, b = F.substring_index("phrase", " ", 1).alias("a"), F.substring_index("phrase", " ", -1).alias("b")
         keys = crossings.where("k = 2").select("phrase", "k", "gram", a, b)
-        out = (rows.join(own_exchange(keys), "gram").where(F.endswith("first", "a") & F.startswith("next", "b"))
+        out = (rows.join(small_side(keys, "keys"), "gram").where(F.endswith("first", "a") & F.startswith("next", "b"))
                .select(self.id_col, "phrase", "k", F.col("at").alias("pos"), "first", F.col("next").alias("last"), "a", "b"))
         longer = crossings.where("k > 2")
         if longer.isEmpty():
