@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.text import ngrams, tokenize
 from lexiflow.operators.substrings import PhraseSearch
+from lexiflow.session import materialise
 
 
 def explode_ngrams(docs: DataFrame, n: int = 2, id_col: str = "doc_id",
@@ -44,7 +45,7 @@ def ngram_difference(candidates: DataFrame, texts: DataFrame, n: int = 2,
     if mode == "token":
         present = explode_ngrams(texts, n, id_col, text_col).select("ngram").distinct()
     elif mode == "substring":
-        present = substring_containment(candidates.select("ngram").distinct(), texts, id_col, text_col).select("ngram")
+        present = substring_containment(candidates, texts, id_col, text_col, ids=False)
     else:
         raise ValueError("mode must be 'token' or 'substring'")
     left = candidates.join(present, "ngram", "left_anti")
@@ -52,16 +53,19 @@ def ngram_difference(candidates: DataFrame, texts: DataFrame, n: int = 2,
 
 
 def substring_containment(candidates: DataFrame, texts: DataFrame, id_col: str = "doc_id",
-                          text_col: str = "text_clean") -> DataFrame:
+                          text_col: str = "text_clean", ids: bool = True) -> DataFrame:
     """``(ngram, id)`` for every text whose cleaned string contains the n-gram as a plain
-    substring (the reference's containment test), without a cross join.
+    substring (the reference's containment test), without a cross join. Without ``ids``
+    only the n-grams that some text contains.
 
     :class:`PhraseSearch` looks the candidates' end parts up in the distinct tokens by their
     rarest q-gram, and compares runs of tokens only at the positions of the rarer end.
     """
-    found = PhraseSearch(texts.select(id_col, tokenize(F.col(text_col)).alias("pieces")), candidates, "ngram", id_col)
-    return (found.in_pieces().select(F.col("phrase").alias("ngram"), id_col)
-            .unionByName(found.phrase_runs().select(F.col("phrase").alias("ngram"), id_col)).distinct())
+    # the texts are tokenised once, for the pieces and for the runs
+    pieces = materialise(texts.select(id_col, tokenize(F.col(text_col)).alias("pieces")), "pieces")
+    found = PhraseSearch(pieces, candidates, "ngram", id_col)
+    columns = [F.col("phrase").alias("ngram"), *([id_col] if ids else [])]
+    return found.in_pieces().select(*columns).unionByName(found.phrase_runs().select(*columns)).distinct()
 
 
 def offtopic_filter(candidates: DataFrame, offtopic: DataFrame, mode: str = "absent_from_all",
@@ -72,10 +76,11 @@ def offtopic_filter(candidates: DataFrame, offtopic: DataFrame, mode: str = "abs
     ``absent_from_any`` (what the reference's loop does) keeps n-grams missing from at
     least one off-topic text.
     """
-    hits = substring_containment(candidates, offtopic, id_col, text_col)
+    candidates = materialise(candidates, "candidates")  # looked up, and filtered by what is found
     if mode == "absent_from_all":
-        return candidates.join(hits.select("ngram"), "ngram", "left_anti")
+        return candidates.join(substring_containment(candidates, offtopic, id_col, text_col, ids=False), "ngram", "left_anti")
     if mode == "absent_from_any":
+        hits = substring_containment(candidates, offtopic, id_col, text_col)
         n_off = offtopic.count()
         found = hits.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_in"))
         return (candidates.join(found, "ngram", "left")
