@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lexiflow.functions.text import tokenize
 from lexiflow.operators.impact import ImpactIndex
-from lexiflow.session import materialise
+from lexiflow.session import materialise, small_side
 
 
 def weighted_zone_score(z1, z2, weight: float):
@@ -57,7 +57,7 @@ def rank_tfidf_overlap(weights: DataFrame, docs_tokens: DataFrame, query_terms:
                        id_col: str = "doc_id") -> DataFrame:
     """Overlap score: Σ tf-idf weight of the query terms in a document / document length
     (tokens). ``docs_tokens`` holds ``(id, n_tokens)``."""
-    s = (weights.join(query_terms.select("term").distinct(), "term", "left_semi")
+    s = (weights.join(small_side(query_terms.select("term").distinct(), "query-terms"), "term", "left_semi")
          .groupBy(id_col).agg(F.sum("weight").alias("overlap")))
     return (s.join(docs_tokens, id_col)
             .select(id_col, (F.col("overlap") / F.col("n_tokens")).alias("score")))
