@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.session import own_exchange
+from lexiflow.session import small_side
 
 
 def explode_tokens(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    return docs.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    # outer: no filter on the tokens is inferred, which would compute them once more below a shuffle of the documents
+    return docs.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token")).where(F.col("pos").isNotNull())
 
 
 def regroup_tokens(long: DataFrame, id_col: str = "doc_id", token_col: str = "token") -> DataFrame:
@@ -29,9 +30,11 @@ def regroup_tokens(long: DataFrame, id_col: str = "doc_id", token_col: str = "to
 
 def map_vocabulary(docs: DataFrame, mapping: DataFrame, id_col: str = "doc_id",
                    tokens_col: str = "tokens", surface: str = "surface", normal: str = "normal") -> DataFrame:
-    """Replace every token found in ``mapping(surface, normal)``; others stay."""
-    m = own_exchange(mapping.select(F.col(surface).alias("token"), F.col(normal).alias("_n"))
-                     .dropDuplicates(["token"]))
+    """Replace every token found in ``mapping(surface, normal)``; others stay.
+
+    Only tokens that change are looked up; the others stay with their documents if those are few."""
+    m = mapping.select(F.col(surface).alias("token"), F.col(normal).alias("_n")).dropDuplicates(["token"])
+    m = small_side(m.where(F.col("_n") != F.col("token")), "vocabulary")
     long = explode_tokens(docs, id_col, tokens_col).join(m, "token", "left")
     long = long.select(id_col, "pos", F.coalesce("_n", "token").alias("token"))
     ids = docs.select(id_col)
