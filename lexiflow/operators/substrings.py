@@ -87,17 +87,16 @@ class PhraseSearch:
 
     @staticmethod
     def _bitmap(crossings: DataFrame) -> tuple[DataFrame, int]:
-        """One row: the array ``words`` of 64 bits each, those of the grams' hashes set; and the number of bits."""
+        """``(word, w)``: the words of 64 bits in which a bit of a gram's hash is set; and the number of bits."""
         n = crossings.count() * GRAM_BITS // 64
         words = min(MAX_WORDS, 1 << max(n, 1).bit_length())
         bit = F.pmod(F.xxhash64(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)), F.lit(64 * words))
-        used = crossings.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("w"))
-        every = crossings.sparkSession.range(words).join(used, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
-        row = every.agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("all"))  # MAX_WORDS at most
-        return row.select(F.col("all.w").alias("words")), 64 * words
+        used = crossings.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("at"))
+        return used.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("w")), 64 * words
 
-    def _positions(self, shapes, crossings: DataFrame) -> DataFrame:
-        """One row for each blank of each text and each of the shapes (characters before, after) whose gram may be one of ``crossings``."""
+    def _positions(self, shapes, crossings: DataFrame | None = None) -> DataFrame:
+        """One row for each blank of each text and each of the shapes (characters before, after); with ``crossings``
+        only those whose gram may be one of theirs."""
         pair = F.expr("element_at(transform(array(pieces), t -> transform(sequence(1, size(t) - 1), i -> "
                       "named_struct('at', i - 1, 'first', t[i - 1], 'next', t[i]))), 1)")
         rows = self.texts.where(F.size("pieces") > 1).select(self.id_col, "_text", F.explode(pair).alias("p")) \
@@ -107,10 +106,12 @@ class PhraseSearch:
         each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in shapes]))
         rows = rows.select("*", each.alias("s")).where((F.length("first") >= F.col("s.x")) & (F.length("next") >= F.col("s.y"))) \
             .select(*columns, F.expr("right(first, s.x)").alias("_b"), F.expr("left(next, s.y)").alias("_a"))
-        bitmap, bits = self._bitmap(crossings)
-        bit = F.pmod(F.xxhash64("_b", "_a"), F.lit(bits))
-        is_set = F.getbit(F.get("words", F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
-        return rows.join(F.broadcast(bitmap), is_set).select(*columns, F.concat("_b", F.lit(" "), "_a").alias("gram"))
+        if crossings is not None:
+            bitmap, bits = self._bitmap(crossings)
+            bit = F.pmod(F.xxhash64("_b", "_a"), F.lit(bits))
+            rows = rows.select("*", F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit")) \
+                .join(F.broadcast(bitmap), "word").where(F.getbit("w", "bit") == 1)  # at most MAX_WORDS rows
+        return rows.select(*columns, F.concat("_b", F.lit(" "), "_a").alias("gram"))
 
     def phrase_runs(self) -> DataFrame:
         """``(id, phrase, k, pos, first, last, a, b)``: runs of ``k`` pieces from ``pos`` on that hold a phrase."""

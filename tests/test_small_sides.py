@@ -18,7 +18,7 @@ TEXTS = [(1, "red fox red fox den"), (2, "red fox runs"), (3, "blue fox runs"),
 def docs(spark):
     rows = materialise(spark.createDataFrame(TEXTS, "doc_id long, text_clean string"), "test-docs").repartition(4, "doc_id")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no size were known when the join is planned
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if no size were known when the join is planned
     yield rows
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
