@@ -149,3 +149,38 @@ def test_keyword_table_edge_cases(spark):
     with pytest.raises(ValueError):
         CL.vote("nb", docs.select("doc_id", F.lit(0).alias("label")), docs.select("doc_id"),
                 docs.select("doc_id", F.lit("a b").alias("term"), F.lit(1).alias("cnt")))
+
+
+def test_logit_learns_from_every_labelled_document(spark, monkeypatch):
+    import numpy as np
+    from lexiflow.operators import classifiers as CL
+    problem = _small_problem(spark, seed=8)
+    dtm, train, _, x, y, z = problem
+    monkeypatch.setattr(CL, "MAX_TRAIN", 20)  # fewer than the 60 labelled documents
+    beta, bias = CL.solve_logit(x @ x.T, y)
+    assert _votes(spark, "logit", problem) == [int(r @ x.T @ beta + bias <= 0) for r in z]
+
+
+def test_packed_triples_multiply_like_the_gram_matrix(spark, monkeypatch):
+    import numpy as np
+    from lexiflow.operators import classifiers as CL
+    from lexiflow.operators import packed as PK
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (90, 200)) * (rng.random((90, 200)) < np.r_[np.full(40, 0.5), np.full(160, 0.012)])
+    x[7] = x[8] = x[9]  # equal documents: the matrix is singular
+    x[11] = 0
+    y = rng.integers(0, 2, 90)
+    y[7] = y[8]
+    dtm = spark.createDataFrame([(i, f"t{j:03d}", int(c)) for i, r in enumerate(x) for j, c in enumerate(r) if c], "doc_id long, term string, cnt long")
+    train = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "doc_id long, label int")
+    monkeypatch.setattr(PK, "CHUNK", 50)
+    monkeypatch.setattr(PK, "BLOCK", 32)  # three blocks, added up by tasks
+    known = PK.Packed(train.repartition(3), dtm.repartition(5), "doc_id")
+    multiply, diagonal = known.gram()
+    k = (x @ x.T).astype(float)
+    v = rng.normal(size=90)
+    assert (known.label == y).all() and np.allclose(multiply(v), k @ v) and np.allclose(diagonal, np.diag(k))
+    w = {r["term"]: r["w"] for r in known.weights(v).collect()}
+    assert all(abs(w.get(f"t{j:03d}", 0.0) - x[:, j] @ v) < 1e-9 for j in range(200))
+    (a, b), (c, d) = CL.solve_logit(k, y), CL.iterate_logit(lambda u: k @ u, np.diag(k), known.label)
+    assert np.abs(k @ (a - c)).max() < 1e-5 and abs(b - d) < 1e-5
