@@ -32,3 +32,15 @@ def test_plain_messages_skip_the_parser(monkeypatch):
         raise AssertionError("parsed")
     monkeypatch.setattr(email, "message_from_string", never)
     assert parsed(["From: a\r\nDate: b\r\n\r\nSender: c\r\n"]) == [("Sender: c\r\n", [])]
+
+
+def test_read_mbox_keeps_its_archive_compressed(spark, tmp_path, monkeypatch):
+    from lexiflow.plans import registry as R
+    m = spark.createDataFrame([(f"{i}-1", f"S#{i} <s.{i}@fr.example>", "C#1 <c.1@de.example>", "Mon, 02 Jan 1995 00:00:00 +0000", i % 3 == 0)
+                               for i in range(200)], "msg_id string, from string, comments_to string, date_raw string, is_target boolean")
+    monkeypatch.setattr(R.S, "messages", lambda spark, sf_dir: m.repartition(3))
+    monkeypatch.setattr(R, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = {r["msg_id"]: (r["from"], r["date_raw"], r["sender"], r["body"]) for r in R.QUERIES["read_mbox"](spark, None).collect()}
+    assert got == {r["msg_id"]: (r["from"], r["date_raw"], None, f"Sender: body of {r['msg_id']}") for r in m.collect()}
+    files = [f for f in (tmp_path / "mbox").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".gz") for f in files)
